@@ -1,0 +1,8 @@
+"""Evidence analytics on Spark: from bibliographic records and texts to model-ready tables."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to executors by value, so it need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
