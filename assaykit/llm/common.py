@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -49,6 +51,15 @@ def map_rows(df: DataFrame, fn: Callable[..., dict], schema: str | StructType) -
     return df.mapInArrow(run, schema)
 
 
+def share(spark: SparkSession, value: object) -> Broadcast:
+    """A broadcast of ``value`` with its class, for executors that lack this package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shared_value(shared: Broadcast):
+    return cloudpickle.loads(shared.value)
+
+
 def ensure_checkpoints(spark: SparkSession) -> str:
     """The shared folder for checkpoints; one of our own only where none is set."""
     sc = spark.sparkContext

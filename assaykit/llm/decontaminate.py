@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, map_rows
+from .common import columns, map_rows, share, shared_value
 from .words import WordNumbers, rolling
 
 WIDTH = 10
@@ -87,7 +87,7 @@ class Scan:
         self.shared, self.last = shared, last
 
     def start(self):
-        windows, numbers = self.shared.value, WordNumbers()
+        windows, numbers = shared_value(self.shared), WordNumbers()
 
         def work(doc_id, text, marks=None, items=None):
             words = [normal_words(t) for t in text]
@@ -118,14 +118,13 @@ def benchmark_blocks(benchmark: DataFrame, max_windows: int) -> int:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """Per document: words, hit words, items that occur, and whether it is contaminated."""
-    sc = docs.sparkSession.sparkContext
     df = columns(docs, doc_id="long", text="string")
     bench = columns(benchmark, item_id="string", text="string")
     blocks = benchmark_blocks(bench, max_windows)
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     for k in range(blocks):
         rows = bench.where(part == k).select(F.coalesce("item_id", F.lit("")).alias("item_id"), "text").collect()
-        shared = sc.broadcast(Windows([(r.item_id, r.text) for r in rows], width))
+        shared = share(docs.sparkSession, Windows([(r.item_id, r.text) for r in rows], width))
         last = k == blocks - 1
         df = map_rows(df, Scan(shared, last), RESULT if last else CARRIED)
     return df
@@ -138,7 +137,7 @@ class Keep:
         self.shared = shared
 
     def start(self):
-        windows, numbers = self.shared.value, WordNumbers()
+        windows, numbers = shared_value(self.shared), WordNumbers()
 
         def work(**cols):
             hits, _ = windows.scan([normal_words(t) for t in cols["text"]], numbers)
@@ -150,11 +149,10 @@ class Keep:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """The documents without any benchmark window, columns unchanged."""
-    sc = docs.sparkSession.sparkContext
     bench = columns(benchmark, item_id="string", text="string")
     blocks = benchmark_blocks(bench, max_windows)
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     for k in range(blocks):
         rows = bench.where(part == k).select(F.coalesce("item_id", F.lit("")).alias("item_id"), "text").collect()
-        docs = map_rows(docs, Keep(sc.broadcast(Windows([(r.item_id, r.text) for r in rows], width))), docs.schema)
+        docs = map_rows(docs, Keep(share(docs.sparkSession, Windows([(r.item_id, r.text) for r in rows], width))), docs.schema)
     return docs

@@ -21,7 +21,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import columns, map_rows
+from .common import columns, map_rows, share, shared_value
 
 KINDS = ("email", "ip", "card", "phone")
 RESULT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
@@ -298,7 +298,7 @@ class Find:
         self.shared = shared
 
     def start(self):
-        crf, slots = self.shared.value, Slots()
+        crf, slots = shared_value(self.shared), Slots()
 
         def work(doc_id, text):
             texts = [t or "" for t in text]
@@ -317,7 +317,7 @@ class Find:
 def personal_data(docs: DataFrame) -> DataFrame:
     """Per document: counts and digest of base spans, and all spans."""
     crf = Crf().train(read_labelled(LABELLED))
-    shared = docs.sparkSession.sparkContext.broadcast(crf)
+    shared = share(docs.sparkSession, crf)
     return map_rows(columns(docs, doc_id="long", text="string"), Find(shared), RESULT)
 
 
@@ -328,7 +328,7 @@ class Redact:
         self.shared, self.names = shared, names
 
     def start(self):
-        crf, slots = self.shared.value, Slots()
+        crf, slots = shared_value(self.shared), Slots()
 
         def work(**cols):
             texts = [t or "" for t in cols["text"]]
@@ -351,5 +351,5 @@ class Redact:
 def redact(docs: DataFrame) -> DataFrame:
     """The same rows and columns, with every span of ``text`` replaced by ``[kind]``."""
     crf = Crf().train(read_labelled(LABELLED))
-    shared = docs.sparkSession.sparkContext.broadcast(crf)
+    shared = share(docs.sparkSession, crf)
     return map_rows(docs, Redact(shared, docs.columns), docs.schema)

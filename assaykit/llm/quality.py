@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, crc_mod, held_out, labelled_sample, map_rows, sigmoid
+from .common import columns, crc_mod, held_out, labelled_sample, map_rows, share, shared_value, sigmoid
 
 #: At most so many labelled rows are fetched to fit the model.
 TRAIN_ROWS = 6000
@@ -179,7 +179,7 @@ class Score:
         self.shared = shared
 
     def start(self):
-        model = self.shared.value
+        model = shared_value(self.shared)
 
         def work(doc_id, text):
             score = model.score(np.array([describe(t) for t in text]))
@@ -195,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Tables
 
 
 def score(docs: DataFrame, model: Tables) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
     return map_rows(columns(docs, doc_id="long", text="string"), Score(shared), RESULT)
 
 
@@ -213,7 +213,7 @@ class Keep:
         self.shared, self.names = shared, names
 
     def start(self):
-        model = self.shared.value
+        model = shared_value(self.shared)
 
         def work(**cols):
             score = model.score(np.array([describe(t) for t in cols["text"]]))
@@ -225,4 +225,4 @@ class Keep:
 
 def keep_good(docs: DataFrame, model: Tables) -> DataFrame:
     """The rows of ``docs`` with a score of at least ``THRESHOLD``, columns unchanged."""
-    return map_rows(docs, Keep(docs.sparkSession.sparkContext.broadcast(model), docs.columns), docs.schema)
+    return map_rows(docs, Keep(share(docs.sparkSession, model), docs.columns), docs.schema)

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, crc_mod, held_out, labelled_sample, map_rows, sigmoid
+from .common import columns, crc_mod, held_out, labelled_sample, map_rows, share, shared_value, sigmoid
 from .words import WordNumbers, rolling, words_of
 from .words import mix as spread
 
@@ -224,7 +224,7 @@ class Score:
         self.shared = shared
 
     def start(self):
-        grammar = self.shared.value
+        grammar = shared_value(self.shared)
         classes = Classes(grammar)
 
         def work(doc_id, text):
@@ -242,7 +242,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Gramma
 
 def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
     """Every document's score by a fitted grammar."""
-    shared = docs.sparkSession.sparkContext.broadcast(grammar)
+    shared = share(docs.sparkSession, grammar)
     return map_rows(columns(docs, doc_id="long", text="string"), Score(shared), RESULT)
 
 
