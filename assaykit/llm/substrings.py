@@ -13,11 +13,12 @@ subtree is built on its own.
 * Groups of up to ``GROUP`` blocks are memory-sized. A larger one is split by the longest prefix,
   all 20 words: its suffixes travel singly, keyed by 128 bits of these words, and each task
   combines equal ones before the shuffle, so a passage in a third of all documents is a few rows.
-* In a group, suffixes are sorted; neighbours with 20 common words are leaves of one deep node.
-  The leaf with the smallest (document, start) is the first, the others are repeats.
+* In a group, suffixes are sorted by the labels of their nodes at 10 and at 20 words; neighbours
+  with equal labels are leaves of one deep node. The leaf with the smallest (document, start) is
+  the first, the others are repeats.
 
 Each document then loses the words that its repeated windows cover. Words are
-``[^\\x20\\x09-\\x0D]+``, compared exactly (128-bit digests in split groups).
+``[^\\x20\\x09-\\x0D]+``; 20 words are compared by 128 bits.
 
 Defined cases: null text has no words; documents under 20 words lose none; rows with an equal id
 and equal text are one document and get equal results, rows with an equal id and other text are
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_rows, written
-from .words import WordNumbers, rolling, sliding_min, words_of
+from .words import Layout, rolling, sliding_min
 
 WINDOW, RUN, GROUP = 20, 6, 256
 NO_ID = -(2**63)
@@ -44,30 +45,26 @@ CHUNK_SUFFIXES = 120_000
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def anchors(words: list[list[bytes]], numbers: WordNumbers):
-    """Over the joined words of some documents: where each starts, every 6-word run's number,
-    the starts of all windows that lie in one document, and the run (position) of each."""
-    lengths = np.array([len(w) for w in words], np.int64)
-    starts = np.concatenate([[0], np.cumsum(lengths)])
-    runs = rolling(numbers.of([w for doc in words for w in doc]), RUN)
+def anchors(layout: Layout):
+    """Every 6-word run's number, the starts of all windows that lie in one document, and the run
+    (position) of each."""
+    runs = rolling(layout.number, RUN)
     at = sliding_min(runs, WINDOW - RUN + 1)
-    doc = np.repeat(np.arange(len(words)), lengths)
     n = len(at)
-    inside = np.flatnonzero(doc[:n] == doc[WINDOW - 1 : WINDOW - 1 + n]) if n else np.empty(0, np.int64)
-    return starts, doc, runs, inside, at[inside]
+    inside = np.flatnonzero(layout.doc[:n] == layout.doc[WINDOW - 1 : WINDOW - 1 + n]) if n else np.empty(0, np.int64)
+    return runs, inside, at[inside]
 
 
 class Runs:
     """Every chosen run of every document: its number, the document and its position."""
 
     def start(self):
-        numbers = WordNumbers()
-
         def work(d, h, text):
-            starts, doc, runs, _, at = anchors([words_of(t) for t in text], numbers)
-            at = np.unique(at)
-            own = doc[at]
-            return {"run": runs[at].view(np.int64), "d": np.array(d, np.int64)[own], "h": np.array(h, np.int64)[own], "pos": (at - starts[own]).astype(np.int32)}
+            layout = Layout(text)
+            runs, _, at = anchors(layout)
+            at = at[np.flatnonzero(np.diff(at, prepend=-1))]  # runs of windows come in order
+            own = layout.doc[at]
+            return {"run": runs[at].view(np.int64), "d": np.array(d, np.int64)[own], "h": np.array(h, np.int64)[own], "pos": (at - layout.starts[own]).astype(np.int32)}
 
         return work
 
@@ -75,9 +72,18 @@ class Runs:
 SUFFIXES = "run long, rest long, d long, h long, start int, n int, words binary"
 
 
+def marks(layout: Layout, places: list[list[int] | None]) -> np.ndarray:
+    """Which words of the layout are at the places given for each text."""
+    out = np.zeros(len(layout.number) + WINDOW, bool)
+    sizes = [len(p) if p else 0 for p in places]
+    if any(sizes):
+        out[np.fromiter((x for p in places if p for x in p), np.int64, sum(sizes)) + np.repeat(layout.starts[:-1], sizes)] = True
+    return out
+
+
 def suffix_rows(batches):
     """Blocks of suffixes of small groups, and single suffixes of large ones (n = 0), combined."""
-    numbers, schema, first = WordNumbers(), pa.schema([("run", pa.int64()), ("rest", pa.int64()), ("d", pa.int64()), ("h", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("words", pa.binary())]), {}
+    schema, first = pa.schema([("run", pa.int64()), ("rest", pa.int64()), ("d", pa.int64()), ("h", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("words", pa.binary())]), {}
 
     def combined():
         rows = [(r - (1 << 64) if r >> 63 else r, s - (1 << 64) if s >> 63 else s, *v, 0, None) for (r, s), v in first.items()]
@@ -89,51 +95,56 @@ def suffix_rows(batches):
             part = batch.slice(a, 256)
             d, h, text, many, few = (part.column(i).to_pylist() for i in range(5))
             chosen = [k for k in range(len(d)) if many[k] or few[k]]
-            words = [words_of(text[k]) for k in chosen]
-            starts, doc, runs, inside, at = anchors(words, numbers)
-            out = []
-            cuts = np.flatnonzero(np.diff(at)) + 1
-            begins = np.concatenate([[0], cuts]) if len(at) else cuts
-            ends = np.concatenate([cuts, [len(at)]]) if len(at) else cuts
-            kept = [(set(few[k] or ()), set(many[k] or ())) for k in chosen]
-            for b, e in zip(begins.tolist(), ends.tolist()):
-                own = int(doc[at[b]])
-                pos, k = int(at[b] - starts[own]), chosen[own]
-                lo = int(inside[b] - starts[own])
-                hi = lo + e - b
-                if pos in kept[own][0]:
-                    out.append((int(runs[at[b]].view(np.int64)), 0, d[k], h[k], lo, hi - lo, b" ".join(words[own][lo : hi + WINDOW - 1])))
-                elif pos in kept[own][1]:
-                    for i in range(lo, hi):
-                        digest = xxhash.xxh3_128_intdigest(b" ".join(words[own][i : i + WINDOW]))
-                        key, value = (digest >> 64, digest & (1 << 64) - 1), (d[k], h[k], i)
-                        if key not in first or value < first[key]:
-                            first[key] = value
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+            if not chosen:
+                continue
+            layout = Layout([text[k] for k in chosen])
+            ids, hashes = np.array([d[k] for k in chosen], np.int64), np.array([h[k] for k in chosen], np.int64)
+            runs, inside, at = anchors(layout)
+            begins = np.flatnonzero(np.diff(at, prepend=-1))
+            counts = np.diff(begins, append=len(at))
+            lows, run_at = inside[begins], at[begins]
+            raw, begin, end = layout.raw, layout.begin, layout.end
+            small = np.flatnonzero(marks(layout, [few[k] for k in chosen])[run_at])
+            if len(small):
+                lo, n, own = lows[small], counts[small], layout.doc[lows[small]]
+                words = [raw[x:y] for x, y in zip(begin[lo].tolist(), end[lo + n + WINDOW - 2].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(runs[run_at[small]].view(np.int64)), pa.array(np.zeros(len(small), np.int64)), pa.array(ids[own]), pa.array(hashes[own]), pa.array((lo - layout.starts[own]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(words, pa.binary())], schema=schema)
+            large = np.flatnonzero(marks(layout, [many[k] for k in chosen])[run_at])
+            for lo, n in zip(lows[large].tolist(), counts[large].tolist()):
+                own = int(layout.doc[lo])
+                words = raw[begin[lo] : end[lo + n + WINDOW - 2]].split()
+                for i in range(n):
+                    digest = xxhash.xxh3_128_intdigest(b" ".join(words[i : i + WINDOW]))
+                    key, value = (digest >> 64, digest & (1 << 64) - 1), (d[chosen[own]], h[chosen[own]], lo + i - int(layout.starts[own]))
+                    if key not in first or value < first[key]:
+                        first[key] = value
             if len(first) > COMBINED:
                 yield combined()
     if first:
         yield combined()
 
 
+HALF = WINDOW // 2
+
+
 def subtree(d, h, start, n, words):
     """First leaves of the deep nodes of some whole groups: a bit mask for each block.
 
-    The suffixes are sorted by words (as the leaves of the subtree stand), and neighbours with
-    ``WINDOW`` common words belong to one node.
+    The subtree is kept at two depths. Suffixes are sorted by the label of their node at half the
+    depth, then by what leads from there to the full depth (64 bits each), as its leaves stand;
+    neighbours with equal labels are leaves below one deep node.
     """
-    ids: dict[bytes, int] = {}
-    split = [w.split(b" ") for w in words]
-    flat = np.fromiter((ids.setdefault(w, len(ids)) for s in split for w in s), np.uint32)
-    begin = np.concatenate([[0], np.cumsum([len(s) for s in split])])[:-1]
+    layout = Layout(words)
+    labels = rolling(layout.number, HALF)
     block = np.repeat(np.arange(len(n)), n)
     offset = np.arange(len(block)) - np.repeat(np.cumsum(n) - n, n)
-    leaves = np.lib.stride_tricks.sliding_window_view(flat, WINDOW)[begin[block] + offset]
-    leaves = np.ascontiguousarray(leaves.byteswap()).view(f"V{4 * WINDOW}").ravel()
-    by_place = np.lexsort((start[block] + offset, h[block], d[block]))
-    _, firsts = np.unique(leaves[by_place], return_index=True)
-    chosen = by_place[firsts]
+    leaf = layout.starts[block] + offset
+    upper, lower = labels[leaf], labels[leaf + HALF]
+    place = start[block] + offset
+    order = np.lexsort((place, h[block], d[block], lower, upper))
+    upper, lower = upper[order], lower[order]
+    new = np.concatenate([[True], (upper[1:] != upper[:-1]) | (lower[1:] != lower[:-1])])
+    chosen = order[new]
     mask = np.zeros(len(n), np.int64)
     np.bitwise_or.at(mask, block[chosen], np.int64(1) << offset[chosen])
     return mask
@@ -145,7 +156,7 @@ def first_rows(batches):
 
     def rows(table):
         cols = [table.column(i) for i in range(7)]
-        run, rest, d, h, start, n = (c.to_numpy(zero_copy_only=False) for c in cols[:6])
+        run, rest, d, h, start, n = (c.to_numpy() for c in cols[:6])
         single = n == 0
         if single.any():
             order = np.lexsort((start, h, d, rest, run))
@@ -170,52 +181,44 @@ def first_rows(batches):
                 run = table.column(0).to_numpy()
                 done = int(np.searchsorted(run, run[-1]))  # the last group may go on
                 if done:
-                    yield from rows(pa.Table.from_batches(table.slice(0, done).to_batches()).combine_chunks())
+                    yield from rows(table.slice(0, done))
                     rest = table.slice(done)
                     held, size = rest.to_batches(), int(np.maximum(rest.column(5).to_numpy(), 1).sum())
     if held:
-        yield from rows(pa.Table.from_batches(held).combine_chunks())
+        yield from rows(pa.Table.from_batches(held))
 
 
 class Remove:
     """Removes the words that repeated windows cover."""
 
     def start(self):
-        numbers = WordNumbers()
-
         def work(d, h, text, many, few, firsts):
-            words = [words_of(t) for t in text]
-            some = [k for k in range(len(d)) if many[k] or few[k]]
-            starts, doc, _, inside, at = anchors([words[k] for k in some], numbers)
-            kept = [np.ones(len(w), bool) for w in words]
-            if len(at):
-                total = int(starts[-1])
-                marked = np.zeros(total + WINDOW, bool)
-                for own, k in enumerate(some):
-                    marked[np.array([*(many[k] or ()), *(few[k] or ())], np.int64) + starts[own]] = True
-                repeated = np.zeros(total + 1, bool)
-                repeated[inside[marked[at]]] = True
-                for own, k in enumerate(some):
-                    for f in firsts[k] or ():
-                        mask, begin = f["mask"], int(starts[own]) + f["start"]
-                        while mask:
-                            low = mask & -mask
-                            repeated[begin + low.bit_length() - 1] = False
-                            mask ^= low
-                edges = np.zeros(total + WINDOW + 1, np.int64)
-                hit = np.flatnonzero(repeated)
-                edges[hit] += 1
-                np.subtract.at(edges, hit + WINDOW, 1)
-                covered = np.cumsum(edges)[:total] > 0
-                for own, k in enumerate(some):
-                    kept[k] = ~covered[starts[own] : starts[own + 1]]
-            texts = [w if m.all() else [w[i] for i in np.flatnonzero(m).tolist()] for w, m in zip(words, kept)]
-            return {
-                "doc_id": [None if x == NO_ID else x for x in d],
-                "n_words": [len(w) for w in words],
-                "n_removed": [len(w) - len(t) for w, t in zip(words, texts)],
-                "kept_sha256": [hashlib.sha256(b" ".join(t)).hexdigest() for t in texts],
-            }
+            layout = Layout(text)
+            _, inside, at = anchors(layout)
+            total = len(layout.number)
+            repeated = np.zeros(total + 64, bool)
+            repeated[inside[(marks(layout, many) | marks(layout, few))[at]]] = True
+            sizes = [len(f) if f else 0 for f in firsts]
+            if any(sizes):
+                found = [x for f in firsts if f for x in f]
+                begin = np.array([x["start"] for x in found], np.int64) + np.repeat(layout.starts[:-1], sizes)
+                mask = np.array([x["mask"] for x in found], np.int64)
+                for k in range(WINDOW - RUN + 1):
+                    repeated[begin[(mask >> k) & 1 == 1] + k] = False
+            hit = np.flatnonzero(repeated[:total])
+            edges = np.zeros(total + WINDOW + 1, np.int32)
+            edges[hit] += 1
+            edges[hit + WINDOW] -= 1
+            kept = np.cumsum(edges)[:total] <= 0
+            lost = np.diff(np.concatenate([[0], np.cumsum(~kept)])[layout.starts])
+            digests = []
+            for k in range(len(d)):
+                words = layout.joined(k)
+                if lost[k]:
+                    split = words.split()
+                    words = b" ".join([split[i] for i in np.flatnonzero(kept[layout.starts[k] : layout.starts[k + 1]]).tolist()])
+                digests.append(hashlib.sha256(words).hexdigest())
+            return {"doc_id": [None if x == NO_ID else x for x in d], "n_words": np.diff(layout.starts), "n_removed": lost, "kept_sha256": digests}
 
         return work
 

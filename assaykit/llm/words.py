@@ -63,3 +63,47 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
         low = np.where(keep, low[:-step], low[step:])
         span += step
     return at[:n]
+
+
+# A number for each byte value (white space: zero) and odd powers for places inside a word.
+_random = np.random.Generator(np.random.PCG64(20))
+BYTE_NUMBERS = _random.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+BYTE_NUMBERS[SPACE] = 0
+PLACES = 4096
+PLACE_NUMBERS = _random.integers(1, 1 << 63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+class Layout:
+    """The words of some texts without making a Python object of each.
+
+    ``raw`` holds the texts one after the other; word k is ``raw[begin[k]:end[k]]``, has the
+    64-bit ``number[k]`` and belongs to text ``doc[k]``; text d has the words ``starts[d]`` up to
+    ``starts[d + 1]``.
+    """
+
+    def __init__(self, texts: list[str | bytes | None]):
+        parts = [t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        self.raw = b"\n".join([*parts, b""])
+        data = np.frombuffer(self.raw, np.uint8)
+        inside = ~SPACE[data]
+        edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+        self.begin, self.end = edges[::2], edges[1::2]
+        offsets = np.cumsum([0, *(len(p) + 1 for p in parts)])
+        self.starts = np.searchsorted(self.begin, offsets)
+        self.doc = np.repeat(np.arange(len(texts)), np.diff(self.starts))
+        if len(self.begin):
+            spans = np.diff(self.begin, append=len(data))
+            first = int(self.begin[0])
+            place = np.arange(first, len(data)) - np.repeat(self.begin, spans)
+            with np.errstate(over="ignore"):
+                terms = BYTE_NUMBERS[data[first:]] * PLACE_NUMBERS[place & (PLACES - 1)]
+                self.number = mix(np.add.reduceat(terms, self.begin - first) + (self.end - self.begin).astype(np.uint64))
+        else:
+            self.number = np.empty(0, np.uint64)
+
+    def joined(self, doc: int) -> bytes:
+        """A text's words, joined by one space."""
+        a, b = self.starts[doc], self.starts[doc + 1]
+        return b" ".join(self.raw[self.begin[a] : self.end[b - 1]].split()) if b > a else b""
