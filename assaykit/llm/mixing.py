@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_WORDS = 64
-SHARD_DOCS = 4000
+SHARD_DOCS = 1000
 SEED = 17
 MOST = 3
 
