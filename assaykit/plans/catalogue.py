@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import screening, tables
+
+QUERIES = screening.QUERIES | tables.QUERIES
+ORACLES = screening.ORACLES | tables.ORACLES
