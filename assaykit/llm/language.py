@@ -102,7 +102,9 @@ def cue_table(scored: DataFrame, name: str, langs: list[str]) -> DataFrame:
 def identify(pages: DataFrame, documents: DataFrame, limit: int = TRAIN_ROWS) -> DataFrame:
     """page_id, url, host, lang, confidence, text_lang, declared, suffix of every page."""
     train = columns(documents, doc_id="long", lang="string", text="string").where("lang IS NOT NULL AND text IS NOT NULL")
-    rows = train.orderBy(F.xxhash64(F.lit("language"), "doc_id"), "doc_id").limit(limit).select("lang", "text").collect()
+    # ids alone are ordered; the chosen texts are then fetched by a broadcast of ``limit`` ids
+    chosen = train.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64(F.lit("language"), "doc_id"), "doc_id").limit(limit)
+    rows = train.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "lang", F.md5("text")).select("lang", "text").collect()
     langs, table = fit([(r.lang, r.text) for r in rows])
     spread = with_host(pages).select("page_id", "url", "host", "html")
     if not langs:
