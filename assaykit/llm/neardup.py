@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import columns, map_rows
 from .components import components
+from .words import mix
 
 DISTANCE = 3
 SHINGLE = 3
@@ -178,3 +179,125 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     out = rows.join(every, "fp")
     null = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
     return out.select(null("doc_id"), "fp", null("component_id"))
+
+
+# --- Near copies at larger distances -----------------------------------------------------------
+#
+# An edit that leaves 0.8 of the 5-word shingles moves some ten of 64 bits, so three bits miss most
+# near copies. The wide mode keeps the embedding and the grid, and takes many grids instead of a
+# pigeonhole: each of WIDE_GRIDS grids has WIDE_BITS segments of one bit, drawn by a fixed seed, and
+# fingerprints in one cell are compared on 128 bits. Two texts that differ in a share d of their
+# bits meet in a grid with probability (1 - d)^WIDE_BITS.
+
+WIDE_GRIDS, WIDE_BITS, WIDE_DISTANCE = 56, 16, 20
+SMALL_CELL = 8
+
+
+def grid_bits() -> np.ndarray:
+    order = np.random.Generator(np.random.PCG64(6))
+    return np.array([np.sort(order.permutation(64)[:WIDE_BITS]) for _ in range(WIDE_GRIDS)], np.uint64)
+
+
+class WidePrint:
+    """Two 64-bit fingerprints of 3-word shingles: XXH64, and a mix of it."""
+
+    def start(self):
+        k, digest = SHINGLE, xxhash.xxh64_intdigest
+
+        def half(h: np.ndarray) -> np.ndarray:
+            return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+        def one(text) -> tuple[int, int]:
+            words = text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
+            if not words:
+                return 0, 0
+            runs = [b" ".join(words)] if len(words) < k else [b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)]
+            totals, n = [np.zeros(64, np.int64), np.zeros(64, np.int64)], len(runs)
+            for at in range(0, n, 65536):
+                h = np.fromiter((digest(r, 42) for r in runs[at : at + 65536]), np.uint64, min(65536, n - at))
+                totals[0] += half(h)
+                totals[1] += half(mix(h))
+            a, b = (int(np.packbits((t * 2 > n).astype(np.uint8), bitorder="little").view(np.int64)[0]) for t in totals)
+            return a, b
+
+        def work(doc_id, text):
+            found = [one(t) for t in text]
+            return {"doc_id": doc_id, "fp": [f[0] for f in found], "fp2": [f[1] for f in found]}
+
+        return work
+
+
+def wide_cells(batches):
+    bits = grid_bits()
+    for batch in batches:
+        cols = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)]
+        fp = cols[0].view(np.uint64)
+        for g, own in enumerate(bits):
+            cell = np.full(len(fp), np.uint64(g << WIDE_BITS))
+            for place, bit in enumerate(own):
+                cell |= ((fp >> bit) & np.uint64(1)) << np.uint64(place)
+            yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), *map(pa.array, cols)], names=["cell", "fp", "fp2", "low"])
+
+
+def wide_links(batches):
+    """Links inside each cell, rows sorted by cell. In small cells every pair is compared. In
+    others a row that is linked already opens no star of its own; all later rows are still
+    compared with every row that does, so a crowd of copies costs a few passes, not all pairs."""
+
+    def near(fp, fp2, i, j):
+        return np.bitwise_count(fp[i] ^ fp[j]) + np.bitwise_count(fp2[i] ^ fp2[j]).astype(np.int64) <= WIDE_DISTANCE
+
+    def links(cols):
+        cell, (fp, fp2), low = cols[0], (c.view(np.uint64) for c in cols[1:3]), cols[3]
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]])
+        sizes = np.diff(edges)
+        us, vs = [], []
+        small = np.repeat(sizes <= SMALL_CELL, sizes)
+        for shift in range(1, SMALL_CELL):
+            at = np.flatnonzero(small[:-shift] & (cell[:-shift] == cell[shift:])) if len(cell) > shift else np.empty(0, np.int64)
+            if not len(at):
+                break
+            at = at[near(fp, fp2, at, at + shift)]
+            us.append(low[at])
+            vs.append(low[at + shift])
+        for k in np.flatnonzero(sizes > SMALL_CELL).tolist():
+            a, b = int(edges[k]), int(edges[k + 1])
+            linked = np.zeros(b - a, bool)
+            for i in range(a, b - 1):
+                if not linked[i - a]:
+                    j = np.arange(i + 1, b)
+                    j = j[near(fp, fp2, i, j)]
+                    linked[j - a] = True
+                    us.append(np.full(len(j), low[i]))
+                    vs.append(low[j])
+        u, v = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (us, vs))
+        pairs = np.unique(np.stack([u, v], axis=1), axis=0) if len(u) else np.empty((0, 2), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+
+    left = [np.empty(0, np.int64) for _ in range(4)]
+    for batch in batches:
+        cols = [np.concatenate([x, batch.column(i).to_numpy(zero_copy_only=False)]) for i, x in enumerate(left)]
+        done = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0
+        left = [c[done:] for c in cols]
+        if done:
+            yield links([c[:done] for c in cols])
+    if len(left[0]):
+        yield links(left)
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """doc_id, component_id by links of up to ``WIDE_DISTANCE`` of 128 bits: exact copies always,
+    near copies (0.8 of their 5-word shingles or more) with a recall that tests measure."""
+    from .common import cut
+
+    plain = columns(docs, doc_id="long", text="string")
+    rows = cut(map_rows(plain, WidePrint(), "doc_id long, fp long, fp2 long").withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))))
+    classes = rows.groupBy("fp", "fp2").agg(F.min("doc_id").alias("low"))
+    cells = classes.select("fp", "fp2", "low").mapInArrow(wide_cells, "cell long, fp long, fp2 long, low long")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = cells.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(wide_links, "u long, v long").distinct()
+    named = components(links)
+    every = classes.join(named.withColumnRenamed("node", "low"), "low", "left").select("fp", "fp2", F.coalesce("component", "low").alias("component_id"))
+    out = rows.join(every, ["fp", "fp2"])
+    null = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
+    return out.select(null("doc_id"), null("component_id"))

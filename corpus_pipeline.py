@@ -26,7 +26,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates; of rows that share an
     id, which are versions of one document, the one with the smallest text."""
     plain = columns(docs, **COLUMNS)
-    found = neardup.near_duplicates(plain)
+    found = neardup.near_copies(plain)
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(neardup.NO_ID)).alias("key")).distinct()
     keyed = plain.withColumn("key", F.coalesce("doc_id", F.lit(neardup.NO_ID))).join(first, "key", "left_semi")
     same = Window.partitionBy("key").orderBy(*[F.col(c).asc_nulls_first() for c in ("text", "lang", "source", "n_chars")])
