@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_WORDS = 64
+BLOCK_WORDS = 16
 SHARD_DOCS = 1000
 SEED = 17
 MOST = 3
@@ -91,7 +91,7 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_docs: int = SHARD
     ids = ids.withColumn("shard", number(seeded(seed, F.col("doc_id"))) % shards)
     by_shard = ids.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"))
     by_source = targets(by_shard.groupBy("source").agg(F.sum("shard_size").alias("source_size")), most)
-    seats = by_source.withColumns({"__all": F.lit(1), "blocks": F.round(F.sum("target").over(Window.partitionBy(F.lit(1))) / block_words).cast("long"), "most": F.floor(F.lit(most) * F.col("source_size") / block_words).cast("long")})
+    seats = by_source.withColumns({"__all": F.lit(1), "blocks": F.round(F.sum("target").over(Window.partitionBy(F.lit(1))) / block_words).cast("long"), "most": F.ceil(F.lit(most) * F.col("source_size") / block_words).cast("long")})
     seats = apportion(seats, ["__all"], [F.col("source").asc_nulls_last()], "target", "blocks", "most").withColumnRenamed("quota", "source_quota")
     shard = by_shard.join(seats.select(F.col("source").alias("s2"), "source_size", "target", "source_quota"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
     shard = shard.withColumns({"votes": F.col("shard_size").cast("double"), "most": F.ceil(F.col("shard_size") / block_words) * most})

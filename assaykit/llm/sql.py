@@ -84,7 +84,7 @@ src AS (
   FROM leveled
 ), party AS (
   SELECT *, CAST(round((SELECT sum(target) FROM target) / {BLOCK_WORDS}) AS BIGINT) AS blocks,
-         floor({MOST} * source_size / {BLOCK_WORDS}) AS most FROM target
+         ceil({MOST} * source_size / {BLOCK_WORDS}) AS most FROM target
 ), {_apportioned("a", "party", "1", "source NULLS LAST", "target", "blocks", "most")},
 quota AS (SELECT p.*, coalesce(w.n, 0) AS source_quota FROM party p LEFT JOIN (SELECT source, count(*) AS n FROM a_won GROUP BY source) w ON p.source IS NOT DISTINCT FROM w.source),
 part AS (

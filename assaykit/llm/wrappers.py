@@ -35,6 +35,9 @@ SAMPLE = 6
 RESULT = "page_id long, url string, text string, n_chars long"
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
+#: The path of a page that has no element to hold its text.
+WHOLE = ""
+
 # Fixed vocabulary of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg math object textarea title xmp".split())
@@ -226,13 +229,15 @@ def infer(pages: list[str]) -> dict:
         whole = max(inside.values())
         # the deepest element that keeps nearly all of the changing text
         paths = [p for p, size in inside.items() if size >= 0.8 * whole and not re.search(r">(?:p|span|b|i|em|strong|li|a|h[1-6])(?:\.[^>]*)?$", p)]
-        roots = [max(paths, key=lambda p: (p.count(">"), p))] if paths else []
-    return {"roots": sorted(roots), "slots": len(open_slots), "groups": sum(isinstance(x, tuple) for x in wrapper)}
+        roots = [max(paths, key=lambda p: (p.count(">"), p))] if paths else [WHOLE]
+    return {"roots": sorted(roots) or [WHOLE], "slots": len(open_slots), "groups": sum(isinstance(x, tuple) for x in wrapper)}
 
 
 def text_blocks(page: str, roots: list[str]) -> tuple[list[str], bool]:
     """Blocks inside the roots, and whether a root was there."""
-    wanted, blocks, parts, depth, found = set(roots), [], [], 0, False
+    wanted, blocks, parts = set(roots), [], []
+    found = WHOLE in wanted
+    depth = int(found)
 
     def flush() -> None:
         block = " ".join(entities.unescape("".join(parts)).split())
