@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import screening, tables
+from . import screening, tables, texts
 
-QUERIES = screening.QUERIES | tables.QUERIES
-ORACLES = screening.ORACLES | tables.ORACLES
+QUERIES = screening.QUERIES | tables.QUERIES | texts.QUERIES
+ORACLES = screening.ORACLES | tables.ORACLES | texts.ORACLES
