@@ -84,7 +84,7 @@ def sentence_spans(text: str) -> list[tuple[int, int, bool]]:
 
 NUMBER = r"[-−]?\d+(?:[ ,]\d{3})*(?:\.\d+)?"
 UNIT = r"%|percentage points?|°\s?C|℃|K\b|ppmv?\b|h\s?[-−⁻^]\s?1|s\s?[-−⁻^]\s?1|mL(?:/min|\s?min[-−⁻]1)|m[2²]/g|cm[3³]/g|mmol/g|μmol/g|kJ/mol|wt\.?\s?%|nm\b|bar\b|kPa\b|MPa\b|mg\b|g\b|min\b|h\b|fold\b|times\b"
-BOUND = r"(?P<bound>more than|greater than|higher than|over|above|exceed(?:s|ing)?|less than|lower than|below|under|at least|no less than|at most|up to|about|approximately|around|ca\.?|nearly|[<>≤≥≈~])?"
+BOUND = r"(?P<bound>more than|greater than|higher than|over|above|exceed(?:s|ed|ing)?|less than|lower than|below|under|at least|no less than|at most|up to|about|approximately|around|ca\.?|nearly|[<>≤≥≈~])?"
 QUANTITY = re.compile(rf"{BOUND}\s*(?P<value>{NUMBER})(?:\s*(?:±|\+/-)\s*(?P<error>\d+(?:\.\d+)?))?(?:\s*(?:-|–|to)\s*(?P<high>{NUMBER}))?\s*(?P<unit>{UNIT})", re.IGNORECASE)
 OPERATORS = {"more than": "gt", "greater than": "gt", "higher than": "gt", "over": "gt", "above": "gt", "exceed": "gt", ">": "gt", "less than": "lt", "lower than": "lt", "below": "lt", "under": "lt", "<": "lt", "at least": "ge", "no less than": "ge", "≥": "ge", "at most": "le", "up to": "le", "≤": "le"}
 UNIT_NAMES = {"℃": "°C", "ml/min": "mL/min", "m2/g": "m²/g", "cm3/g": "cm³/g", "times": "fold", "wt%": "wt%", "wt.%": "wt%"}

@@ -21,10 +21,11 @@ def merge_first(df: DataFrame, key: list[str], order: str, scalars: list[str], l
         held = F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(F.col(order).alias("o"), F.col(c).alias("v")))))
         aggs.append(F.array_distinct(F.flatten(F.transform(held, lambda x: x["v"]))).alias(c))
     for c in maps:
-        entries = F.array_sort(F.flatten(F.collect_list(F.transform(F.map_entries(c), lambda e: F.struct(e["key"].alias("key"), F.col(order).alias("o"), e["value"].alias("value"))))))
+        entries = F.array_sort(F.flatten(F.collect_list(f"__{c}")))
         last = F.filter(entries, lambda e, i: F.coalesce(F.get(entries, i + 1)["key"] != e["key"], F.lit(True)))
         aggs.append(F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], e["value"]))).alias(c))
-    return df.groupBy(*key).agg(F.min(order).alias(order), F.count(F.lit(1)).alias("n_merged"), *aggs)
+    placed = df.withColumns({f"__{c}": F.transform(F.map_entries(c), lambda e: F.struct(e["key"].alias("key"), F.col(order).alias("o"), e["value"].alias("value"))) for c in maps})
+    return placed.groupBy(*key).agg(F.min(order).alias(order), F.count(F.lit(1)).alias("n_merged"), *aggs)
 
 
 def bridged_key(df: DataFrame, doi: str, title: str, year: str, order: str) -> DataFrame:

@@ -376,8 +376,8 @@ def tick_fit_linear_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TICKS = """
 WITH t AS (SELECT DISTINCT l_orderkey, CAST(l_linenumber AS DOUBLE) AS p, CASE WHEN l_orderkey % 2 = 0 THEN pow(10.0, l_linenumber) ELSE l_linenumber * 5.0 + 3 END AS v FROM lineitem WHERE l_orderkey % 3 = 0),
 f AS (SELECT l_orderkey, count(*) AS n, regr_slope(v, p) AS s, regr_r2(v, p) AS r2, regr_slope(log10(v), p) AS ls, regr_r2(log10(v), p) AS lr2 FROM t GROUP BY l_orderkey),
-g AS (SELECT *, coalesce(n >= 3 AND r2 >= 0.98, false) AS lin, coalesce(n >= 3 AND lr2 >= 0.98, false) AS lg FROM f)
-SELECT l_orderkey, n AS n_ticks, floor(s * 1000 + 0.5) / 1000 AS slope, floor(ls * 1000000 + 0.5) / 1000000 AS log_slope, CASE WHEN lin AND lg THEN 'ambiguous' WHEN lin THEN 'linear' WHEN lg THEN 'log' ELSE 'none' END AS scale FROM g
+g AS (SELECT *, coalesce(n >= 3 AND r2 >= 0.98 AND NOT isnan(r2), false) AS lin, coalesce(n >= 3 AND lr2 >= 0.98 AND NOT isnan(lr2), false) AS lg FROM f)
+SELECT l_orderkey, n AS n_ticks, CASE WHEN n > 1 THEN floor(s * 1000 + 0.5) / 1000 END AS slope, CASE WHEN n > 1 THEN floor(ls * 1000000 + 0.5) / 1000000 END AS log_slope, CASE WHEN lin AND lg THEN 'ambiguous' WHEN lin THEN 'linear' WHEN lg THEN 'log' ELSE 'none' END AS scale FROM g
 """
 
 
