@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -170,12 +171,25 @@ def learn_lexicon(sample: list[tuple[str, int]], least: int = 3, purity: float =
                         endings.setdefault(w[:k], set()).add(w)
     n = [len({g for g, (_, y) in zip(groups, sample) if y == label}) or 1 for label in (0, 1)]
 
+    support: Counter = Counter()
+    for key in seen[0].keys() | seen[1].keys():
+        support[key[1], len(seen[0].get(key, ())) + len(seen[1].get(key, ()))] += 1
+    share = n[1] / (n[0] + n[1])
+
+    def by_chance(pos: int, neg: int, whole: bool) -> float:
+        """Terms of this support that would look as toxic if toxicity fell on texts at random."""
+        total = pos + neg
+        ways = lambda k: math.lgamma(total + 1) - math.lgamma(k + 1) - math.lgamma(total - k + 1)
+        tail = sum(math.exp(ways(k) + k * math.log(share) + (total - k) * math.log1p(-share)) for k in range(pos, total + 1))
+        return tail * support[whole, total]
+
     def chosen(whole: bool) -> dict[str, float]:
         out = {}
         for (w, kind), held in seen[1].items():
             if kind == whole and len(held) >= max(least, 0.004 * n[1]):
-                p, q = len(held) / n[1], len(seen[0].get((w, kind), ())) / n[0]
-                if p / (p + q) >= (purity if whole else stem_purity):
+                other = len(seen[0].get((w, kind), ()))
+                p, q = len(held) / n[1], other / n[0]
+                if p / (p + q) >= (purity if whole else stem_purity) and by_chance(len(held), other, whole) < 0.5:
                     out[w] = p / (p + q)
         return out
 

@@ -48,8 +48,10 @@ def test_grammar_marks_clauses():
 
 
 def test_copies_are_one_witness():
-    base = "alpha beta gamma strangeword delta epsilon zeta eta theta iota " * 3
-    sample = [(base + f"idiot n{i}", 1) for i in range(20)] + [(f"{w} idiot {w}x other words here {w}y", 1) for w in "abcdefghij"] + [(f"clean words {w} and {w}z only in this text", 0) for w in "klmnopqrstuvwxyz"]
+    rng = random.Random(6)
+    some = lambda: " ".join(f"word{rng.choice('abcdefghijklmnop')}{rng.choice('abcdefgh')}" for _ in range(25))
+    base = some() + " strangeword " + some()
+    sample = [(base + f" idiot n{i}", 1) for i in range(20)] + [(some() + " idiot " + some(), 1) for _ in range(15)] + [(some(), 0) for _ in range(30)]
     words, _ = toxicity.learn_lexicon(sample)
     assert "idiot" in words and "strangeword" not in words
 
