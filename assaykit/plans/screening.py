@@ -102,14 +102,14 @@ def chart_role_multilabel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_type_from_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     blocks = docs.select("doc_id", "lang", "title", F.posexplode(F.split("text", "\n")).alias("block_no", "block"))
-    whole = blocks.groupBy("doc_id", "lang", "title").agg(F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "block"))), lambda b: b["block"]), " "), 1, 80_000).alias("text"), F.count(F.lit(1)).alias("n_blocks"))
+    whole = blocks.groupBy("doc_id", "lang", "title").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "block"))), lambda b: b["block"]), " ").alias("text"), F.count(F.lit(1)).alias("n_blocks"))
     kind = screening.document_type(F.col("lang"), F.col("title"), F.col("text"), F.col("n_blocks") > 40, ["haing", "ndea", "wher", "tionha", "oner"], "thstinnt", "license", "eriner")
     return whole.select("doc_id", "n_blocks", kind.alias("document_type"))
 
 
 _DOCTYPE = f"""
 WITH b AS (SELECT doc_id, split_part(text, chr(10), 1) AS title, string_split(text, chr(10)) AS parts FROM documents),
-w AS (SELECT doc_id, title, CAST(len(parts) AS BIGINT) AS n_blocks, substr(array_to_string(parts, ' '), 1, 80000) AS text FROM b)
+w AS (SELECT doc_id, title, CAST(len(parts) AS BIGINT) AS n_blocks, array_to_string(parts, ' ') AS text FROM b)
 SELECT doc_id, n_blocks, CASE WHEN n_blocks > 40 THEN 'structured_data' WHEN {_has('thstinnt', 'title')} THEN 'review' WHEN {_has('license')} THEN 'review'
   WHEN {_has('eriner', 'title')} THEN 'supplementary_information'
   WHEN {' + '.join(f'CAST({_has(p)} AS INTEGER)' for p in ['haing', 'ndea', 'wher', 'tionha', 'oner'])} >= 2 THEN 'research_article' ELSE 'unknown' END AS document_type FROM w
@@ -294,28 +294,28 @@ FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey LEFT JOIN nation ON n_
 
 def reextract_carry_over(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    new = docs.where("doc_id % 10 <> 7").select("doc_id", "lang", F.when(F.col("doc_id") % 4 == 0, F.lit("changed")).otherwise(F.col("source")).alias("source"))
-    old = docs.where("doc_id % 10 <> 3").select("doc_id", "lang", "source", F.when(F.col("n_chars") > 500, "reviewed").otherwise("draft").alias("review_status"))
+    new = docs.where("lang <> 'es'").select("doc_id", "lang", F.when(F.col("doc_id") % 4 == 0, F.lit("changed")).otherwise(F.col("source")).alias("source"))
+    old = docs.where("n_chars >= 300").select("doc_id", "lang", "source", F.when(F.col("n_chars") > 500, "reviewed").otherwise("draft").alias("review_status"))
     return merge.carry_over(new, old, "doc_id", ["lang", "source"]).select("doc_id", "previous_status", "review_status")
 
 
 _CARRY = """
-WITH n AS (SELECT doc_id, lang, CASE WHEN doc_id % 4 = 0 THEN 'changed' ELSE source END AS source FROM documents WHERE doc_id % 10 <> 7),
-o AS (SELECT doc_id, lang, source, CASE WHEN n_chars > 500 THEN 'reviewed' ELSE 'draft' END AS st FROM documents WHERE doc_id % 10 <> 3)
+WITH n AS (SELECT doc_id, lang, CASE WHEN doc_id % 4 = 0 THEN 'changed' ELSE source END AS source FROM documents WHERE lang <> 'es'),
+o AS (SELECT doc_id, lang, source, CASE WHEN n_chars > 500 THEN 'reviewed' ELSE 'draft' END AS st FROM documents WHERE n_chars >= 300)
 SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, o.st AS previous_status, CASE WHEN n.doc_id IS NULL THEN 'stale' WHEN o.doc_id IS NULL THEN 'unreviewed'
   WHEN n.lang IS NOT DISTINCT FROM o.lang AND n.source IS NOT DISTINCT FROM o.source THEN o.st ELSE 'unreviewed' END AS review_status FROM n FULL JOIN o ON n.doc_id = o.doc_id
 """
 
 
 def gold_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gold = table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.substring("text", 1, 12)).alias("field"), F.lower(F.substring("text", 1, 4)).alias("stem"))
-    found = table(spark, sf_dir, "documents").select(F.lower(F.substring("text", 1, 12)).alias("field"), F.lower(F.substring("text", 1, 4)).alias("stem"))
-    return dedup.coverage(gold, found, ["field"], ["stem"]).select("item_id", "status")
+    fields = (F.lower(F.substring_index("text", ".", 1)).alias("field"), F.lower(F.substring_index("text", " ", 1)).alias("stem"))
+    gold = table(spark, sf_dir, "benchmark").select("item_id", *fields)
+    return dedup.coverage(gold, table(spark, sf_dir, "documents").select(*fields), ["field"], ["stem"]).select("item_id", "status")
 
 
 _GOLD = """
-SELECT item_id, CASE WHEN lower(substr(text, 1, 12)) IN (SELECT lower(substr(text, 1, 12)) FROM documents) THEN 'covered'
-  WHEN lower(substr(text, 1, 4)) IN (SELECT lower(substr(text, 1, 4)) FROM documents) THEN 'partial' ELSE 'missing' END AS status FROM benchmark
+SELECT item_id, CASE WHEN lower(split_part(text, '.', 1)) IN (SELECT lower(split_part(text, '.', 1)) FROM documents) THEN 'covered'
+  WHEN lower(split_part(text, ' ', 1)) IN (SELECT lower(split_part(text, ' ', 1)) FROM documents) THEN 'partial' ELSE 'missing' END AS status FROM benchmark
 """
 
 

@@ -287,8 +287,8 @@ def comparison_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_ordering(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank = F.when(F.col("o_orderstatus") == "O", 0).when(F.col("o_orderstatus") == "P", 1).otherwise(2)
-    ordered = table(spark, sf_dir, "orders").withColumn("rank", rank).orderBy("rank", F.desc("o_totalprice"), "o_orderkey").limit(200)
-    return ordered.select("o_orderkey", "rank", "o_totalprice")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", rank.alias("rank"), (-F.col("o_totalprice")).alias("by_price"))
+    return encode.aligned_index(rows, ["rank", "by_price", "o_orderkey"], 8).select("o_orderkey", "rank", F.col("row_index").alias("position"))
 
 
 def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -310,7 +310,7 @@ def latest_state_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spans(spark: SparkSession, sf_dir: str, shift: int, size: int) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where(F.col("n_chars") >= 1).select(F.col("doc_id"), F.explode(F.sequence(F.lit(0), F.least(F.floor(F.col("n_chars") / 400), F.lit(200)))).alias("k"))
+    docs = table(spark, sf_dir, "documents").where(F.col("n_chars") >= 1).select(F.col("doc_id"), F.explode(F.sequence(F.lit(0), F.floor(F.col("n_chars") / 400))).alias("k"))
     return docs.select("doc_id", F.concat_ws("-", "doc_id", "k").alias("span_id"), (F.col("k") * 400 + shift + F.col("doc_id") % 90).alias("start"), (F.col("k") * 400 + shift + F.col("doc_id") % 90 + size + F.col("k") % 30).alias("end"), F.when(F.col("k") % 2 == 0, "a").otherwise("b").alias("kind"))
 
 
@@ -324,12 +324,12 @@ def interval_overlap_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def interval_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = renamed(spans(spark, sf_dir, 10, 140).where("doc_id % 3 <> 0"))
+    near = renamed(spans(spark, sf_dir, 10, 140).where("kind = 'a' OR start > 2000"))
     return dedup.without_near_duplicates(spans(spark, sf_dir, 0, 150), near, ["doc_id"], "kind", "span_id").select("span_id", "start", "end")
 
 
 def _spans(shift: int, size: int) -> str:
-    return f"SELECT doc_id, doc_id || '-' || k AS span_id, k * 400 + {shift} + doc_id % 90 AS s, k * 400 + {shift} + doc_id % 90 + {size} + k % 30 AS e, CASE WHEN k % 2 = 0 THEN 'a' ELSE 'b' END AS kind FROM (SELECT doc_id, unnest(range(0, least(n_chars // 400, 200) + 1)) AS k FROM documents WHERE n_chars >= 1)"
+    return f"SELECT doc_id, doc_id || '-' || k AS span_id, k * 400 + {shift} + doc_id % 90 AS s, k * 400 + {shift} + doc_id % 90 + {size} + k % 30 AS e, CASE WHEN k % 2 = 0 THEN 'a' ELSE 'b' END AS kind FROM (SELECT doc_id, unnest(range(0, n_chars // 400 + 1)) AS k FROM documents WHERE n_chars >= 1)"
 
 
 def asof_header(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -368,13 +368,13 @@ SELECT l_returnflag, l_quantity, count(*) AS n_points, floor(max(CASE WHEN l_ret
 
 
 def tick_fit_linear_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ticks = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0").select("l_orderkey", F.col("l_linenumber").cast("double").alias("pixel"), F.when(F.col("l_orderkey") % 2 == 0, F.pow(F.lit(10.0), F.col("l_linenumber"))).otherwise(F.col("l_linenumber") * 5.0 + 3).alias("value"))
+    ticks = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("double").alias("pixel"), F.when(F.col("l_orderkey") % 2 == 0, F.pow(F.lit(10.0), F.col("l_linenumber"))).otherwise(F.col("l_linenumber") * 5.0 + 3).alias("value"))
     out = geometry.tick_fit(ticks.groupBy("l_orderkey", "pixel").agg(F.max("value").alias("value")), ["l_orderkey"], "pixel", "value")
     return out.select("l_orderkey", "n_ticks", rounded(F.col("slope"), 3).alias("slope"), rounded(F.col("log_slope"), 6).alias("log_slope"), "scale")
 
 
 _TICKS = """
-WITH t AS (SELECT DISTINCT l_orderkey, CAST(l_linenumber AS DOUBLE) AS p, CASE WHEN l_orderkey % 2 = 0 THEN pow(10.0, l_linenumber) ELSE l_linenumber * 5.0 + 3 END AS v FROM lineitem WHERE l_orderkey % 3 = 0),
+WITH t AS (SELECT DISTINCT l_orderkey, CAST(l_linenumber AS DOUBLE) AS p, CASE WHEN l_orderkey % 2 = 0 THEN pow(10.0, l_linenumber) ELSE l_linenumber * 5.0 + 3 END AS v FROM lineitem),
 f AS (SELECT l_orderkey, count(*) AS n, regr_slope(v, p) AS s, regr_r2(v, p) AS r2, regr_slope(log10(v), p) AS ls, regr_r2(log10(v), p) AS lr2 FROM t GROUP BY l_orderkey),
 g AS (SELECT *, coalesce(n >= 3 AND r2 >= 0.98 AND NOT isnan(r2), false) AS lin, coalesce(n >= 3 AND lr2 >= 0.98 AND NOT isnan(lr2), false) AS lg FROM f)
 SELECT l_orderkey, n AS n_ticks, CASE WHEN n > 1 THEN floor(s * 1000 + 0.5) / 1000 END AS slope, CASE WHEN n > 1 THEN floor(ls * 1000000 + 0.5) / 1000000 END AS log_slope, CASE WHEN lin AND lg THEN 'ambiguous' WHEN lin THEN 'linear' WHEN lg THEN 'log' ELSE 'none' END AS scale FROM g
@@ -471,13 +471,13 @@ ORACLES = {
     "utility_scores": _UTILITY,
     "quality_completeness": _QUALITY,
     "comparison_groups": "SELECT mode, l_linestatus, l_linenumber, count(*) AS n_observations, count(DISTINCT l_orderkey) AS n_papers, count(DISTINCT (l_orderkey, l_partkey)) AS n_samples FROM (SELECT *, CASE WHEN l_tax > 0.02 THEN l_returnflag END AS mode FROM lineitem) WHERE mode IS NOT NULL AND l_linestatus IS NOT NULL GROUP BY mode, l_linestatus, l_linenumber",
-    "run_ordering": "SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'P' THEN 1 ELSE 2 END AS rank, o_totalprice FROM orders ORDER BY rank, o_totalprice DESC, o_orderkey LIMIT 200",
+    "run_ordering": "SELECT o_orderkey, rank, row_number() OVER (ORDER BY rank, o_totalprice DESC, o_orderkey) - 1 AS position FROM (SELECT *, CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'P' THEN 1 ELSE 2 END AS rank FROM orders)",
     "circuit_breaker": "SELECT user_id, count(*) FILTER (d) AS n_deferred, count(*) FILTER (NOT d) AS n_tried FROM (SELECT user_id, coalesce(max(CAST(event_type = 'error' AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS d FROM events) GROUP BY user_id",
     "batches_of_50": "SELECT k // 50 AS batch, count(*) AS n_rows, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS k FROM orders) GROUP BY 1",
     "aligned_xy_index": "SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS row_index FROM lineitem",
     "latest_state_per_key": "SELECT user_id, n AS n_events, event_type, value, event_id FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1",
     "interval_overlap_owners": f"SELECT a.doc_id, count(*) AS n_pairs, CAST(sum(least(a.e, b.e) - greatest(a.s, b.s)) AS BIGINT) AS shared FROM ({_spans(0, 150)}) a JOIN ({_spans(100, 350)}) b ON a.doc_id = b.doc_id AND a.s < b.e AND b.s < a.e GROUP BY a.doc_id",
-    "interval_near_duplicates": f'SELECT a.span_id, a.s AS start, a.e AS "end" FROM ({_spans(0, 150)}) a WHERE NOT EXISTS (SELECT 1 FROM ({_spans(10, 140)}) b WHERE b.doc_id % 3 <> 0 AND a.doc_id = b.doc_id AND a.kind = b.kind AND a.s < b.e AND b.s < a.e AND (least(a.e, b.e) - greatest(a.s, b.s)) / CAST(greatest(a.e - a.s, b.e - b.s) AS DOUBLE) >= 0.85)',
+    "interval_near_duplicates": f"""SELECT a.span_id, a.s AS start, a.e AS "end" FROM ({_spans(0, 150)}) a WHERE NOT EXISTS (SELECT 1 FROM ({_spans(10, 140)}) b WHERE (b.kind = 'a' OR b.s > 2000) AND a.doc_id = b.doc_id AND a.kind = b.kind AND a.s < b.e AND b.s < a.e AND (least(a.e, b.e) - greatest(a.s, b.s)) / CAST(greatest(a.e - a.s, b.e - b.s) AS DOUBLE) >= 0.85)""",
     "asof_header": _ASOF,
     "axis_calibrate": f"SELECT l_orderkey, l_linenumber, floor(({_axis('l_quantity')}) * 10000 + 0.5) / 10000 AS value, floor(abs(({_axis('(l_quantity + 0.5)')}) - ({_axis('(l_quantity - 0.5)')})) * 10000 + 0.5) / 10000 AS resolution FROM lineitem",
     "broken_axis_segments": _BROKEN,

@@ -46,13 +46,13 @@ SELECT *, concat_ws(',', CASE WHEN n_found < n_evidence THEN 'evidence_missing'
 
 def packet_versus_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    left = docs.where("doc_id % 9 <> 1").select("doc_id", "lang", "source")
-    right = docs.where("doc_id % 9 <> 2").select("doc_id", "lang", F.when(F.col("doc_id") % 5 == 0, F.lit(None)).otherwise(F.col("source")).alias("source"))
+    left = docs.where("lang <> 'de'").select("doc_id", "lang", "source")
+    right = docs.where("n_chars >= 300").select("doc_id", "lang", F.when(F.col("doc_id") % 5 == 0, F.lit(None)).otherwise(F.col("source")).alias("source"))
     return records.same_rows(left, right, ["doc_id"], ["lang", "source"])
 
 
 _PACKET = """
-SELECT doc_id, CASE WHEN doc_id % 9 = 1 THEN 'only_right' WHEN doc_id % 9 = 2 THEN 'only_left' WHEN doc_id % 5 = 0 AND source IS NOT NULL THEN 'changed' ELSE 'equal' END AS state FROM documents
+SELECT doc_id, CASE WHEN lang = 'de' THEN 'only_right' WHEN n_chars < 300 THEN 'only_left' WHEN doc_id % 5 = 0 AND source IS NOT NULL THEN 'changed' ELSE 'equal' END AS state FROM documents WHERE lang <> 'de' OR n_chars >= 300
 """
 
 
@@ -112,12 +112,12 @@ SELECT o_orderkey, CASE WHEN s = 'O' AND k <= 100 THEN 'download' WHEN s = 'F' T
 
 def expert_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_quantity").cast("int").alias("value"))
-    decisions = table(spark, sf_dir, "part").where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("l_partkey"), F.when(F.col("p_partkey") % 3 == 1, "--").otherwise(F.col("p_size").cast("string")).alias("chosen"))
+    decisions = table(spark, sf_dir, "part").where("p_size > 10").select(F.col("p_partkey").alias("l_partkey"), F.when(F.col("p_size") > 40, "--").otherwise(F.col("p_size").cast("string")).alias("chosen"))
     return records.resolve(rows, decisions, ["l_partkey"], "value").groupBy("review_status").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("value").alias("total"))
 
 
 _EXPERT = """
-SELECT CASE WHEN p_partkey IS NULL OR l_partkey % 3 = 0 THEN 'pending' WHEN l_partkey % 3 = 1 THEN 'rejected' WHEN CAST(l_quantity AS INTEGER) = p_size THEN 'approved' ELSE 'rejected' END AS review_status,
+SELECT CASE WHEN p_partkey IS NULL OR p_size <= 10 THEN 'pending' WHEN p_size > 40 THEN 'rejected' WHEN CAST(l_quantity AS INTEGER) = p_size THEN 'approved' ELSE 'rejected' END AS review_status,
   count(*) AS n_rows, CAST(sum(CAST(l_quantity AS INTEGER)) AS BIGINT) AS total FROM lineitem LEFT JOIN part ON p_partkey = l_partkey GROUP BY 1
 """
 
