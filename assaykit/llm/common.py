@@ -89,6 +89,22 @@ def held_out(doc_id: Column, mod: int, rest: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(mod)) == rest
 
 
+#: xxhash64 gives each of so many values with equal chance.
+HASHES = float(1 << 64)
+
+
+def first_by_hash(ids: DataFrame, salt: str, limit: int, count: int) -> DataFrame:
+    """The ``limit`` ids (column doc_id) with the smallest seeded hashes, of ``count`` in all.
+
+    A threshold on the hash leaves a few more than ``limit`` before anything is ordered, so tasks
+    send no more than their share of them.
+    """
+    order = F.xxhash64(F.lit(salt), "doc_id")
+    share = (limit + 6 * limit**0.5 + 20) / max(1, count)
+    near = ids.where(order < F.lit(int(share * HASHES - HASHES / 2))) if share < 1 else ids
+    return near.orderBy(order, "doc_id").limit(limit)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, limit: int) -> list:
     """At most ``limit`` labelled training rows, half of them of either class where they exist.
 
@@ -97,8 +113,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
     """
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
     ids = ids.where(train & F.col("y").isin(0, 1)).groupBy("doc_id").agg(F.max("y").alias("y"))
-    order = F.xxhash64(F.lit("sample"), "doc_id")
-    half = [ids.where(F.col("y") == y).orderBy(order, "doc_id").limit(limit // 2) for y in (0, 1)]
+    sizes = {r.y: r["count"] for r in ids.groupBy("y").count().collect()}  # two rows
+    half = [first_by_hash(ids.where(F.col("y") == y), "sample", limit // 2, sizes.get(y, 0)) for y in (0, 1)]
     chosen = half[0].unionByName(half[1])
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").collect()
     return sorted(((r.text or "", r.y, r.doc_id) for r in rows), key=lambda r: (r[2], r[0]))

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, map_rows, share, shared_value, written
+from .common import columns, first_by_hash, map_rows, share, shared_value, written
 from .wrappers import infer, main_text, named, with_host
 
 TRAIN_ROWS = 4000
@@ -103,7 +103,8 @@ def identify(pages: DataFrame, documents: DataFrame, limit: int = TRAIN_ROWS) ->
     """page_id, url, host, lang, confidence, text_lang, declared, suffix of every page."""
     train = columns(documents, doc_id="long", lang="string", text="string").where("lang IS NOT NULL AND text IS NOT NULL")
     # ids alone are ordered; the chosen texts are then fetched by a broadcast of ``limit`` ids
-    chosen = train.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64(F.lit("language"), "doc_id"), "doc_id").limit(limit)
+    ids = train.select("doc_id").where("doc_id IS NOT NULL").distinct()
+    chosen = first_by_hash(ids, "language", limit, train.select("doc_id").count())
     rows = train.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "lang", F.md5("text")).select("lang", "text").collect()
     langs, table = fit([(r.lang, r.text) for r in rows])
     spread = with_host(pages).select("page_id", "url", "host", "html")
