@@ -89,10 +89,20 @@ def header_before(df: DataFrame, key: list[str], order: list[str], place: str, h
 
 
 def nearest(points: DataFrame, targets: DataFrame, key: list[str], x: str, target: str, tie: str, fields: list[str]) -> DataFrame:
-    """For each target the nearest point of its key; ties by ``tie``. A grouped minimum."""
-    joined = points.join(targets, key)
-    best = F.min_by(F.struct(x, tie, *fields), F.struct(F.abs(F.col(x) - F.col(target)), F.col(tie)))
-    out = joined.groupBy(*key, target).agg(best.alias("__p"))
+    """For each target the nearest point of its key; ties by ``tie``.
+
+    Points and targets stand in one line by place; the last point at or before a target and the
+    first one at or after it are the only candidates, so no pairs are made.
+    """
+    held = F.struct(x, tie, *fields)
+    marks = points.select(*key, F.col(x).cast("double").alias("__x"), F.lit(0).alias("__t"), F.col(tie).alias("__tie"), held.alias("__p"), F.lit(None).cast(targets.schema[target].dataType).alias(target))
+    asked = targets.select(*key, target).distinct()
+    line = marks.unionByName(asked.select(*key, F.col(target).cast("double").alias("__x"), F.lit(1).alias("__t"), target), allowMissingColumns=True)
+    until = lambda place: Window.partitionBy(*key).orderBy(place, "__t", F.col("__tie").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    found = line.withColumns({"__a": F.last("__p", ignorenulls=True).over(until(F.col("__x"))), "__b": F.last("__p", ignorenulls=True).over(until(F.col("__x").desc()))})
+    away = lambda c: F.struct(F.abs(F.col(f"{c}.{x}") - F.col(target)), F.col(f"{c}.{tie}"))
+    best = F.when(F.col("__a").isNull(), F.col("__b")).when(F.col("__b").isNull() | (away("__a") <= away("__b")), F.col("__a")).otherwise(F.col("__b"))
+    out = found.where("__t = 1").withColumn("__p", best).where("__p IS NOT NULL")
     return out.select(*key, target, *[F.col(f"__p.{c}").alias(f"near_{c}") for c in (x, tie, *fields)])
 
 

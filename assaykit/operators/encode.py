@@ -15,12 +15,12 @@ def group_order(group: Column, salt: str) -> Column:
     return F.sha2(F.concat(F.lit(salt + "|"), group.cast("string")), 256)
 
 
-def group_split(df: DataFrame, group: str, fraction: float, least_groups: int, salt: str = SPLIT_SALT) -> DataFrame:
+def group_split(df: DataFrame, group: str, fraction: float, least_groups: int, salt: str = SPLIT_SALT, parts: int = 64) -> DataFrame:
     """(group, split) by hash order: the first max(1, min(n-1, ceil(n * fraction))) groups are the
     test set; fewer than ``least_groups`` groups are all ``preview``."""
     groups = df.select(group).distinct()
     total = groups.agg(F.count(F.lit(1)).alias("n"))
-    ranked = groups.withColumn("rank", F.row_number().over(Window.orderBy(group_order(F.col(group), salt), group)))
+    ranked = aligned_index(groups.withColumn("__h", group_order(F.col(group), salt)), ["__h", group], parts).withColumn("rank", F.col("row_index") + 1)
     n = F.col("n")
     count = F.greatest(F.lit(1), F.least(n - 1, F.ceil(n * fraction)))
     split = F.when(n < least_groups, "preview").when(F.col("rank") <= count, "test").otherwise("train")
