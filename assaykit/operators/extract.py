@@ -12,6 +12,7 @@ import unicodedata
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -262,3 +263,85 @@ def model_rows(df: DataFrame, key: str, text: str, model: Callable[[list[str]],
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[key, "start", "end", "quote", "label"])
 
     return df.select(key, text).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, {SPAN}, label string")
+
+
+# --- Further scanners and SQL surface -----------------------------------------------------------------
+
+TABLE_PASSAGE = re.compile(r"(?im)^[ \t]*(?:Table|表)\s*\d+[A-Za-z]?\b[^\n]*(?:\n(?!\s*\n)[^\n]+){0,4}")
+STATEMENT_SCHEMA = f"{SPAN}, property string, sample string, value double, unit string"
+
+
+def table_passages(text: str) -> list[dict]:
+    """``Table N`` and up to four lines below it."""
+    return [{"start": m.start(), "end": m.end(), "quote": m[0]} for m in TABLE_PASSAGE.finditer(text)]
+
+
+class Statements:
+    """Property statements by a pattern table: property -> pattern with a group ``value`` and,
+    where it has them, ``unit`` and ``sample``; a pattern is tried on one sentence at a time."""
+
+    def __init__(self, patterns: dict[str, str]):
+        self.patterns = {name: re.compile(p, re.IGNORECASE) for name, p in patterns.items()}
+
+    def __call__(self, text: str) -> list[dict]:
+        out = []
+        for start, end, _ in sentence_spans(text):
+            view = View(text, start, end)
+            for name, pattern in self.patterns.items():
+                for m in pattern.finditer(view.text):
+                    g = m.groupdict()
+                    a, b = view.span(*m.span())
+                    out.append({"start": a, "end": b, "quote": text[a:b], "property": name, "sample": g.get("sample"), "value": as_number(g["value"]), "unit": unit_name(g["unit"]) if g.get("unit") else None})
+        return out
+
+
+class Glossary:
+    """Mentions of a glossary's terms, longest first, without overlaps."""
+
+    def __init__(self, terms: dict[str, str]):
+        self.terms = terms
+
+    def __call__(self, text: str) -> list[dict]:
+        return [{"start": a, "end": b, "quote": text[a:b], "entry": entry} for a, b, entry in glossary_matches(text, self.terms)]
+
+
+def passage_rows(df: DataFrame, key: str, text: str) -> DataFrame:
+    return scan(df, key, text, table_passages, SPAN)
+
+
+def statement_rows(df: DataFrame, key: str, text: str, patterns: dict[str, str]) -> DataFrame:
+    return scan(df, key, text, Statements(patterns), STATEMENT_SCHEMA)
+
+
+def glossary_rows(df: DataFrame, key: str, text: str, terms: dict[str, str]) -> DataFrame:
+    return scan(df, key, text, Glossary(terms), f"{SPAN}, entry string")
+
+
+def title_likeness_column(a, b):
+    """Likeness (0 to 1) of two title columns, in Arrow batches."""
+    def likeness(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([title_likeness(p or "", q or "") for p, q in zip(x, y)], dtype="float64")
+
+    return F.pandas_udf(likeness, "double")(a, b)
+
+
+class SentenceTable:
+    """SQL: ``SELECT * FROM sentence_spans(text)``; also LATERAL."""
+
+    def eval(self, text: str):
+        for start, end, truncated in sentence_spans(text or ""):
+            yield start, end, truncated
+
+
+class FactTable:
+    """SQL: ``SELECT * FROM numeric_facts(text)``."""
+
+    def eval(self, text: str):
+        for f in numeric_facts(text or ""):
+            yield f["start"], f["end"], f["quote"], f["metric"], f["operator"], f["value"], f["unit"]
+
+
+def register_table_functions(spark) -> None:
+    """The scanners as table functions of SQL."""
+    spark.udtf.register("sentence_spans", F.udtf(SentenceTable, returnType="start int, end int, truncated boolean"))
+    spark.udtf.register("numeric_facts", F.udtf(FactTable, returnType="start int, end int, quote string, metric string, operator string, value double, unit string"))

@@ -165,3 +165,29 @@ def test_pluggable_model_quotes_are_checked(spark):
 
     got = extract.model_rows(spark.createDataFrame([(1, "abcdef")], "k int, t string"), "k", "t", model).collect()
     assert [(r.quote, r.label) for r in got] == [("abc", "good")]
+
+
+def test_further_scanners(spark):
+    docs = spark.createDataFrame([(1, "Intro.\nTable 2. Results\nA 1\nB 2\n\nThe BET surface area of Cu-CHA was 510 m2/g."), (2, None)], "k int, t string")
+    assert [r.quote for r in extract.passage_rows(docs, "k", "t").collect()] == ["Table 2. Results\nA 1\nB 2"]
+    r = extract.statement_rows(docs, "k", "t", {"bet_surface_area": r"surface area of (?P<sample>[\w-]+) was (?P<value>\d+) (?P<unit>m2/g)"}).first()
+    assert (r.property, r["sample"], r.value, r.unit) == ("bet_surface_area", "Cu-CHA", 510.0, "m²/g")
+    assert [r.entry for r in extract.glossary_rows(docs, "k", "t", {"BET": "bet", "BET surface area": "area"}).collect()] == ["area"]
+    titles = spark.createDataFrame([("A Title!", "a title"), ("A title", "other words"), (None, "x")], "a string, b string")
+    got = [r.x for r in titles.select(extract.title_likeness_column(F.col("a"), F.col("b")).alias("x")).collect()]
+    assert got[0] == 1.0 and got[1] < 0.6 and got[2] == 0.0
+
+
+def test_table_functions(spark):
+    extract.register_table_functions(spark)
+    docs = spark.createDataFrame([(1, "One here. Two is 5 nm. ")], "k int, t string")
+    docs.createOrReplaceTempView("scanned_docs")
+    assert spark.sql("SELECT k, s.start FROM scanned_docs, LATERAL sentence_spans(t) s").count() == 2
+    assert spark.sql("SELECT f.value FROM scanned_docs, LATERAL numeric_facts(t) f").first().value == 5.0
+
+
+def test_nearest_points(spark):
+    points = spark.createDataFrame([("k", 1, 10), ("k", 2, 30), ("k", 3, 30), ("k", 4, 50), ("m", 5, 0)], "k string, id int, x int")
+    targets = spark.createDataFrame([("k", 20), ("k", 30), ("k", 99), ("m", 7), ("z", 1)], "k string, target int")
+    got = {(r.k, r.target): r.near_id for r in dedup.nearest(points, targets, ["k"], "x", "target", "id", []).collect()}
+    assert got == {("k", 20): 1, ("k", 30): 2, ("k", 99): 4, ("m", 7): 5}
