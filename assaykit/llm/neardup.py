@@ -295,7 +295,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     classes = rows.groupBy("fp", "fp2").agg(F.min("doc_id").alias("low"))
     cells = classes.select("fp", "fp2", "low").mapInArrow(wide_cells, "cell long, fp long, fp2 long, low long")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = cells.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(wide_links, "u long, v long").distinct()
+    # sorted by id as well, so that the stars of a crowded cell are the same in every run
+    links = cells.repartition(parts, "cell").sortWithinPartitions("cell", "low").mapInArrow(wide_links, "u long, v long").distinct()
     named = components(links)
     every = classes.join(named.withColumnRenamed("node", "low"), "low", "left").select("fp", "fp2", F.coalesce("component", "low").alias("component_id"))
     out = rows.join(every, ["fp", "fp2"])

@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
 reread as the next one's ``docs``. All but the last return the columns of ``documents``.
+
+Defined cases: other columns are dropped, so none can clash; null and empty texts are judged by the
+quality model as empty texts, share one fingerprint (one of them stays), are never contaminated, are
+not changed by redaction and give no words to the mix; an empty table stays empty; without labels of
+both classes the quality stage keeps or drops all by the base rate, and keeps all without labels.
 """
 
 from __future__ import annotations

@@ -122,6 +122,16 @@ def test_query_and_near_copies(spark):
     near = [(a, b) for a in truth for b in truth if a < b and truth[a] == truth[b] and len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])]
     assert len(near) > 40 and sum(wide[a] == wide[b] for a, b in near) >= 0.95 * len(near)
     assert all(truth[d] == truth[c] for d, c in wide.items())
+    again = {r.doc_id: r.component_id for r in neardup.near_copies(docs.repartition(7)).collect()}
+    assert again == wide
+
+
+def test_crowds_of_near_copies_are_joined_alike_in_any_order(spark):
+    rng = random.Random(11)
+    base = [f"t{rng.randint(0, 900)}" for _ in range(300)]
+    docs = spark.createDataFrame([(i, " ".join(edited(base, rng, 0.01))) for i in range(150)], "doc_id long, text string")
+    runs = [{r.doc_id: r.component_id for r in neardup.near_copies(d).collect()} for d in (docs, docs.repartition(9, "text"))]
+    assert runs[0] == runs[1] and len(set(runs[0].values())) <= 3
 
 
 def test_awkward_rows(spark):
