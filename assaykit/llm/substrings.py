@@ -22,7 +22,7 @@ Each document then loses the words that its repeated windows cover. Words are
 
 Defined cases: null text has no words; documents under 20 words lose none; rows with an equal id
 and equal text are one document and get equal results, rows with an equal id and other text are
-ordered by a hash of the text; a null id comes before all others; other columns are ignored.
+ordered by 31 bits of a hash of the text; a null id comes before all others; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -225,9 +225,11 @@ class Remove:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
-    plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
-    runs = written(map_rows(plain, Runs(), "run long, d long, h long, pos int"))
-    # a table of its own, so that both sides of the join are dealt anew and a hot run can be split
+    plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(F.col("text").cast("string")).bitwiseAND(F.lit(0x7FFFFFFF)).alias("h"), F.col("text").cast("string").alias("text"))
+    runs = map_rows(plain, Runs(), "run long, d long, h long, pos int")
+    # Runs are made twice rather than kept: reading the texts again is cheap, a table of all runs
+    # is not. The repeated ones are a table of their own, so that both sides of the join are dealt
+    # anew and a hot run can be split.
     repeated = written(runs.groupBy("run").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     places = runs.join(repeated, "run").groupBy("d", "h").agg(
         F.collect_list(F.when(F.col("n") > GROUP, F.col("pos"))).alias("many"),
