@@ -23,10 +23,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -151,60 +151,82 @@ def copy_groups(texts: list[str], keys: int = 8) -> list[int]:
     return [root(i) for i in range(len(texts))]
 
 
+def terms_of(text: str) -> tuple[set[str], set[str]]:
+    """The words of a text, and the stems of its words."""
+    words = {w.lower() for w in re.findall(r"[^\W\d_]{3,}", text)}
+    return words, {w[:k] for w in words for k in STEMS if len(w) > k}
+
+
+def group_counts(sample: list[tuple[str, int]], groups: list[int], label: int, stem: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the terms of one class, and how many groups of copies hold each."""
+    members: dict[int, list[int]] = {}
+    for k, (_, y) in enumerate(sample):
+        if y == label:
+            members.setdefault(groups[k], []).append(k)
+    held = []
+    for own in members.values():
+        terms = set().union(*(terms_of(sample[k][0])[stem] for k in own))
+        held.append(np.fromiter(map(xxhash.xxh64_intdigest, terms), np.uint64, len(terms)))
+    return np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+
+def by_chance(pos: int, total: int, share: float, terms: int) -> float:
+    """How many of ``terms`` terms, each in ``total`` groups, would be in ``pos`` toxic ones or more
+    if toxicity fell on groups at random."""
+    ways = lambda k: math.lgamma(total + 1) - math.lgamma(k + 1) - math.lgamma(total - k + 1)
+    return terms * sum(math.exp(ways(k) + k * math.log(share) + (total - k) * math.log1p(-share)) for k in range(pos, total + 1))
+
+
 def learn_lexicon(sample: list[tuple[str, int]], least: int = 3, purity: float = 0.97, stem_purity: float = 0.99) -> tuple[dict, dict]:
     """Words and stems that toxic rows hold and clean rows don't, with weights in (0, 1].
 
     Rows are counted by groups of copies, so that the chance words of a text that was copied
-    often are no evidence.
+    often are no evidence. Terms are counted as numbers; only those that pass are read as text.
     """
     groups = copy_groups([text for text, _ in sample])
-    seen: tuple[dict[str, set], dict[str, set]] = ({}, {})
+    n = [len({g for g, (_, y) in zip(groups, sample) if y == label}) or 1 for label in (0, 1)]
+    share = n[1] / (n[0] + n[1])
+    weight: tuple[dict[int, float], dict[int, float]] = ({}, {})
+    for stem in (0, 1):
+        (clean, clean_n), (toxic, toxic_n) = (group_counts(sample, groups, label, bool(stem)) for label in (0, 1))
+        if not len(toxic):
+            continue
+        other = np.zeros(len(toxic), np.int64)
+        if len(clean):
+            at = np.minimum(np.searchsorted(clean, toxic), len(clean) - 1)
+            other = np.where(clean[at] == toxic, clean_n[at], 0)
+        alone = clean_n[~np.isin(clean, toxic)]
+        support = np.bincount(np.concatenate([toxic_n + other, alone]))
+        p, q = toxic_n / n[1], other / n[0]
+        pure = p / (p + q) >= (stem_purity if stem else purity)
+        for k in np.flatnonzero(pure & (toxic_n >= max(least, 0.004 * n[1]))).tolist():
+            total = int(toxic_n[k] + other[k])
+            if by_chance(int(toxic_n[k]), total, share, int(support[total])) < 0.5:
+                weight[stem][int(toxic[k])] = float(p[k] / (p[k] + q[k]))
+    held: dict[tuple[str, int], set[int]] = {}
     endings: dict[str, set[str]] = {}
     for (text, y), group in zip(sample, groups):
-        own = {w.lower() for w in re.findall(r"[^\W\d_]{3,}", text)}
-        for w in own:
-            seen[y].setdefault((w, True), set()).add(group)
+        for stem, terms in enumerate(terms_of(text) if y else ()):
+            for t in terms:
+                if xxhash.xxh64_intdigest(t) in weight[stem]:
+                    held.setdefault((t, stem), set()).add(group)
+    stems_found = {t for t, stem in held if stem}
+    for text, y in sample:
+        for w in terms_of(text)[0] if y and stems_found else ():
             for k in STEMS:
-                if len(w) > k:
-                    seen[y].setdefault((w[:k], False), set()).add(group)
-                    if y:
-                        endings.setdefault(w[:k], set()).add(w)
-    n = [len({g for g, (_, y) in zip(groups, sample) if y == label}) or 1 for label in (0, 1)]
-
-    support: Counter = Counter()
-    for key in seen[0].keys() | seen[1].keys():
-        support[key[1], len(seen[0].get(key, ())) + len(seen[1].get(key, ()))] += 1
-    share = n[1] / (n[0] + n[1])
-
-    def by_chance(pos: int, neg: int, whole: bool) -> float:
-        """Terms of this support that would look as toxic if toxicity fell on texts at random."""
-        total = pos + neg
-        ways = lambda k: math.lgamma(total + 1) - math.lgamma(k + 1) - math.lgamma(total - k + 1)
-        tail = sum(math.exp(ways(k) + k * math.log(share) + (total - k) * math.log1p(-share)) for k in range(pos, total + 1))
-        return tail * support[whole, total]
-
-    def chosen(whole: bool) -> dict[str, float]:
-        out = {}
-        for (w, kind), held in seen[1].items():
-            if kind == whole and len(held) >= max(least, 0.004 * n[1]):
-                other = len(seen[0].get((w, kind), ()))
-                p, q = len(held) / n[1], other / n[0]
-                if p / (p + q) >= (purity if whole else stem_purity) and by_chance(len(held), other, whole) < 0.5:
-                    out[w] = p / (p + q)
-        return out
-
+                if w[:k] in stems_found and len(w) > k:
+                    endings.setdefault(w[:k], set()).add(w)
     # a stem must stand before several different endings, else it is only the front of one word
-    terms = [(w, True, v) for w, v in chosen(True).items()]
-    terms += [(s, False, v) for s, v in chosen(False).items() if len(endings.get(s, ())) >= 3]
+    usable = [t for t in held if not t[1] or len(endings.get(t[0], ())) >= 3]
     # common terms first; a rare one must explain rows that the terms before it leave unexplained
-    words: dict[str, float] = {}
-    stems: dict[str, float] = {}
+    found: tuple[dict[str, float], dict[str, float]] = ({}, {})
     explained: set[int] = set()
-    for w, whole, v in sorted(terms, key=lambda t: (-len(seen[1][t[:2]]), len(t[0]), t[0])):
-        held = seen[1][(w, whole)]
-        if len(held - explained) >= 2 or len(held) >= COMMON * n[1]:
-            (words if whole else stems)[w] = v
-            explained |= held
+    for t, stem in sorted(usable, key=lambda t: (-len(held[t]), len(t[0]), t[0])):
+        own = held[t, stem]
+        if len(own - explained) >= 2 or len(own) >= COMMON * n[1]:
+            found[stem][t] = weight[stem][xxhash.xxh64_intdigest(t)]
+            explained |= own
+    words, stems = found
     shortest = {s: v for s, v in stems.items() if not any(s[:k] in stems for k in STEMS if k < len(s))}
     return words, shortest
 
