@@ -1,16 +1,17 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
 Every word maps to a class: insult (a word or stem learned from labelled rows), threat, target,
-negation, reported speech, or other; sentence punctuation ends a clause. Four transducers are
-composed over the class string of each clause that holds an insult or a threat:
+negation, reported speech, or other; sentence punctuation ends a clause. Deterministic transducers
+read the class string of each clause that holds an insult or a threat, and mark these words:
 
-* insult/threat emits the word's learned weight,
-* target   ``T .{0,3} I`` or ``I .{0,3} T``  marks the match as aimed at someone,
-* negation ``N .{0,2} I``                     marks it as denied,
-* reported ``R .* I``                         marks it as somebody's words.
+* target   ``T .{0,3} I``, and from the clause's end ``I .{0,3} T``: aimed at someone,
+* negation ``N .{0,2} I``: denied,
+* reported ``R .* I``: somebody's words.
 
-The composed machine yields counts and weights of matched clauses by mark; a small logistic model,
-fitted on the same bounded sample of labelled rows, turns them into a score. Isolated words never
+They are composed into one machine (states are tuples, marks are united), which runs once over a
+clause; the insult transducer adds each word's learned weight to what its marks say. A small
+logistic model, fitted on the same bounded sample of labelled rows, turns the weights of matched
+clauses into a score. Isolated words never
 score: only matched clauses do, and their share of the text does not matter, so one insulting
 clause in a long text still counts.
 
@@ -86,10 +87,59 @@ class Classes(dict):
         return kind
 
 
-# The transducers, as patterns over class strings; a match of one is an arc taken by the machine.
-AIMED = re.compile(rb"T[^\n]{0,3}?[IH]|[IH][^\n]{0,3}?T")
-DENIED = re.compile(rb"N[^IH\n]{0,2}[IH]")
-REPORTED = re.compile(rb"R[^\n]*[IH]")
+# --- Transducers over class strings ---------------------------------------------------------------
+
+MATCHES = frozenset((INSULT, THREAT))
+SYMBOLS = bytes((INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER))
+AIMED, DENIED, REPORTED = 1, 2, 4
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """A deterministic machine: ``arcs[state][symbol]`` is (next state, marks written)."""
+
+    arcs: tuple[dict[int, tuple[int, int]], ...]
+
+    def compose(self, other: Transducer) -> Transducer:
+        """Both machines on one input: states are pairs, the marks of an arc are united."""
+        number, arcs, queue = {(0, 0): 0}, [], [(0, 0)]
+        for a, b in queue:  # grows while it is read
+            row = {}
+            for c in SYMBOLS:
+                (x, left), (y, right) = self.arcs[a][c], other.arcs[b][c]
+                if (x, y) not in number:
+                    number[x, y] = len(queue)
+                    queue.append((x, y))
+                row[c] = (number[x, y], left | right)
+            arcs.append(row)
+        return Transducer(tuple(arcs))
+
+    def run(self, string: bytes) -> list[int]:
+        """Marks of each symbol; only insults and threats get any."""
+        state, out = 0, []
+        for c in string:
+            state, mark = self.arcs[state][c]
+            out.append(mark)
+        return out
+
+
+def after(trigger: int, mark: int, reach: int | None, once: bool = False) -> Transducer:
+    """Marks the insults and threats with at most ``reach`` words between them and a trigger before
+    (None: anywhere after it in the clause); with ``once`` the first one uses the trigger up."""
+    top = 1 if reach is None else reach + 1
+    rows = []
+    for left in range(top + 1):
+        row = {}
+        for c in SYMBOLS:
+            rest = left if reach is None else max(0, left - 1)
+            rest = top if c == trigger else 0 if once and c in MATCHES else rest
+            row[c] = (rest, mark if left and c in MATCHES else 0)
+        rows.append(row)
+    return Transducer(tuple(rows))
+
+
+TARGETED = after(TARGET, AIMED, 3)
+GRAMMAR = TARGETED.compose(after(NEGATION, DENIED, 2, once=True)).compose(after(REPORT, REPORTED, None))
 N_FEATURES = 6
 
 
@@ -116,17 +166,25 @@ def features(text: str | None, classes: Classes) -> tuple[np.ndarray, int, int]:
     string = bytes(map(classes.__getitem__, tokens))
     n_clauses = n_insults = 0
     for kinds, words in clauses(tokens, string):
-        insults = [classes.grammar.weight(w.lower()) for w, k in zip(words, kinds) if k == INSULT]
-        threat = kinds.count(b"H")
-        if not insults and not AIMED.search(kinds):
-            continue  # a threat word without a target is no threat
+        marks = [m | n for m, n in zip(GRAMMAR.run(kinds), reversed(TARGETED.run(kinds[::-1])))]  # targets after count too
+        weight, insults, aimed, threats = [0.0] * N_FEATURES, 0, False, 0
+        for kind, mark, word in zip(kinds, marks, words):
+            if kind not in MATCHES or (kind == THREAT and not mark & AIMED):
+                continue  # a threat word without a target is no threat
+            slot = 4 if mark & REPORTED else 3 if mark & DENIED else 1
+            if kind == INSULT:
+                insults += 1
+                weight[slot] += classes.grammar.weight(word.lower())
+            threats += kind == THREAT
+            aimed |= bool(mark & AIMED)
+        if not insults and not threats:
+            continue
         n_clauses += 1
-        n_insults += len(insults)
-        weight = min(1.0, sum(insults)) if insults else 0.0
-        slot = 4 if REPORTED.search(kinds) else 3 if DENIED.search(kinds) else 1
-        x[slot] = max(x[slot], weight)
-        x[2] += min(3.0, len(insults)) / 3 + (0.5 if AIMED.search(kinds) else 0.0)
-        x[5] += float(threat > 0)
+        n_insults += insults
+        for slot in (1, 3, 4):
+            x[slot] = max(x[slot], min(1.0, weight[slot]))
+        x[2] += min(3, insults) / 3 + (0.5 if aimed else 0.0)
+        x[5] += float(threats > 0)
     x[2], x[5] = math.log1p(x[2]), min(1.0, x[5])
     return x, n_clauses, n_insults
 

@@ -82,3 +82,26 @@ def test_awkward_rows_and_missing_labels(spark):
             assert f(none, known).count() == 0
     kept = quality.keep_good(docs, quality.Tables(base=35.0))
     assert kept.columns == docs.columns and kept.count() == docs.count()
+
+
+def test_samples_are_the_smallest_hashes(spark):
+    from pyspark.sql import functions as F
+
+    from assaykit.llm.common import first_by_hash
+
+    ids = spark.range(5000).withColumnRenamed("id", "doc_id")
+    whole = ids.orderBy(F.xxhash64(F.lit("s"), "doc_id"), "doc_id").limit(200)
+    assert sorted(first_by_hash(ids, "s", 200, 5000).collect()) == sorted(whole.collect())
+    assert first_by_hash(ids, "s", 9000, 5000).count() == 5000 and first_by_hash(ids.limit(0), "s", 5, 0).count() == 0
+
+
+def test_composed_machine_equals_its_parts():
+    import itertools
+
+    parts = [toxicity.TARGETED, toxicity.after(toxicity.NEGATION, toxicity.DENIED, 2, once=True), toxicity.after(toxicity.REPORT, toxicity.REPORTED, None)]
+    for size in (1, 2, 3, 5):
+        for string in itertools.islice(map(bytes, itertools.product(toxicity.SYMBOLS, repeat=size)), 4000):
+            want = [a | b | c for a, b, c in zip(*(p.run(string) for p in parts))]
+            assert toxicity.GRAMMAR.run(string) == want
+    assert toxicity.GRAMMAR.run(b"T...I") == [0, 0, 0, 0, toxicity.AIMED] and not any(toxicity.GRAMMAR.run(b"T....I"))
+    assert toxicity.GRAMMAR.run(b"N.I.I")[2:] == [toxicity.DENIED, 0, 0]
