@@ -183,23 +183,34 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 # --- Near copies at larger distances -----------------------------------------------------------
 #
-# An edit that leaves 0.8 of the 5-word shingles moves some ten of 64 bits, so three bits miss most
-# near copies. The wide mode keeps the embedding and the grid, and takes many grids instead of a
-# pigeonhole: each of WIDE_GRIDS grids has WIDE_BITS segments of one bit, drawn by a fixed seed, and
-# fingerprints in one cell are compared on 128 bits. Two texts that differ in a share d of their
-# bits meet in a grid with probability (1 - d)^WIDE_BITS.
-
-WIDE_GRIDS, WIDE_BITS, WIDE_DISTANCE = 56, 16, 20
+# An edit that leaves 0.8 of the 5-word shingles moves some 15 % of the bits, so three bits of 64
+# miss most near copies. The wide mode only takes its candidates from fingerprints: 256 bits, many
+# grids instead of a pigeonhole (each of WIDE_GRIDS grids has WIDE_BITS segments of one bit, drawn
+# by a fixed seed), and a distance that is far above that of near copies and far below that of
+# texts which share nothing. Two texts that differ in a share d of their bits meet in a grid with
+# probability (1 - d)^WIDE_BITS. Components of candidates then come together with the shingle sets
+# of their texts, and only pairs whose sets reach LIKENESS are linked.
+
+WIDE_GRIDS, WIDE_BITS, WIDE_DISTANCE = 128, 16, 64
+WIDE_SHINGLE, LIKENESS = 5, (8, 10)
+WORDS_64 = 4
 SMALL_CELL = 8
+PRINT = [f"fp{i}" for i in range(WORDS_64)]
+WIDE = "node long, " + ", ".join(f"{c} long" for c in PRINT) + ", n long"
 
 
 def grid_bits() -> np.ndarray:
     order = np.random.Generator(np.random.PCG64(6))
-    return np.array([np.sort(order.permutation(64)[:WIDE_BITS]) for _ in range(WIDE_GRIDS)], np.uint64)
+    return np.array([np.sort(order.permutation(64 * WORDS_64)[:WIDE_BITS]) for _ in range(WIDE_GRIDS)], np.uint64)
+
+
+def plain_words(text: str | None) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
 
 
 class WidePrint:
-    """Two 64-bit fingerprints of 3-word shingles: XXH64, and a mix of it."""
+    """A text's node (a digest of its words), 256 fingerprint bits of its 3-word shingles (XXH64,
+    and mixes of it), and the number of its distinct 5-word shingles; other columns pass through."""
 
     def start(self):
         k, digest = SHINGLE, xxhash.xxh64_intdigest
@@ -207,36 +218,50 @@ class WidePrint:
         def half(h: np.ndarray) -> np.ndarray:
             return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
 
-        def one(text) -> tuple[int, int]:
-            words = text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
+        def one(words: list[bytes]) -> list[int]:
             if not words:
-                return 0, 0
+                return [0] * WORDS_64
             runs = [b" ".join(words)] if len(words) < k else [b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)]
-            totals, n = [np.zeros(64, np.int64), np.zeros(64, np.int64)], len(runs)
+            totals, n = [np.zeros(64, np.int64) for _ in range(WORDS_64)], len(runs)
             for at in range(0, n, 65536):
                 h = np.fromiter((digest(r, 42) for r in runs[at : at + 65536]), np.uint64, min(65536, n - at))
-                totals[0] += half(h)
-                totals[1] += half(mix(h))
-            a, b = (int(np.packbits((t * 2 > n).astype(np.uint8), bitorder="little").view(np.int64)[0]) for t in totals)
-            return a, b
-
-        def work(doc_id, text):
-            found = [one(t) for t in text]
-            return {"doc_id": doc_id, "fp": [f[0] for f in found], "fp2": [f[1] for f in found]}
+                for total in totals:
+                    total += half(h)
+                    h = mix(h)
+            return [int(np.packbits((t * 2 > n).astype(np.uint8), bitorder="little").view(np.int64)[0]) for t in totals]
+
+        def work(text, **cols):
+            words = [plain_words(t) for t in text]
+            prints = [one(w) for w in words]
+            nodes = np.array([digest(b" ".join(w), 7) for w in words], np.uint64).view(np.int64).tolist()
+            sizes = [len(set(zip(*(w[i:] for i in range(WIDE_SHINGLE))))) or min(1, len(w)) for w in words]
+            return cols | {"node": nodes, "n": sizes} | {c: [p[i] for p in prints] for i, c in enumerate(PRINT)}
 
         return work
 
 
+def shingle_set(text: str | None) -> bytes:
+    """The distinct 5-word shingles of a text, as sorted 64-bit hashes; a shorter text is one."""
+    words = plain_words(text)
+    runs = {b" ".join(words[i : i + WIDE_SHINGLE]) for i in range(len(words) - WIDE_SHINGLE + 1)} or {b" ".join(words)}
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(r) for r in runs), np.uint64, len(runs))).tobytes()
+
+
+def alike_in_size(a, b):
+    """Whether sets of these sizes can reach LIKENESS at all."""
+    return np.minimum(a, b) * LIKENESS[1] >= np.maximum(a, b) * LIKENESS[0]
+
+
 def wide_cells(batches):
     bits = grid_bits()
     for batch in batches:
-        cols = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)]
-        fp = cols[0].view(np.uint64)
+        cols = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(WORDS_64 + 2)]
+        fps = [c.view(np.uint64) for c in cols[1 : 1 + WORDS_64]]
         for g, own in enumerate(bits):
-            cell = np.full(len(fp), np.uint64(g << WIDE_BITS))
-            for place, bit in enumerate(own):
-                cell |= ((fp >> bit) & np.uint64(1)) << np.uint64(place)
-            yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), *map(pa.array, cols)], names=["cell", "fp", "fp2", "low"])
+            cell = np.full(len(cols[0]), g << WIDE_BITS, np.int32)
+            for place, bit in enumerate(own.tolist()):
+                cell |= ((fps[bit >> 6] >> np.uint64(bit & 63)) & np.uint64(1)).astype(np.int32) << place
+            yield pa.RecordBatch.from_arrays([pa.array(cell), *map(pa.array, cols)], names=["cell", "node", *PRINT, "n"])
 
 
 def wide_links(batches):
@@ -244,11 +269,11 @@ def wide_links(batches):
     others a row that is linked already opens no star of its own; all later rows are still
     compared with every row that does, so a crowd of copies costs a few passes, not all pairs."""
 
-    def near(fp, fp2, i, j):
-        return np.bitwise_count(fp[i] ^ fp[j]) + np.bitwise_count(fp2[i] ^ fp2[j]).astype(np.int64) <= WIDE_DISTANCE
+    def near(fps, n, i, j):
+        return (sum(np.bitwise_count(f[i] ^ f[j]).astype(np.int64) for f in fps) <= WIDE_DISTANCE) & alike_in_size(n[i], n[j])
 
     def links(cols):
-        cell, (fp, fp2), low = cols[0], (c.view(np.uint64) for c in cols[1:3]), cols[3]
+        cell, node, fps, n = cols[0], cols[1], [c.view(np.uint64) for c in cols[2 : 2 + WORDS_64]], cols[-1]
         edges = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]])
         sizes = np.diff(edges)
         us, vs = [], []
@@ -257,48 +282,119 @@ def wide_links(batches):
             at = np.flatnonzero(small[:-shift] & (cell[:-shift] == cell[shift:])) if len(cell) > shift else np.empty(0, np.int64)
             if not len(at):
                 break
-            at = at[near(fp, fp2, at, at + shift)]
-            us.append(low[at])
-            vs.append(low[at + shift])
+            at = at[near(fps, n, at, at + shift)]
+            us.append(node[at])
+            vs.append(node[at + shift])
         for k in np.flatnonzero(sizes > SMALL_CELL).tolist():
             a, b = int(edges[k]), int(edges[k + 1])
             linked = np.zeros(b - a, bool)
             for i in range(a, b - 1):
                 if not linked[i - a]:
                     j = np.arange(i + 1, b)
-                    j = j[near(fp, fp2, i, j)]
+                    j = j[near(fps, n, i, j)]
                     linked[j - a] = True
-                    us.append(np.full(len(j), low[i]))
-                    vs.append(low[j])
+                    us.append(np.full(len(j), node[i]))
+                    vs.append(node[j])
         u, v = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (us, vs))
         pairs = np.unique(np.stack([u, v], axis=1), axis=0) if len(u) else np.empty((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
-    left = [np.empty(0, np.int64) for _ in range(4)]
+    left = None
     for batch in batches:
-        cols = [np.concatenate([x, batch.column(i).to_numpy(zero_copy_only=False)]) for i, x in enumerate(left)]
+        own = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
+        cols = own if left is None else [np.concatenate(x) for x in zip(left, own)]
         done = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0
         left = [c[done:] for c in cols]
         if done:
             yield links([c[:done] for c in cols])
-    if len(left[0]):
+    if left is not None and len(left[0]):
         yield links(left)
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """doc_id, component_id by links of up to ``WIDE_DISTANCE`` of 128 bits: exact copies always,
-    near copies (0.8 of their 5-word shingles or more) with a recall that tests measure."""
+def verified(fps: list[np.ndarray], sets: list[np.ndarray]) -> np.ndarray:
+    """For each text of a group the smallest position it reaches by pairs within WIDE_DISTANCE
+    whose shingle sets have LIKENESS. Reached texts are taken from the rest and then each compared
+    with what is left, so no link is lost and a crowd is not compared pair by pair."""
+    n = np.array([len(s) for s in sets], np.int64)
+    begin = np.concatenate([[0], np.cumsum(n)])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mark = np.zeros(int(ids.max()) + 1, bool)
+    group, rest = np.arange(len(sets)), np.arange(len(sets))
+    while len(rest):
+        first, rest = int(rest[0]), rest[1:]
+        line = [first]
+        while line and len(rest):
+            i = line.pop()
+            apart = sum(np.bitwise_count(f[i] ^ f[rest]).astype(np.int64) for f in fps)
+            at = np.flatnonzero((apart <= WIDE_DISTANCE) & alike_in_size(n[i], n[rest]))
+            if not len(at):
+                continue
+            own, size = ids[begin[i] : begin[i + 1]], n[rest[at]]
+            mark[own] = True
+            stops = np.cumsum(size)
+            every = np.arange(stops[-1]) + np.repeat(begin[rest[at]] - (stops - size), size)
+            common = np.add.reduceat(mark[ids[every]].astype(np.int64), stops - size)
+            mark[own] = False
+            at = at[common * LIKENESS[1] >= (n[i] + size - common) * LIKENESS[0]]
+            group[rest[at]] = first
+            line += rest[at].tolist()
+            rest = np.delete(rest, at)
+    return group
+
+
+def verify_groups(batches):
+    """node, component by verified links; rows (candidates, node, fingerprints, set) come sorted
+    by candidate group and node."""
+
+    def one(rows):
+        nodes = np.array([r[0] for r in rows], np.int64)
+        fps = [np.array([r[1][i] for r in rows], np.int64).view(np.uint64) for i in range(WORDS_64)]
+        found = verified(fps, [np.frombuffer(r[2], np.uint64) for r in rows])
+        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[found])], names=["node", "component"])
+
+    now, rows = None, []
+    for batch in batches:
+        cols = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+        for group, node, *fps, own in zip(*cols):
+            if rows and group != now:
+                yield one(rows)
+                rows = []
+            now = group
+            if not rows or rows[-1][0] != node:
+                rows.append((node, fps, own))
+    if rows:
+        yield one(rows)
+
+
+def near_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, row, component for every row of ``docs`` (doc_id, text, row); ``row`` tells rows of
+    different contents apart and a component is named by one of its texts' digests."""
     from .common import cut
 
-    plain = columns(docs, doc_id="long", text="string")
-    rows = cut(map_rows(plain, WidePrint(), "doc_id long, fp long, fp2 long").withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))))
-    classes = rows.groupBy("fp", "fp2").agg(F.min("doc_id").alias("low"))
-    cells = classes.select("fp", "fp2", "low").mapInArrow(wide_cells, "cell long, fp long, fp2 long, low long")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # sorted by id as well, so that the stars of a crowded cell are the same in every run
-    links = cells.repartition(parts, "cell").sortWithinPartitions("cell", "low").mapInArrow(wide_links, "u long, v long").distinct()
-    named = components(links)
-    every = classes.join(named.withColumnRenamed("node", "low"), "low", "left").select("fp", "fp2", F.coalesce("component", "low").alias("component_id"))
-    out = rows.join(every, ["fp", "fp2"])
+    plain = columns(docs, doc_id="long", text="string", row="string")
+    rows = cut(map_rows(plain, WidePrint(), "doc_id long, row string, " + WIDE))
+    classes = rows.groupBy("node").agg(*[F.min(c).alias(c) for c in (*PRINT, "n", "row")])
+    cells = classes.where("n > 0").select("node", *PRINT, "n").mapInArrow(wide_cells, "cell int, " + WIDE)
+    links = cells.repartition(parts, "cell").sortWithinPartitions("cell", "node").mapInArrow(wide_links, "u long, v long").distinct()
+    candidates = classes.join(components(links).withColumnRenamed("component", "candidates"), "node").select("row", "candidates", "node", *PRINT)
+    texts = plain.select("row", "text").join(candidates, "row").select("candidates", "node", *PRINT, "text")
+    sets = map_rows(texts, with_set, "candidates long, " + ", ".join(f"{c} long" for c in ("node", *PRINT)) + ", own binary")
+    named = sets.repartition(parts, "candidates").sortWithinPartitions("candidates", "node").mapInArrow(verify_groups, "node long, component long")
+    return rows.select("doc_id", "row", "node").join(cut(named.where("node != component")), "node", "left").select("doc_id", "row", F.coalesce("component", "node").alias("component"))
+
+
+def with_set(text, **cols):
+    return cols | {"own": [shingle_set(t) for t in text]}
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """doc_id, component_id (the smallest id of the component) by pairs that share 0.8 of their
+    5-word shingles: exact copies always, others where their fingerprints made them candidates,
+    with a recall that tests measure."""
+    plain = columns(docs, doc_id="long", text="string")
+    found = near_groups(plain.withColumn("row", F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text"))))
+    found = found.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "component")
+    low = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     null = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
-    return out.select(null("doc_id"), null("component_id"))
+    return found.join(low, "component").select(null("doc_id"), null("component_id"))
