@@ -265,9 +265,10 @@ def wide_cells(batches):
 
 
 def wide_links(batches):
-    """Links inside each cell, rows sorted by cell. In small cells every pair is compared. In
-    others a row that is linked already opens no star of its own; all later rows are still
-    compared with every row that does, so a crowd of copies costs a few passes, not all pairs."""
+    """Links inside each cell, rows sorted by cell; their components are those of all pairs in the
+    cell. In small cells every pair is linked. In others a row takes all rows near it from the
+    rest, and each of these then takes from what is left, until none is near: a crowd of copies
+    costs a few passes, and every row was compared with all that no other row had taken."""
 
     def near(fps, n, i, j):
         return (sum(np.bitwise_count(f[i] ^ f[j]).astype(np.int64) for f in fps) <= WIDE_DISTANCE) & alike_in_size(n[i], n[j])
@@ -287,14 +288,17 @@ def wide_links(batches):
             vs.append(node[at + shift])
         for k in np.flatnonzero(sizes > SMALL_CELL).tolist():
             a, b = int(edges[k]), int(edges[k + 1])
-            linked = np.zeros(b - a, bool)
-            for i in range(a, b - 1):
-                if not linked[i - a]:
-                    j = np.arange(i + 1, b)
-                    j = j[near(fps, n, i, j)]
-                    linked[j - a] = True
-                    us.append(np.full(len(j), node[i]))
-                    vs.append(node[j])
+            rest = np.arange(a, b)
+            while len(rest):
+                line, rest = [int(rest[0])], rest[1:]
+                while line and len(rest):
+                    i = line.pop()
+                    taken = near(fps, n, i, rest)
+                    if taken.any():
+                        j, rest = rest[taken], rest[~taken]
+                        us.append(np.full(len(j), node[i]))
+                        vs.append(node[j])
+                        line += j.tolist()
         u, v = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (us, vs))
         pairs = np.unique(np.stack([u, v], axis=1), axis=0) if len(u) else np.empty((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
