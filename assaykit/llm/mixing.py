@@ -83,9 +83,9 @@ def apportion(parties: DataFrame, group: list[str], key: list[Column], votes: st
     return ranked.groupBy(*kept, "__low").agg(F.sum(won).alias("__won")).select(*kept, (F.col("__low") + F.col("__won")).alias("quota"))
 
 
-def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_docs: int = SHARD_DOCS, seed: int = SEED, most: int = MOST) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken for every document."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("body"))
+def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_docs: int = SHARD_DOCS, seed: int = SEED, most: int = MOST, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken and the columns ``carry`` for every document."""
+    ids = docs.select(*carry, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("body"))
     count = docs.count()
     shards = max(1, -(-count // shard_docs))
     ids = ids.withColumn("shard", number(seeded(seed, F.col("doc_id"))) % shards)
@@ -114,4 +114,4 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_docs: int = SHARD
     one = times(a) * F.col("size")
     ends = times(a) * ((a + 1) * block_words - F.col("start")) + times(b) * (F.col("stop") - b * block_words) + (upto(b) - upto(a + 1)) * block_words
     taken = F.when(F.col("size") == 0, F.lit(0)).when(a == b, one).otherwise(ends).cast("long")
-    return joined.select("doc_id", "source", "size", "source_size", "target", F.least(taken, F.col("size") * most).alias("taken"))
+    return joined.select("doc_id", "source", "size", "source_size", "target", F.least(taken, F.col("size") * most).alias("taken"), *carry)

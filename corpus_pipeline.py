@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 reread as the next one's ``docs``. All but the last return the columns of ``documents``.
 
 Defined cases: other columns are dropped, so none can clash; null and empty texts are judged by the
-quality model as empty texts, share one fingerprint (one of them stays), are never contaminated, are
-not changed by redaction and give no words to the mix; an empty table stays empty; without labels of
+quality model as empty texts, count as near-duplicates (one of them stays), are never contaminated, are
+not changed by redaction and give no words to the mix; rows with null or repeated ids are rows like any other; an empty table stays empty; without labels of
 both classes the quality stage keeps or drops all by the base rate, and keeps all without labels.
 """
 
@@ -28,14 +28,16 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates; of rows that share an
-    id, which are versions of one document, the one with the smallest text."""
+    """Of each group of near-duplicates the row with the smallest id (null first), and of rows with
+    equal ids the first by a digest of its columns. Rows are told apart by that digest, not by
+    their ids, so unlike texts under one id or none all stay."""
     plain = columns(docs, **COLUMNS)
-    found = neardup.near_copies(plain)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(neardup.NO_ID)).alias("key")).distinct()
-    keyed = plain.withColumn("key", F.coalesce("doc_id", F.lit(neardup.NO_ID))).join(first, "key", "left_semi")
-    same = Window.partitionBy("key").orderBy(*[F.col(c).asc_nulls_first() for c in ("text", "lang", "source", "n_chars")])
-    return keyed.withColumn("at", F.row_number().over(same)).where("at = 1").select(*COLUMNS)
+    keyed = plain.withColumn("row", F.md5(F.concat(*[F.coalesce(F.md5(F.col(c).cast("string")), F.lit("-")) for c in COLUMNS])))
+    found = neardup.near_groups(keyed).withColumn("first", F.struct(F.coalesce("doc_id", F.lit(neardup.NO_ID)), "row"))
+    first = found.groupBy("component").agg(F.min("first").alias("first")).select("first.row")
+    # rows alike in all columns have one digest
+    same = Window.partitionBy("row").orderBy("doc_id")
+    return keyed.join(first, "row", "left_semi").withColumn("at", F.row_number().over(same)).where("at = 1").select(*COLUMNS)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +52,8 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes words of: their columns, sizes, target and words taken."""
-    plain = columns(docs, **COLUMNS)
-    plan = mixing.mix(plain).where("taken > 0").drop("source")
-    return plain.join(plan, "doc_id")
+    plan = mixing.mix(columns(docs, **COLUMNS), carry=("text", "lang", "n_chars"))
+    return plan.where("taken > 0").select(*COLUMNS, "size", "source_size", "target", "taken")
 
 
 STAGES = [
