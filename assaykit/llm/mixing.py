@@ -84,7 +84,8 @@ def apportion(parties: DataFrame, group: list[str], key: list[Column], votes: st
 
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_docs: int = SHARD_DOCS, seed: int = SEED, most: int = MOST, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken and the columns ``carry`` for every document."""
+    """doc_id, source, size, source_size, target, taken and the columns ``carry`` for every document;
+    a carried ``text`` comes back as the mix has it: the blocks taken, as often as they are taken."""
     ids = docs.select(*carry, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("body"))
     count = docs.count()
     shards = max(1, -(-count // shard_docs))
@@ -114,4 +115,23 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_docs: int = SHARD
     one = times(a) * F.col("size")
     ends = times(a) * ((a + 1) * block_words - F.col("start")) + times(b) * (F.col("stop") - b * block_words) + (upto(b) - upto(a + 1)) * block_words
     taken = F.when(F.col("size") == 0, F.lit(0)).when(a == b, one).otherwise(ends).cast("long")
-    return joined.select("doc_id", "source", "size", "source_size", "target", F.least(taken, F.col("size") * most).alias("taken"), *carry)
+    carried = [mixed_text(times, block_words, most).alias(c) if c == "text" else c for c in carry]
+    return joined.select("doc_id", "source", "size", "source_size", "target", F.least(taken, F.col("size") * most).alias("taken"), *carried)
+
+
+def mixed_text(times, block_words: int, most: int) -> Column:
+    """The words taken of ``text``, in passes: the first has every block taken at all, the second
+    those taken twice or more, and so on; a pass starts after an empty line. White space between
+    words of neighbouring blocks stays as it is."""
+    words = F.regexp_extract_all(F.concat(F.col("text").cast("string"), F.lit("\n")), F.lit("[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*"), F.lit(0))
+
+    def of_block(words: Column, j: Column) -> Column:
+        first = F.greatest(j * block_words, F.col("start"))
+        return F.slice(words, (first - F.col("start") + 1).cast("int"), (F.least((j + 1) * block_words, F.col("stop")) - first).cast("int"))
+
+    def one_pass(words: Column, p: Column) -> Column:
+        blocks = F.filter(F.sequence(F.col("a"), F.col("b")), lambda j: times(j) >= p)
+        return F.rtrim(F.array_join(F.flatten(F.transform(blocks, lambda j: of_block(words, j))), ""), F.lit(" \t\n\x0b\f\r"))
+
+    passes = F.element_at(F.transform(F.array(words), lambda w: F.filter(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda p: one_pass(w, p)), lambda t: t != "")), 1)
+    return F.when(F.col("size") > 0, F.array_join(passes, "\n\n")).otherwise(F.lit(""))

@@ -51,9 +51,10 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes words of: their columns, sizes, target and words taken."""
-    plan = mixing.mix(columns(docs, **COLUMNS), carry=("text", "lang", "n_chars"))
-    return plan.where("taken > 0").select(*COLUMNS, "size", "source_size", "target", "taken")
+    """The documents that the mix takes words of, their texts as mixed (blocks left out or repeated;
+    n_chars is that of the new text), with the whole text's size, the target and the words taken."""
+    plan = mixing.mix(columns(docs, **COLUMNS), carry=("text", "lang"))
+    return plan.where("taken > 0").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS, "size", "source_size", "target", "taken")
 
 
 STAGES = [

@@ -31,3 +31,29 @@ def test_rows_with_null_and_repeated_ids_stay_in_the_mix(spark):
     got = corpus_pipeline.mixed(spark, docs, "").collect()
     assert Counter((r.doc_id, r.source, r.size, r.taken) for r in got) == Counter((r.doc_id, r.source, r.size, r.taken) for r in plan)
     assert any(r.doc_id is None for r in got) and sum(r.doc_id == 7 for r in got) <= 12
+
+
+def test_mixed_texts_hold_the_words_taken(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(400):
+        words = [f"d{i}w{k}" for k in range(rng.randint(1, 120))]
+        text = "".join(w + rng.choice([" ", "\n", "\t ", " "]) for w in words)
+        rows.append((i, text if i % 3 else " " + text.strip(), "en", "hot" if rng.random() < 0.9 else f"rare{i % 3}", len(text)))
+    rows += [(900, None, "en", "hot", None), (901, " \n", "en", "rare1", 2)]
+    got = corpus_pipeline.mixed(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    whole, sums, targets = {r[0]: r[1].split() for r in rows if r[1]}, Counter(), {}
+    for r in got:
+        words, own = Counter(r.text.split()), whole[r.doc_id]
+        assert sum(words.values()) == r.taken and set(words) <= set(own) and r.n_chars == len(r.text), r.doc_id
+        if r.taken == r.size and set(words.values()) == {1}:
+            assert r.text == rows[r.doc_id][1].strip()
+        sums[r.source] += len(r.text.split())
+        targets[r.source] = r.target
+    sizes = Counter()
+    for _, text, _, source, _ in rows:
+        sizes[source] += len((text or "").split())
+    print({s: (sizes[s], round(targets[s]), sums[s]) for s in sorted(targets)})
+    for s, t in targets.items():
+        assert abs(sums[s] - t) <= 8 * mixing.BLOCK_WORDS, (s, t, sums[s])
+    assert sums["hot"] < 0.9 * sizes["hot"] and any(sums[s] > 1.5 * sizes[s] for s in targets)
