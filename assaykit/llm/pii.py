@@ -113,9 +113,12 @@ the ratio is 3 : 2 at 25 degrees
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_", re.UNICODE)
 STATES = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 INDEX = {s: i for i, s in enumerate(STATES)}
-SENTENCE = re.compile(r"[^\n]{1,2000}")
-SIGN = re.compile(r"[0-9]|(?:\(|\[)\s*(?:at|dot)\s*(?:\)|\])|\w+ at \w+ dot \w+", re.IGNORECASE)
+SENTENCE = re.compile(r"[^\n]+")
+#: What every added span holds a token of: a digit, or a written-out "at" or "dot".
+SIGN = re.compile(r"[0-9]|(?<![^\W_])(?:at|dot)(?![^\W_])", re.IGNORECASE)
 DIMENSIONS = 4096
+#: Tokens whose features are held at once.
+PART = 4096
 
 
 def shape(word: str) -> str:
@@ -205,7 +208,10 @@ class Crf:
         most, k = max(n), len(STATES)
         scores = np.zeros((len(n), most, k))
         for b, words in enumerate(sequences):
-            scores[b, : n[b]] = self.emit[np.array(observe(words, slots))].sum(1)
+            for at in range(0, n[b], PART):  # features reach two tokens to either side
+                low = max(0, at - 2)
+                part = observe(words[low : at + PART + 2], slots)[at - low : at - low + PART]
+                scores[b, at : at + len(part)] = self.emit[np.array(part)].sum(1)
         scores[:, 0, [INDEX[s] for s in STATES if s[0] == "I"]] = -1e9
         move, best = self.move + np.where(self.banned, -1e9, 0.0), scores[:, 0]
         back, alive = np.zeros((most, len(n), k), np.int8), np.array(n)
