@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.core.broadcast import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-#: Rows handled at once inside a Python worker; long texts make larger batches costly.
-SLICE_ROWS = 256
+#: Rows and bytes handled at once inside a Python worker; a longer text makes a slice of its own.
+SLICE_ROWS, SLICE_BYTES = 256, 4_000_000
+#: Bytes of text that a training sample may take on the driver.
+SAMPLE_BYTES = 48_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +30,20 @@ def columns(df: DataFrame, **wanted: str) -> DataFrame:
     return df.select(*[F.col(c).cast(t).alias(c) for c, t in wanted.items()])
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most SLICE_ROWS rows and, but for single rows, SLICE_BYTES bytes."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for i, field in enumerate(batch.schema):
+        if pa.types.is_string(field.type) or pa.types.is_binary(field.type) or pa.types.is_large_string(field.type) or pa.types.is_large_binary(field.type):
+            size += pc.fill_null(pc.binary_length(batch.column(i)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    stops, at = np.cumsum(size), 0
+    while at < batch.num_rows:
+        fit = int(np.searchsorted(stops, (stops[at - 1] if at else 0) + SLICE_BYTES, side="right"))
+        end = min(max(fit, at + 1), at + SLICE_ROWS, batch.num_rows)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def map_rows(df: DataFrame, fn: Callable[..., dict], schema: str | StructType) -> DataFrame:
     """Run ``fn(**columns as lists) -> dict of lists`` over slices of Arrow batches.
 
@@ -41,8 +57,7 @@ def map_rows(df: DataFrame, fn: Callable[..., dict], schema: str | StructType) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = fn.start() if hasattr(fn, "start") else fn
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
+            for part in slices(batch):
                 got = work(**{c: part.column(i).to_pylist() for i, c in enumerate(names)})
                 arrays = [pa.array(got[f.name], type=f.type) for f in out]
                 if len(arrays[0]):
@@ -61,14 +76,13 @@ def shared_value(shared: Broadcast):
 
 
 def ensure_checkpoints(spark: SparkSession) -> str:
-    """The shared folder for checkpoints; one of our own only where none is set."""
-    sc = spark.sparkContext
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if known:
-        return known
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="assaykit-checkpoint-"))
-    return sc.getCheckpointDir()
+    """The shared folder for checkpoints: the session's, or else a folder of the warehouse, which
+    driver and executors share as well."""
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not known:
+        known = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/assaykit-checkpoints"
+        spark.sparkContext.setCheckpointDir(known)
+    return known
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -105,18 +119,40 @@ def first_by_hash(ids: DataFrame, salt: str, limit: int, count: int) -> DataFram
     return near.orderBy(order, "doc_id").limit(limit)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, limit: int) -> list:
-    """At most ``limit`` labelled training rows, half of them of either class where they exist.
+def sample_texts(docs: DataFrame, chosen: DataFrame, most_bytes: int = SAMPLE_BYTES) -> Iterator:
+    """Rows (doc_id, text and the columns of ``docs`` and ``chosen``) by ``at``, one row an id.
+
+    ``chosen`` (doc_id, at, ...) is bounded by its caller and is broadcast. Of rows with one id the
+    one with the smallest content is taken, before anything reaches the driver. Rows come one
+    partition after the other, until ``most_bytes`` bytes of text have come (the first always does).
+    """
+    rest = [c for c in docs.columns if c != "doc_id"]
+    rows = docs.join(F.broadcast(chosen), "doc_id").withColumn("row", F.struct(F.xxhash64(*rest), *rest))
+    one = rows.groupBy(*chosen.columns).agg(F.min("row").alias("row"))
+    size = 0
+    for row in one.select(*chosen.columns, *[f"row.{c}" for c in rest]).orderBy("at", "doc_id").toLocalIterator():
+        own = len((row.text or "").encode("utf-8", "surrogatepass"))
+        if size and size + own > most_bytes:
+            return
+        size += own
+        yield row
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, limit: int, most_bytes: int = SAMPLE_BYTES) -> list:
+    """At most ``limit`` labelled training rows and ``most_bytes`` bytes, half of them of either
+    class where they exist; one row an id. Ids with labels of both classes are left out.
 
     The choice depends on the ids alone (seeded hash order), so reruns agree. Only ids are
     ordered; the texts are then fetched by a broadcast of at most ``limit`` ids.
     """
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
-    ids = ids.where(train & F.col("y").isin(0, 1)).groupBy("doc_id").agg(F.max("y").alias("y"))
+    ids = ids.where(train & F.col("doc_id").isNotNull() & F.col("y").isin(0, 1)).groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").drop("z")
     sizes = {r.y: r["count"] for r in ids.groupBy("y").count().collect()}  # two rows
-    half = [first_by_hash(ids.where(F.col("y") == y), "sample", limit // 2, sizes.get(y, 0)) for y in (0, 1)]
-    chosen = half[0].unionByName(half[1])
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").collect()
+    half = [first_by_hash(ids.where(F.col("y") == y), "sample", (limit + y) // 2, sizes.get(y, 0)) for y in (0, 1)]
+    # classes take turns, so that a bound on bytes leaves as many of either
+    turn = Window.partitionBy("y").orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id")
+    chosen = half[0].unionByName(half[1]).withColumn("at", F.row_number().over(turn) * 2 + F.col("y"))
+    rows = sample_texts(docs.select("doc_id", "text"), chosen, most_bytes)
     return sorted(((r.text or "", r.y, r.doc_id) for r in rows), key=lambda r: (r[2], r[0]))
 
 

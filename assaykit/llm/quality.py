@@ -9,7 +9,9 @@ batch at once.
 Features are counts of characters, words, sentences and lines of the whole text, nothing else.
 Defined cases: null and empty texts get the features of an empty text; without two classes of
 labels every score is the base rate (or 1 without labels, so nothing is rejected); repeated rows
-get the same score; other columns are ignored.
+get the same score; an id with labels of both classes is left out of training, and of training
+rows with one id one is taken; texts of any length are read whole; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import columns, crc_mod, held_out, labelled_sample, map_rows, share, shared_value, sigmoid
 
-#: At most so many labelled rows are fetched to fit the model.
+#: At most so many labelled rows (and SAMPLE_BYTES bytes of them) are fetched to fit the model.
 TRAIN_ROWS = 6000
 BINS, PAIR_BINS = 24, 6
 ROUNDS, PAIR_ROUNDS, RATE, PAIRS = 120, 60, 0.15, 6
@@ -203,7 +205,7 @@ def quality(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Data
     """Fit on labelled rows outside the held-out quarter, then score all rows."""
     plain = columns(docs, doc_id="long", text="string")
     model = train(plain, columns(labels, doc_id="long", quality="int"), limit)
-    return score(plain, model).withColumn("held_out", held_out(F.col("doc_id"), 4, 2))
+    return score(plain, model).select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", "predicted")
 
 
 class Keep:
