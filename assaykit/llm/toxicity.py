@@ -1,23 +1,29 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
 Every word maps to a class: insult (a word or stem learned from labelled rows), threat, target,
-negation, reported speech, or other; sentence punctuation ends a clause. Deterministic transducers
-read the class string of each clause that holds an insult or a threat, and mark these words:
+negation, reported speech, or other; sentence punctuation ends a clause. Five deterministic
+transducers read the class string of a clause that holds an insult or a threat:
 
-* target   ``T .{0,3} I``, and from the clause's end ``I .{0,3} T``: aimed at someone,
-* negation ``N .{0,2} I``: denied,
-* reported ``R .* I``: somebody's words.
+* insult   ``I``: the word's learned weight,
+* target   ``T .{0,3} I`` and ``I .{0,3} T``: aimed at someone,
+* threat   ``T .{0,3} H`` and ``H .{0,3} T``: a threat needs somebody to go to,
+* negation ``N .{0,2} [IH]+``: denied,
+* reported ``R .* [IH]``: somebody else's words.
 
-They are composed into one machine (states are tuples, marks are united), which runs once over a
-clause; the insult transducer adds each word's learned weight to what its marks say. A small
-logistic model, fitted on the same bounded sample of labelled rows, turns the weights of matched
-clauses into a score. Isolated words never
-score: only matched clauses do, and their share of the text does not matter, so one insulting
-clause in a long text still counts.
+They are composed into one machine: states are tuples, and an arc's weights are added (the last two
+are negative). Its sum over a clause, zero at least, is what the clause says; a document's score is
+the logistic of a base and of the sums of its clauses. So a word counts for what its clause makes of
+it: "you are a fool" counts most, "not a fool" and "he said: a fool" count nothing.
+
+The weights are fitted on the same bounded sample as the lexicon, insult, target and threat at zero
+or above; denial and report take at least all that they apply to. One matched clause in a long text
+counts as much as in a short one.
 
 Only texts are inputs of a score. Defined cases: null and empty texts have no clause and get the
-model's base score; without usable labels the seed lexicon alone is used; repeated rows each get
-the same score; other columns are ignored.
+score of the base; texts and words of any length are read whole; without usable labels the seed
+lexicon alone is used; an id with labels of both classes is left out of training, and of training
+rows with one id one is taken; repeated rows each get the same score; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +31,7 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import xxhash
@@ -35,7 +42,7 @@ from .common import columns, crc_mod, held_out, labelled_sample, map_rows, share
 from .words import WordNumbers, rolling, words_of
 from .words import mix as spread
 
-#: At most so many labelled rows are fetched to fit the lexicon and the weights.
+#: At most so many labelled rows (and SAMPLE_BYTES bytes of them) are fetched for lexicon and weights.
 TRAIN_ROWS = 6000
 STEMS = range(3, 9)
 #: A term that so large a share of toxic texts hold needs no further reason.
@@ -51,6 +58,10 @@ NEGATIONS = "not no never isn aren nobody nicht kein keine nie pas jamais aucun
 REPORTS = "said says told wrote quote quoted claims sagte schrieb dit écrit dijo escribió".split()
 
 INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = b"IHTNR."
+#: What arcs say: parts of a vector of weights.
+INSULTS, AIMED, THREATENS, DENIED, REPORTED = range(5)
+#: Base and weights before any row is seen: in the order base, INSULTS ... REPORTED.
+SEED_WEIGHTS = (-4.0, 7.0, 1.5, 6.0, -9.0, -9.0)
 
 
 @dataclass
@@ -59,7 +70,7 @@ class Grammar:
 
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
-    weights: np.ndarray = field(default_factory=lambda: np.array([-4.0, 5.0, 1.0, 4.0, 3.0, 0.5]))
+    weights: np.ndarray = field(default_factory=lambda: np.array(SEED_WEIGHTS))
     stem_lengths: tuple[int, ...] = ()
 
     def weight(self, word: str) -> float:
@@ -91,17 +102,20 @@ class Classes(dict):
 
 MATCHES = frozenset((INSULT, THREAT))
 SYMBOLS = bytes((INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER))
-AIMED, DENIED, REPORTED = 1, 2, 4
+REACH = 3
 
 
 @dataclass(frozen=True)
 class Transducer:
-    """A deterministic machine: ``arcs[state][symbol]`` is (next state, marks written)."""
+    """A deterministic machine: ``arcs[state][symbol]`` is (next state, what the arc says).
+
+    An arc says a tuple of names (INSULTS ...); :meth:`weighed` turns them into numbers.
+    """
 
-    arcs: tuple[dict[int, tuple[int, int]], ...]
+    arcs: tuple[dict[int, tuple], ...]
 
     def compose(self, other: Transducer) -> Transducer:
-        """Both machines on one input: states are pairs, the marks of an arc are united."""
+        """Both machines on one input: states are pairs, what arcs say is added."""
         number, arcs, queue = {(0, 0): 0}, [], [(0, 0)]
         for a, b in queue:  # grows while it is read
             row = {}
@@ -110,36 +124,67 @@ class Transducer:
                 if (x, y) not in number:
                     number[x, y] = len(queue)
                     queue.append((x, y))
-                row[c] = (number[x, y], left | right)
+                row[c] = (number[x, y], left + right)
             arcs.append(row)
         return Transducer(tuple(arcs))
 
-    def run(self, string: bytes) -> list[int]:
-        """Marks of each symbol; only insults and threats get any."""
+    def weighed(self, weights) -> list[dict[int, tuple[int, float, bool]]]:
+        """Arcs as (next state, weight without the insult's, whether the insult's word counts)."""
+        return [{c: (to, float(sum(weights[1 + k] for k in says if k != INSULTS)), INSULTS in says) for c, (to, says) in row.items()} for row in self.arcs]
+
+    def run(self, string: bytes) -> list[tuple]:
         state, out = 0, []
         for c in string:
-            state, mark = self.arcs[state][c]
-            out.append(mark)
+            state, says = self.arcs[state][c]
+            out.append(says)
         return out
 
 
-def after(trigger: int, mark: int, reach: int | None, once: bool = False) -> Transducer:
-    """Marks the insults and threats with at most ``reach`` words between them and a trigger before
-    (None: anywhere after it in the clause); with ``once`` the first one uses the trigger up."""
-    top = 1 if reach is None else reach + 1
-    rows = []
-    for left in range(top + 1):
-        row = {}
-        for c in SYMBOLS:
-            rest = left if reach is None else max(0, left - 1)
-            rest = top if c == trigger else 0 if once and c in MATCHES else rest
-            row[c] = (rest, mark if left and c in MATCHES else 0)
-        rows.append(row)
-    return Transducer(tuple(rows))
-
-
-TARGETED = after(TARGET, AIMED, 3)
-GRAMMAR = TARGETED.compose(after(NEGATION, DENIED, 2, once=True)).compose(after(REPORT, REPORTED, None))
+def table(states: int, step) -> Transducer:
+    """A machine whose arcs are ``step(state, symbol)`` = (next state, what the arc says)."""
+    return Transducer(tuple({c: step(k, c) for c in SYMBOLS} for k in range(states)))
+
+
+def either_side(symbol: int, says: int) -> Transducer:
+    """``T .{0,3} X`` and ``X .{0,3} T``: says it once for each X that a target stands near.
+
+    A state is how many symbols a target reaches yet, and which of the last symbols are an X that
+    still waits for one."""
+    back = REACH + 1
+    number = {(t, waits): t << back | waits for t in range(back + 1) for waits in range(1 << back)}
+
+    def step(state: int, c: int) -> tuple[int, tuple]:
+        target, waits = state >> back, state & (1 << back) - 1
+        later = (waits << 1) & (1 << back) - 1
+        if c == TARGET:
+            return number[back, 0], (says,) * waits.bit_count()
+        if c == symbol and target:
+            return number[target - 1, later], (says,)
+        return number[max(0, target - 1), later | (c == symbol)], ()
+
+    return table(len(number), step)
+
+
+def denial() -> Transducer:
+    """``N .{0,2} [IH]+``: states count down from a negation; a denied word denies the next one."""
+
+    def step(left: int, c: int) -> tuple[int, tuple]:
+        if c == NEGATION:
+            return 3, ()
+        if c in MATCHES and left:
+            return 1, (DENIED,)
+        return max(0, left - 1), ()
+
+    return table(4, step)
+
+
+INSULT_MACHINE = table(1, lambda state, c: (0, (INSULTS,) if c == INSULT else ()))
+TARGET_MACHINE = either_side(INSULT, AIMED)
+THREAT_MACHINE = either_side(THREAT, THREATENS)
+NEGATION_MACHINE = denial()
+REPORT_MACHINE = table(2, lambda state, c: (1, ()) if c == REPORT else (state, (REPORTED,) if state and c in MATCHES else ()))
+MACHINES = (INSULT_MACHINE, TARGET_MACHINE, THREAT_MACHINE, NEGATION_MACHINE, REPORT_MACHINE)
+GRAMMAR = reduce(Transducer.compose, MACHINES)
 N_FEATURES = 6
 
 
@@ -158,35 +203,47 @@ def clauses(tokens: list[str], classes: bytes) -> list[tuple[bytes, list[str]]]:
         at = end
 
 
-def features(text: str | None, classes: Classes) -> tuple[np.ndarray, int, int]:
-    """Base, plain/aimed clause weight, its count, denied and reported weights, threats."""
-    x = np.zeros(N_FEATURES)
-    x[0] = 1.0
+def classed(text: str | None, classes: Classes) -> list[tuple[bytes, list[str]]]:
     tokens = TOKEN.findall(text) if text else []
-    string = bytes(map(classes.__getitem__, tokens))
-    n_clauses = n_insults = 0
-    for kinds, words in clauses(tokens, string):
-        marks = [m | n for m, n in zip(GRAMMAR.run(kinds), reversed(TARGETED.run(kinds[::-1])))]  # targets after count too
-        weight, insults, aimed, threats = [0.0] * N_FEATURES, 0, False, 0
-        for kind, mark, word in zip(kinds, marks, words):
-            if kind not in MATCHES or (kind == THREAT and not mark & AIMED):
-                continue  # a threat word without a target is no threat
-            slot = 4 if mark & REPORTED else 3 if mark & DENIED else 1
-            if kind == INSULT:
-                insults += 1
-                weight[slot] += classes.grammar.weight(word.lower())
-            threats += kind == THREAT
-            aimed |= bool(mark & AIMED)
-        if not insults and not threats:
-            continue
-        n_clauses += 1
-        n_insults += insults
-        for slot in (1, 3, 4):
-            x[slot] = max(x[slot], min(1.0, weight[slot]))
-        x[2] += min(3, insults) / 3 + (0.5 if aimed else 0.0)
-        x[5] += float(threats > 0)
-    x[2], x[5] = math.log1p(x[2]), min(1.0, x[5])
-    return x, n_clauses, n_insults
+    return clauses(tokens, bytes(map(classes.__getitem__, tokens)))
+
+
+class Reader:
+    """The composed machine with a grammar's weights on its arcs."""
+
+    def __init__(self, grammar: Grammar):
+        self.grammar, self.classes, self.arcs = grammar, Classes(grammar), GRAMMAR.weighed(grammar.weights)
+
+    def clause(self, kinds: bytes, words: list[str]) -> float:
+        """The weight of a clause's path, zero at least."""
+        state, total, insult, arcs = 0, 0.0, self.grammar.weights[1 + INSULTS], self.arcs
+        for c, word in zip(kinds, words):
+            state, weight, own = arcs[state][c]
+            total += weight + (insult * self.grammar.weight(word.lower()) if own else 0.0)
+        return max(0.0, total)
+
+    def read(self, text: str | None) -> tuple[float, int, int]:
+        """Score, matched clauses, insults in them."""
+        total, matched, insults = float(self.grammar.weights[0]), 0, 0
+        for kinds, words in classed(text, self.classes):
+            weight = self.clause(kinds, words)
+            if weight > 0:
+                total += weight
+                matched += 1
+                insults += kinds.count(b"I")
+        return float(sigmoid(np.float64(total))), matched, insults
+
+
+def says(text: str | None, classes: Classes) -> np.ndarray:
+    """One row a clause: how much it says of INSULTS ... REPORTED."""
+    rows = []
+    for kinds, words in classed(text, classes):
+        own = np.zeros(N_FEATURES - 1)
+        for word, parts in zip(words, GRAMMAR.run(kinds)):
+            for k in parts:
+                own[k] += classes.grammar.weight(word.lower()) if k == INSULTS else 1.0
+        rows.append(own)
+    return np.array(rows).reshape(-1, N_FEATURES - 1)
 
 
 def copy_groups(texts: list[str], keys: int = 8) -> list[int]:
@@ -290,41 +347,55 @@ def learn_lexicon(sample: list[tuple[str, int]], least: int = 3, purity: float =
 
 
 def fit(sample: list[tuple[str, int]]) -> Grammar:
-    """The lexicon, then logistic weights by Newton steps with a ridge towards the seed weights."""
+    """The lexicon, then logistic weights by Newton steps with a ridge towards the seed weights;
+    after each step the signs that the grammar asks for are restored."""
     grammar = Grammar()
     if len({y for _, y in sample}) < 2:
         return grammar
     grammar.words, grammar.stems = learn_lexicon(sample)
     grammar.stem_lengths = tuple(sorted({len(s) for s in grammar.stems}))
     classes = Classes(grammar)
-    x = np.array([features(text, classes)[0] for text, _ in sample])
+    found = [says(text, classes) for text, _ in sample]
+    every, owner = np.concatenate(found), np.repeat(np.arange(len(sample)), [len(f) for f in found])
     y = np.array([label for _, label in sample], float)
     seed, w, ridge = grammar.weights.copy(), grammar.weights.copy(), np.diag([1e-3] + [0.5] * (N_FEATURES - 1))
-    for _ in range(25):
+    for _ in range(40):
+        x = np.zeros((len(sample), N_FEATURES))
+        x[:, 0] = 1.0
+        heard = every @ w[1:] > 0  # a clause whose path ends at zero or below says nothing
+        np.add.at(x, owner[heard], np.pad(every[heard], ((0, 0), (1, 0))))
         p = sigmoid(x @ w)
         gradient = x.T @ (p - y) + ridge @ (w - seed)
         hessian = (x * (p * (1 - p))[:, None]).T @ x + ridge
-        step = np.linalg.solve(hessian, gradient)
-        w = w - np.clip(step, -2.0, 2.0)
+        step = np.clip(np.linalg.solve(hessian, gradient), -2.0, 2.0)
+        w = signed(w - step)
         if np.abs(step).max() < 1e-6:
             break
-    w[1:] = np.maximum(w[1:], 0.0)
     grammar.weights = w
     return grammar
 
 
+def signed(w: np.ndarray) -> np.ndarray:
+    """The base below zero; insult, target and threat at zero or above; denial and report take at
+    least what an aimed insult or a threat gives."""
+    out = w.copy()
+    out[0] = min(out[0], -1.0)
+    out[1 + INSULTS], out[1 + AIMED], out[1 + THREATENS] = (max(0.0, w[1 + k]) for k in (INSULTS, AIMED, THREATENS))
+    most = -max(out[1 + INSULTS] + out[1 + AIMED], out[1 + THREATENS])
+    out[1 + DENIED], out[1 + REPORTED] = min(w[1 + DENIED], most), min(w[1 + REPORTED], most)
+    return out
+
+
 class Score:
     def __init__(self, shared):
         self.shared = shared
 
     def start(self):
-        grammar = shared_value(self.shared)
-        classes = Classes(grammar)
+        reader = Reader(shared_value(self.shared))
 
         def work(doc_id, text):
-            got = [features(t, classes) for t in text]
-            score = sigmoid(np.array([g[0] for g in got]) @ grammar.weights)
-            return {"doc_id": doc_id, "score": score, "predicted": (score >= 0.5).astype(np.int32), "n_clauses": [g[1] for g in got], "n_insults": [g[2] for g in got]}
+            got = [reader.read(t) for t in text]
+            return {"doc_id": doc_id, "score": [g[0] for g in got], "predicted": [int(g[0] >= 0.5) for g in got], "n_clauses": [g[1] for g in got], "n_insults": [g[2] for g in got]}
 
         return work
 
@@ -344,4 +415,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Dat
     """Fit on labelled rows outside the held-out fifth, then score all rows."""
     plain = columns(docs, doc_id="long", text="string")
     grammar = train(plain, columns(labels, doc_id="long", toxic="int"), limit)
-    return score(plain, grammar).withColumn("held_out", held_out(F.col("doc_id"), 5, 0))
+    return score(plain, grammar).select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted", "n_clauses", "n_insults")

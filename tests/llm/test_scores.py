@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -38,13 +39,25 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got.values())
 
 
-def test_grammar_marks_clauses():
-    grammar = toxicity.Grammar(words={"moron": 1.0})
-    classes = toxicity.Classes(grammar)
-    plain, aimed, denied, quoted, none = (toxicity.features(t, classes)[0] for t in ("what a moron", "you moron", "he is not a moron", "she said he is a moron", "a clean clause. you"))
-    assert plain[1] == 1 and aimed[2] > plain[2] and denied[3] == 1 and denied[1] == 0 and quoted[4] == 1 and not none[1:].any()
-    assert toxicity.features("they will kill the engine. nothing", classes)[0][5] == 1.0  # a threat needs a target
-    assert not toxicity.features("kill the process", classes)[0][1:].any()
+def test_clauses_decide_not_words():
+    reader = toxicity.Reader(toxicity.Grammar(words={"moron": 1.0, "worthless": 1.0}))
+    score = lambda text: reader.read(text)[0]
+    alone, aimed = score("what a moron"), score("you are a moron")
+    assert 0.5 < alone < aimed
+    for text in ("you are not a moron", "she said he is a moron", "you are not a worthless moron", "he wrote: x. they claims that you are worthless"):
+        assert score(text) < 0.5 and any(w in text for w in ("moron", "worthless")), text
+    assert score("she said he is a moron. you are a moron") > 0.5  # another clause counts on its own
+    assert score("they will kill you") > 0.5 and score("kill the process") < 0.5 and score("we will not kill you") < 0.5
+    assert score("they will kill the engine. nothing") > 0.5 and score("the engine kill. you") < 0.5
+    assert score("x " * 50_000 + ". you moron") > 0.5  # however long the text
+
+
+def test_signs_hold_whatever_the_labels_say():
+    rng = random.Random(5)
+    some = lambda: " ".join(f"word{rng.choice('abcdefghijklmnop')}{rng.choice('abcdefgh')}" for _ in range(12))
+    sample = [(f"{some()} {rng.choice(['not', 'said'])} moron{k % 7}x {some()}", 1) for k in range(60)] + [(some(), 0) for _ in range(60)]
+    w = toxicity.fit(sample + [(f"{some()} idiot {some()}", 1) for _ in range(30)]).weights
+    assert w[0] < 0 and (w[1:4] >= 0).all() and max(w[1] + w[2], w[3]) + max(w[4], w[5]) <= 1e-9
 
 
 def test_copies_are_one_witness():
@@ -78,6 +91,7 @@ def test_awkward_rows_and_missing_labels(spark):
     for known in (labels(spark), labels(spark, [(3, 1, 0)]), labels(spark, [(3, 1, 0), (4, 0, 1), (None, None, None), (6, 1, None)])):
         for f in (toxicity.toxicity, quality.quality):
             got = f(docs, known).collect()
+            assert f(docs, known).columns[:4] == ["doc_id", "held_out", "score", "predicted"]
             assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)
             assert f(none, known).count() == 0
     kept = quality.keep_good(docs, quality.Tables(base=35.0))
@@ -95,13 +109,51 @@ def test_samples_are_the_smallest_hashes(spark):
     assert first_by_hash(ids, "s", 9000, 5000).count() == 5000 and first_by_hash(ids.limit(0), "s", 5, 0).count() == 0
 
 
-def test_composed_machine_equals_its_parts():
-    import itertools
+def plain_reading(string, w):
+    """What the five rules say of a clause, read off its string directly."""
+    total, near = 0.0, lambda i: any(string[j] == toxicity.TARGET for j in range(max(0, i - 4), min(len(string), i + 5)))
+    denied = [False] * len(string)
+    for i, c in enumerate(string):
+        if c in toxicity.MATCHES:
+            back = [j for j in range(max(0, i - 3), i) if string[j] == toxicity.NEGATION]
+            fresh = back and not any(x in toxicity.MATCHES for x in string[back[-1] + 1 : i])
+            denied[i] = bool(fresh) or (i > 0 and string[i - 1] in toxicity.MATCHES and denied[i - 1])
+            total += w[1 + toxicity.DENIED] * denied[i] + w[1 + toxicity.REPORTED] * (toxicity.REPORT in string[:i])
+        total += (c == toxicity.INSULT) * (w[1] + w[2] * near(i)) + (c == toxicity.THREAT) * w[3] * near(i)
+    return max(0.0, total)
+
+
+def test_composed_weights_equal_the_rules():
+    rng = random.Random(8)
+    weights = np.array([-4.0, 7.0, 1.25, 6.0, -9.0, -9.5])
+    grammar = toxicity.Grammar(words={"i": 1.0}, weights=weights)
+    reader = toxicity.Reader(grammar)
+    strings = [bytes(s) for n in (1, 2, 3, 4) for s in itertools.product(toxicity.SYMBOLS, repeat=n)] + [bytes(rng.choices(toxicity.SYMBOLS, k=rng.randint(5, 14))) for _ in range(4000)]
+    for string in strings:
+        assert abs(reader.clause(string, ["i"] * len(string)) - plain_reading(string, weights)) < 1e-9, string
+
+
+def test_sample_is_bounded_by_rows_and_bytes(spark):
+    from pyspark.sql import functions as F
+
+    from assaykit.llm.common import labelled_sample
+
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(5000)] + [(2, "b" * 1000), (3, "c"), (4, "both"), (5, "d")], "doc_id long, text string")
+    known = labels(spark, [(1, 1, 1), (2, 1, 0), (3, 1, 0), (4, 1, 0), (4, 1, 1), (5, 1, 1), (6, 1, 1), (None, 1, 1)])
+    got = labelled_sample(docs, known, "toxic", F.lit(True), 4)
+    assert len(got) <= 4 and len({i for _, _, i in got}) == len(got) and 4 not in {i for _, _, i in got}
+    assert got == labelled_sample(docs.repartition(3), known, "toxic", F.lit(True), 4)
+    assert len(labelled_sample(docs, known, "toxic", F.lit(True), 100)) == 4  # 1, 2, 3, 5
+    assert sum(len(t) for t, _, _ in labelled_sample(docs, known, "toxic", F.lit(True), 100, 900)) <= 1000
+
+
+def test_slices_are_bounded_by_bytes():
+    import pyarrow as pa
+
+    from assaykit.llm import common
 
-    parts = [toxicity.TARGETED, toxicity.after(toxicity.NEGATION, toxicity.DENIED, 2, once=True), toxicity.after(toxicity.REPORT, toxicity.REPORTED, None)]
-    for size in (1, 2, 3, 5):
-        for string in itertools.islice(map(bytes, itertools.product(toxicity.SYMBOLS, repeat=size)), 4000):
-            want = [a | b | c for a, b, c in zip(*(p.run(string) for p in parts))]
-            assert toxicity.GRAMMAR.run(string) == want
-    assert toxicity.GRAMMAR.run(b"T...I") == [0, 0, 0, 0, toxicity.AIMED] and not any(toxicity.GRAMMAR.run(b"T....I"))
-    assert toxicity.GRAMMAR.run(b"N.I.I")[2:] == [toxicity.DENIED, 0, 0]
+    texts = ["x" * 3_000_000, None, "y" * 3_000_000, "z", "", "w" * 9_000_000] + ["k"] * 600
+    parts = list(common.slices(pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["a", "b"])))
+    assert [v for p in parts for v in p.column(1).to_pylist()] == texts
+    assert all(p.num_rows == 1 or sum(len(v or "") for v in p.column(1).to_pylist()) <= common.SLICE_BYTES for p in parts)
+    assert max(p.num_rows for p in parts) <= common.SLICE_ROWS
