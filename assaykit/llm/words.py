@@ -71,6 +71,8 @@ BYTE_NUMBERS = _random.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 BYTE_NUMBERS[SPACE] = 0
+#: Places of a word have random numbers of their own; beyond these many, a number for each further
+#: stretch of places multiplies them, so no two places of a word are treated alike.
 PLACES = 4096
 PLACE_NUMBERS = _random.integers(1, 1 << 63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -99,10 +101,34 @@ class Layout:
             place = np.arange(first, len(data)) - np.repeat(self.begin, spans)
             with np.errstate(over="ignore"):
                 terms = BYTE_NUMBERS[data[first:]] * PLACE_NUMBERS[place & (PLACES - 1)]
+                if int((self.end - self.begin).max()) > PLACES:
+                    far = np.flatnonzero(place >= PLACES)
+                    terms[far] *= mix((place[far] // PLACES).astype(np.uint64) * BASE) | np.uint64(1)
                 self.number = mix(np.add.reduceat(terms, self.begin - first) + (self.end - self.begin).astype(np.uint64))
         else:
             self.number = np.empty(0, np.uint64)
 
+    def exact(self) -> np.ndarray:
+        """A number for each word that is equal if, and only if, the words are: words with one
+        hash are compared byte by byte with the first of them."""
+        _, first, rank = np.unique(self.number, return_index=True, return_inverse=True)
+        if not len(first):
+            return rank
+        data, size = np.frombuffer(self.raw, np.uint8), self.end - self.begin
+        like = first[rank]
+        alike = size == size[like]
+        at = np.flatnonzero(alike & (like != np.arange(len(like))))
+        if len(at):
+            span = size[at]
+            stops = np.cumsum(span)
+            inner = np.arange(stops[-1]) - np.repeat(stops - span, span)
+            same = data[np.repeat(self.begin[at], span) + inner] == data[np.repeat(self.begin[like[at]], span) + inner]
+            alike[at] = np.logical_and.reduceat(same, stops - span)
+        if not alike.all():
+            known: dict[bytes, int] = {}
+            return np.array([known.setdefault(self.raw[a:b], len(known)) for a, b in zip(self.begin.tolist(), self.end.tolist())], np.int64)
+        return rank
+
     def joined(self, doc: int) -> bytes:
         """A text's words, joined by one space."""
         a, b = self.starts[doc], self.starts[doc + 1]

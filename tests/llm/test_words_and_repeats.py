@@ -63,7 +63,15 @@ def compare(spark, rows, group):
         got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     finally:
         substrings.GROUP = old
-    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == sorted(brute(rows))
+    assert sorted((r.doc_id, r.n_words, r.n_removed, sha(r.kept)) for r in got) == sorted(brute(rows))
+    texts = {i: (t or "").split() for i, t in rows}
+    for r in got:  # spans say the same as the kept text
+        cut = {k for s in r.spans for k in range(s.start, s.end)}
+        assert [w for k, w in enumerate(texts[r.doc_id]) if k not in cut] == r.kept.split() and len(cut) == r.n_removed
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
 
 
 def test_repeats_match_brute_force(spark):
@@ -87,3 +95,47 @@ def test_awkward_rows(spark):
     assert len(got) == docs.count() and substrings.remove_repeats(none).count() == 0
     assert [r.n_words for r in got if r.doc_id == 0] == [0]
     assert len({(r.n_words, r.n_removed) for r in got if r.doc_id == 5}) == 1  # repeated rows agree
+
+
+def test_long_words_are_told_apart(spark):
+    words = [f"w{i}" for i in range(30)]
+    odd = ["a" + "x" * 4095 + "b", "b" + "x" * 4095 + "a", "a" + "x" * 9000, "x" * 4096 + "a" + "x" * 4904, "é" * 5000]
+    rows = [(k, " ".join([*words[:19], w, *words[19:]])) for k, w in enumerate(odd)] + [(10 + k, " ".join([*words[:19], w, *words[19:]])) for k, w in enumerate(odd)]
+    for group in (256, 2):
+        compare(spark, rows, group)
+
+
+def test_words_with_one_hash_are_compared(spark, monkeypatch):
+    # every hash of a word is one of 64: groups mix, words don't
+    init = Layout.__init__
+
+    def weak(self, texts):
+        init(self, texts)
+        self.number = self.number & 63
+
+    monkeypatch.setattr(Layout, "__init__", weak)
+    layout = Layout(["aa bb cc aa dd " + " ".join(f"u{i}" for i in range(200)) + " aa u7"])
+    exact, words = layout.exact(), layout.raw.split()
+    assert all((exact[i] == exact[j]) == (words[i] == words[j]) for i in range(len(words)) for j in range(i))
+    rows = planted(40, 5)
+    one = [(0, 0, 0, 0, 20, 3, t.encode()) for _, t in rows if len(t.split()) >= 40][:12]
+    cols = [[x[k] for x in one] for k in range(7)]
+    import numpy as np
+
+    for n in (1, 3):
+        mask = substrings.subtree(np.zeros(len(one), np.int64), np.arange(len(one)), np.zeros(len(one), np.int64), np.zeros(len(one), np.int64), np.full(len(one), n), np.full(len(one), 3), cols[6])
+        seen, want = set(), []
+        for x in cols[6]:
+            keys = [tuple(x.split()[k : k + 20]) for k in range(n)]
+            want.append(sum(1 << k for k, key in enumerate(keys) if (k, key) not in seen))
+            seen |= set(enumerate(keys))
+        assert mask.tolist() == want
+
+
+def test_ten_thousand_repeated_rows(spark):
+    text = " ".join(f"w{i % 37}" for i in range(60))
+    rows = [(7, text)] * 10_000 + [(8, text), (3, "x " + text[:200])]
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = {r[0]: r[1:3] for r in brute([(3, "x " + text[:200]), (7, text), (8, text)])}
+    assert got.count() == 10_002
+    assert {(r.doc_id, r.n_words, r.n_removed) for r in got.select("doc_id", "n_words", "n_removed").distinct().collect()} == {(i, *v) for i, v in want.items()}
