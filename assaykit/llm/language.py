@@ -1,36 +1,36 @@
 """Language of pages by Bayesian evidence fusion.
 
 Four kinds of evidence are fused in log space, per page and language: the likelihood of the main
-text (byte trigrams, tempered, since trigrams aren't independent), the declared markup language,
-the address suffix (a language segment of the path, or a country domain), and the prior of the
-host. The tables of declared languages and suffixes, and the priors, come from grouped sums of
-the text posteriors; a host's prior is smoothed towards its domain's, and that towards the whole.
-A page's own share is taken out of its host's sums, so no page votes for itself.
-
-Text models are fitted on at most ``TRAIN_ROWS`` documents with a language (seeded choice).
-Defined cases: null or empty html has a flat likelihood, so other evidence decides; a null or odd
-url has the empty host; without training rows the language is ``und``; repeated rows each give a
-row; other columns are ignored.
+text as the host's wrapper gives it (byte trigrams, tempered, since trigrams aren't independent), the
+declared markup language, the address suffix (a language segment of the path, or a country domain),
+and the prior of the host. The tables of declared languages and suffixes, and the priors, come from
+grouped sums of the text posteriors; a host's prior is smoothed towards its domain's, and that
+towards the whole. A page's own share is taken out of its host's sums, so no page votes for itself.
+Evidence is an array with an entry a language, so any number of languages goes.
+
+Text models are fitted on at most ``TRAIN_ROWS`` documents with a language (seeded choice, one row an
+id) and SAMPLE_BYTES bytes of them. Defined cases: null or empty html has a flat likelihood, so other
+evidence decides; pages of any length are read whole; a null or odd url has the empty host; without
+training rows the language is ``und``; of languages that tie the first by name is taken; repeated rows
+each give a row; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, first_by_hash, map_rows, share, shared_value, written
-from .wrappers import infer, main_text, named, with_host
+from .common import columns, first_by_hash, map_rows, sample_texts, share, shared_value, written
+from .wrappers import Wrappers, main_text, named, with_host, wrappers
 
 TRAIN_ROWS = 4000
 BUCKETS = 1 << 15
 #: Effective trigrams of a text grow with the root of its length.
 TEMPER = 0.5
 HOST_WEIGHT, DOMAIN_WEIGHT, CUE_WEIGHT = 4.0, 8.0, 1.0
-MOST_LANGUAGES = 64
 COUNTRY = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "ie": "en", "au": "en"}  # fixed values
 HTML_TAG = re.compile(r"<html\b([^>]*)>", re.IGNORECASE)
 SEGMENT = re.compile(r"^[a-z][a-z0-9+.-]*://[^/?#]*/([a-z]{2})(?:[-_][a-z]{2})?(?:[/?#]|$)", re.IGNORECASE)
@@ -60,10 +60,10 @@ class Likelihood:
 
     def start(self):
         langs, table = shared_value(self.shared)
-        flat = [0.0] * len(langs)
+        flat, known = [0.0] * len(langs), Wrappers()
 
-        def one(page: str | None) -> list[float]:
-            text = main_text(page, infer([page])["roots"]) if page else ""
+        def one(page: str | None, wrapper: str | None) -> list[float]:
+            text = main_text(page, known[wrapper])
             codes = grams(text) if text else ()
             if not len(codes):
                 return flat
@@ -71,10 +71,10 @@ class Likelihood:
             total = (total - total.max()) * len(codes) ** (TEMPER - 1.0)
             return total.tolist()
 
-        def work(page_id, url, host, html):
+        def work(page_id, url, host, html, wrapper):
             declared = [cue(named(m[1]).get("lang") if (m := HTML_TAG.search(h or "")) else None, langs) for h in html]
             suffix = [cue(m[1] if (m := SEGMENT.match(u or "")) else COUNTRY.get((h or "").rpartition(".")[2]), langs) for u, h in zip(url, host)]
-            return {"page_id": page_id, "url": url, "host": host, "declared": declared, "suffix": suffix, "ll": [one(h) for h in html]}
+            return {"page_id": page_id, "url": url, "host": host, "declared": declared, "suffix": suffix, "ll": [one(h, w) for h, w in zip(html, wrapper)]}
 
         return work
 
@@ -84,62 +84,65 @@ def cue(value: str | None, langs: list[str]) -> str:
     return low if low in langs else "other" if low else "none"
 
 
-def softmax(total: str, n: int) -> list:
-    """Columns of the posterior of an array of log terms."""
+def softmax(total: str):
+    """The posterior of an array of log terms."""
     top = F.array_max(total)
-    norm = F.aggregate(F.col(total), F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
-    return [F.exp(F.col(total)[k] - top) / norm for k in range(n)]
+    weights = F.transform(total, lambda x: F.exp(x - top))
+    return F.element_at(F.transform(F.array(weights), lambda w: F.transform(w, lambda x: x / F.aggregate(w, F.lit(0.0), lambda a, y: a + y))), 1)
 
 
-def cue_table(scored: DataFrame, name: str, langs: list[str]) -> DataFrame:
+def summed(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """Sums of arrays by place, as an array: place by place, so that partial sums leave each task."""
+    long = rows.select(*by, F.posexplode(value).alias("place", "v"))
+    sums = long.groupBy(*by, "place").agg(F.sum("v").alias("v"))
+    held = F.array_sort(F.collect_list(F.struct("place", "v")))  # an entry a language
+    return sums.groupBy(*by).agg(F.transform(held, lambda x: x["v"]).alias(name))
+
+
+def cue_table(scored: DataFrame, name: str) -> DataFrame:
     """log P(cue | language) by cue, as an array; at most languages + 2 rows."""
-    sums = scored.groupBy(name).agg(*[F.sum(F.col("p")[k]).alias(f"s{k}") for k in range(len(langs))])
-    whole = sums.agg(*[F.sum(f"s{k}").alias(f"t{k}") for k in range(len(langs))], F.count(F.lit(1)).alias("kinds"))
-    terms = F.array(*[F.log((F.col(f"s{k}") + CUE_WEIGHT) / (F.col(f"t{k}") + CUE_WEIGHT * F.col("kinds"))) for k in range(len(langs))])
+    sums = summed(scored, [name], "p", "s")
+    whole = summed(sums.withColumn("one", F.lit(1)), ["one"], "s", "t").join(sums.agg(F.count(F.lit(1)).alias("kinds"), F.lit(1).alias("one")), "one")
+    terms = F.zip_with("s", "t", lambda s, t: F.log((s + CUE_WEIGHT) / (t + CUE_WEIGHT * F.col("kinds"))))
     return sums.crossJoin(F.broadcast(whole)).select(name, terms.alias(f"{name}_terms"))  # one row of totals
 
 
+def training_texts(documents: DataFrame, limit: int = TRAIN_ROWS) -> list[tuple[str, str]]:
+    """(lang, text) of at most ``limit`` documents, one row an id."""
+    train = columns(documents, doc_id="long", lang="string", text="string").where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
+    # ids alone are ordered; the chosen texts are then fetched by a broadcast of ``limit`` ids
+    ids = train.select("doc_id").distinct()
+    chosen = first_by_hash(ids, "language", limit, ids.count()).withColumn("at", F.xxhash64(F.lit("language"), "doc_id"))
+    return [(r.lang, r.text) for r in sample_texts(train, chosen)]
+
+
 def identify(pages: DataFrame, documents: DataFrame, limit: int = TRAIN_ROWS) -> DataFrame:
     """page_id, url, host, lang, confidence, text_lang, declared, suffix of every page."""
-    train = columns(documents, doc_id="long", lang="string", text="string").where("lang IS NOT NULL AND text IS NOT NULL")
-    # ids alone are ordered; the chosen texts are then fetched by a broadcast of ``limit`` ids
-    ids = train.select("doc_id").where("doc_id IS NOT NULL").distinct()
-    chosen = first_by_hash(ids, "language", limit, train.select("doc_id").count())
-    rows = train.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "lang", F.md5("text")).select("lang", "text").collect()
-    langs, table = fit([(r.lang, r.text) for r in rows])
+    langs, table = fit(training_texts(documents, limit))
     spread = with_host(pages).select("page_id", "url", "host", "html")
     if not langs:
         return spread.select("page_id", "url", "host", F.lit("und").alias("lang"), F.lit(0.0).alias("confidence"), F.lit("und").alias("text_lang"), F.lit("none").alias("declared"), F.lit("none").alias("suffix"))
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    n = len(langs)
     shared = share(pages.sparkSession, (langs, table))
-    found = map_rows(spread, Likelihood(shared), "page_id long, url string, host string, declared string, suffix string, ll array<double>")
-    scored = written(found.withColumn("p", F.array(*softmax("ll", n))).withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)))
+    read = spread.join(written(wrappers(spread)), "host", "left").select("page_id", "url", "host", "html", "wrapper")
+    found = map_rows(read, Likelihood(shared), "page_id long, url string, host string, declared string, suffix string, ll array<double>")
+    scored = written(found.withColumn("p", softmax("ll")).withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)))
 
-    sums = [F.sum(F.col("p")[k]).alias(f"h{k}") for k in range(n)]
-    hosts = scored.groupBy("domain", "host").agg(*sums)
-    domains = hosts.groupBy("domain").agg(*[F.sum(f"h{k}").alias(f"d{k}") for k in range(n)])
-    whole = domains.agg(*[F.sum(f"d{k}").alias(f"g{k}") for k in range(n)])
+    hosts = summed(scored, ["domain", "host"], "p", "of_host")
+    domains = summed(hosts, ["domain"], "of_host", "of_domain")
+    whole = summed(domains.withColumn("one", F.lit(1)), ["one"], "of_domain", "of_all").select("of_all")
     # written, so that a host with most of the pages can be split in the join
-    priors = written(hosts.join(domains, "domain").select("host", F.array(*[f"h{k}" for k in range(n)]).alias("of_host"), F.array(*[f"d{k}" for k in range(n)]).alias("of_domain")))
-    joined = scored.join(priors, "host").crossJoin(F.broadcast(whole.select(F.array(*[f"g{k}" for k in range(n)]).alias("of_all"))))
+    priors = written(hosts.join(domains, "domain").select("host", "of_host", "of_domain"))
+    joined = scored.join(priors, "host").crossJoin(F.broadcast(whole))
     for name in ("declared", "suffix"):
-        joined = joined.join(F.broadcast(cue_table(scored, name, langs)), name)  # a row a cue: languages + 2 at most
-
-    def less(level: str, k: int):
-        return F.greatest(F.col(level)[k] - F.col("p")[k], F.lit(0.0))
-
-    def portion(level: str, k: int, weight: float, above):
-        total = reduce(lambda a, b: a + b, [less(level, j) for j in range(n)])
-        return (less(level, k) + weight * above) / (total + weight)
-
-    def prior(k: int):
-        base = portion("of_all", k, 1.0, F.lit(1.0 / n))
-        return portion("of_host", k, HOST_WEIGHT, portion("of_domain", k, DOMAIN_WEIGHT, base))
-
-    terms = F.array(*[F.col("ll")[k] + F.col("declared_terms")[k] + F.col("suffix_terms")[k] + F.log(prior(k)) for k in range(n)])
+        joined = joined.join(F.broadcast(cue_table(scored, name)), name)  # a row a cue: languages + 2 at most
+
+    for level, weight, above in (("of_all", 1.0, F.transform("p", lambda x: F.lit(1.0 / len(langs)))), ("of_domain", DOMAIN_WEIGHT, F.col("of_all")), ("of_host", HOST_WEIGHT, F.col("of_domain"))):
+        others = F.zip_with(level, "p", lambda a, p: F.greatest(a - p, F.lit(0.0)))
+        joined = joined.withColumn("__rest", others).withColumn("__sum", F.aggregate("__rest", F.lit(0.0), lambda a, x: a + x))
+        joined = joined.withColumn(level, F.zip_with("__rest", above, lambda a, b: (a + F.lit(weight) * b) / (F.col("__sum") + F.lit(weight))))
+    plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    fused = joined.withColumn("total", plus(plus(plus("ll", "declared_terms"), "suffix_terms"), F.transform("of_host", lambda x: F.log(x))))
+    fused = fused.withColumn("post", softmax("total"))
     names = F.array(*[F.lit(x) for x in langs])
-    fused = joined.withColumn("total", terms).withColumn("post", F.array(*softmax("total", n)))
-    best = lambda c: names[F.array_position(F.col(c), F.array_max(c)).cast("int") - 1]
+    best = lambda c: F.element_at(names, F.array_position(F.col(c), F.array_max(c)).cast("int"))
     return fused.select("page_id", "url", "host", best("post").alias("lang"), F.array_max("post").alias("confidence"), best("ll").alias("text_lang"), "declared", "suffix")

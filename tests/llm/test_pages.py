@@ -194,3 +194,44 @@ def test_language_awkward_rows(spark):
     docs = corpus(spark)[1]
     assert language.identify(pages, docs).count() == 6 and language.identify(none, docs).count() == 0
     assert {r.lang for r in language.identify(pages, docs.limit(0)).collect()} == {"und"}
+
+
+def test_any_number_of_languages(spark):
+    rng = random.Random(4)
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    syllables = {f"{a}{b}": ["".join(rng.choices(alphabet, k=3)) for _ in range(4)] for a in alphabet[:10] for b in alphabet[:7]}
+    text = lambda lang, n: " ".join("".join(rng.choices(syllables[lang], k=2)) for _ in range(n))
+    docs = spark.createDataFrame([(i, lang, text(lang, 60)) for i, lang in enumerate(list(syllables) * 3)], "doc_id long, lang string, text string")
+    truth = dict(enumerate(syllables))
+    pages = spark.createDataFrame([(i, f"https://s{i}.example.com/{i}", page(f"<article><p>{text(lang, 80)}</p></article>"), None, None) for i, lang in truth.items()], SCHEMA)
+    got = {r.page_id: r.lang for r in language.identify(pages, docs).collect()}
+    assert len(truth) == 70 and got == truth
+
+
+def test_posteriors_match_plain_arithmetic(spark):
+    pages, docs, _ = corpus(spark)
+    langs, table = language.fit(language.training_texts(docs))
+    got = {r.page_id: r for r in language.identify(pages, docs).collect()}
+    import math
+
+    rows = []
+    for r in pages.collect():
+        codes = language.grams(wrappers.main_text(r.html, None)) if wrappers.main_text(r.html, None) else ()
+        ll = [0.0] * len(langs)
+        if len(codes):
+            total = table[:, codes].sum(1, dtype=float)
+            ll = ((total - total.max()) * len(codes) ** (language.TEMPER - 1)).tolist()
+        own = [math.exp(x - max(ll)) for x in ll]
+        rows.append((r.page_id, got[r.page_id].host, got[r.page_id].declared, got[r.page_id].suffix, ll, [x / sum(own) for x in own]))
+    total = lambda keep: [sum(r[5][k] for r in rows if keep(r)) for k in range(len(langs))]
+    for page_id, host, declared, suffix, ll, p in rows:
+        level = [1 / len(langs)] * len(langs)
+        for weight, same in ((1.0, lambda r: True), (language.DOMAIN_WEIGHT, lambda r: r[1].split(".")[-2:] == host.split(".")[-2:]), (language.HOST_WEIGHT, lambda r: r[1] == host)):
+            rest = [max(0.0, a - b) for a, b in zip(total(same), p)]
+            level = [(a + weight * b) / (sum(rest) + weight) for a, b in zip(rest, level)]
+        terms = [x + math.log(q) for x, q in zip(ll, level)]
+        for place, value in ((2, declared), (3, suffix)):
+            kinds = len({r[place] for r in rows})
+            terms = [t + math.log((a + 1.0) / (b + kinds)) for t, a, b in zip(terms, total(lambda r: r[place] == value), total(lambda r: True))]
+        post = [math.exp(t - max(terms)) for t in terms]
+        assert got[page_id].lang == langs[post.index(max(post))] and abs(got[page_id].confidence - max(post) / sum(post)) < 1e-6
