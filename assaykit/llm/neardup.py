@@ -1,8 +1,8 @@
 """SimHash near-duplicates by a segment-popcount embedding.
 
 A fingerprint is embedded as the counts of set bits in 32 segments of two bits. The Manhattan
-distance of two embeddings never exceeds the Hamming distance of the fingerprints, so it is a
-lower bound that filters candidates before the exact test.
+distance of two embeddings never exceeds the Hamming distance of the fingerprints. Candidates are
+held against that lower bound first, and only what it lets through is compared bit by bit.
 
 The range join is a grid join: the segments form six blocks, and within a Manhattan distance of
 three at least three blocks agree in every count. Each distinct fingerprint therefore goes to 20
@@ -13,12 +13,15 @@ links, never all pairs. A crowded cell is first split on exact bits (linked fing
 in it agree on four of seven bit groups), which keeps the comparisons few.
 
 Defined cases: texts without words (null, blank) have fingerprint zero and link like any other;
-rows with equal ids each get a row, and are linked if their fingerprints are; columns other than
-those named are ignored; a null id counts as the smallest long and comes back as null.
+texts and words of any length are read whole, in stretches; rows with equal ids each get a row, and
+are linked if their fingerprints are; a null id counts as the smallest long and comes back as null;
+ties do not arise (a component is named by its smallest id); an empty table gives no rows; columns
+other than those named are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -27,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, map_rows
+from .common import columns, cut, map_rows, written
 from .components import components
 from .words import mix
 
@@ -72,6 +75,24 @@ def embed(fp: np.ndarray) -> np.ndarray:
     return ((two[:, None] >> (np.arange(32, dtype=np.uint64) * np.uint64(2))) & np.uint64(3)).astype(np.uint8)
 
 
+PAIRS_OF_BITS = np.uint64(0x5555555555555555)
+
+
+def manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The Manhattan distance of two embeddings: each differing bit counts, but a segment in which
+    one bit is set and the other unset keeps its count."""
+    x = a ^ b
+    even = x & (x >> np.uint64(1)) & (a ^ (a >> np.uint64(1))) & PAIRS_OF_BITS
+    return np.bitwise_count(x).astype(np.int16) - 2 * np.bitwise_count(even).astype(np.int16)
+
+
+def near_pairs(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
+    """Positions (i, j) with a[i] and b[j] within ``distance`` bits: the bound first, then all bits."""
+    i, j = np.nonzero(manhattan(a[:, None], b[None, :]) <= distance)
+    exact = np.bitwise_count(a[i] ^ b[j]) <= distance
+    return np.stack([i[exact], j[exact]], axis=1)
+
+
 def cell_rows(batches):
     """The 20 cells of each fingerprint."""
     powers = [np.uint64(3) ** np.arange(len(b), dtype=np.uint64) for b in BLOCKS]
@@ -98,13 +119,11 @@ def forest(fp: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
 
     def compare(at: np.ndarray) -> None:
         own = fp[at]
-        counts = embed(own).astype(np.int8)
         for a in range(0, len(at), COMPARED):
             for b in range(a, len(at), COMPARED):
-                exact = np.bitwise_count(own[a : a + COMPARED, None] ^ own[None, b : b + COMPARED]) <= distance
-                for i, j in np.argwhere(exact):
-                    p, q = int(a + i), int(b + j)
-                    if p < q and np.abs(counts[p] - counts[q]).sum() <= distance:
+                for i, j in near_pairs(own[a : a + COMPARED], own[b : b + COMPARED], distance).tolist():
+                    p, q = a + i, b + j
+                    if p < q:
                         x, y = root(int(at[p])), root(int(at[q]))
                         if x != y:
                             parent[max(x, y)] = min(x, y)
@@ -163,8 +182,6 @@ def link_table(prints: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp, component_id (smallest id reachable by links of three bits or fewer)."""
-    from .common import cut
-
     rows = cut(fingerprints(docs, shingle).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "fp"))
     classes = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
     links = link_table(classes)
@@ -175,7 +192,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     linked = joined.join(smallest, "component", "left_semi")
     low = linked.groupBy("component").agg(F.min("low").alias("component_id"))
     of_class = linked.join(low, "component").select("fp", "component_id")
-    every = classes.join(of_class, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
+    # a table of its own: both sides of the join are dealt anew, and a fingerprint that a third of
+    # all rows have can be split
+    every = written(classes.join(of_class, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")))
     out = rows.join(every, "fp")
     null = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
     return out.select(null("doc_id"), "fp", null("component_id"))
@@ -184,24 +203,30 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 # --- Near copies at larger distances -----------------------------------------------------------
 #
 # An edit that leaves 0.8 of the 5-word shingles moves some 15 % of the bits, so three bits of 64
-# miss most near copies. The wide mode only takes its candidates from fingerprints: 256 bits, many
-# grids instead of a pigeonhole (each of WIDE_GRIDS grids has WIDE_BITS segments of one bit, drawn
-# by a fixed seed), and a distance that is far above that of near copies and far below that of
-# texts which share nothing. Two texts that differ in a share d of their bits meet in a grid with
-# probability (1 - d)^WIDE_BITS. Components of candidates then come together with the shingle sets
-# of their texts, and only pairs whose sets reach LIKENESS are linked.
-
-WIDE_GRIDS, WIDE_BITS, WIDE_DISTANCE = 128, 16, 64
+# miss most near copies. The wide mode only takes its candidates from fingerprints: 256 bits, the
+# same embedding and bound for a larger distance, and many grids instead of a pigeonhole. A grid's
+# segments have one bit each, drawn by a fixed seed; two texts that differ in a share d of their
+# bits meet in a grid of b segments with probability (1 - d)^b. The segments grow with the number
+# of texts, so that cells stay small, and the grids with the segments, so that texts which differ in
+# WIDE_SHARE of their bits meet in one of them but for a share of WIDE_MISSED. Components of
+# candidates then come together with the shingle sets of their texts, and only pairs whose sets
+# reach LIKENESS are linked.
+
+WIDE_SHARE, WIDE_MISSED, WIDE_DISTANCE = 0.18, 0.01, 64
+LEAST_BITS, CELL_TEXTS = 13, 256
 WIDE_SHINGLE, LIKENESS = 5, (8, 10)
 WORDS_64 = 4
-SMALL_CELL = 8
+SMALL_CELL = 512
 PRINT = [f"fp{i}" for i in range(WORDS_64)]
 WIDE = "node long, " + ", ".join(f"{c} long" for c in PRINT) + ", n long"
 
 
-def grid_bits() -> np.ndarray:
+def grid_bits(texts: int = 0) -> np.ndarray:
+    """The bits of each grid, for so many distinct texts."""
+    bits = max(LEAST_BITS, math.ceil(math.log2(max(1, texts) / CELL_TEXTS)))
+    grids = math.ceil(math.log(WIDE_MISSED) / math.log1p(-((1 - WIDE_SHARE) ** bits)))
     order = np.random.Generator(np.random.PCG64(6))
-    return np.array([np.sort(order.permutation(64 * WORDS_64)[:WIDE_BITS]) for _ in range(WIDE_GRIDS)], np.uint64)
+    return np.array([np.sort(order.permutation(64 * WORDS_64)[:bits]) for _ in range(grids)], np.uint64)
 
 
 def plain_words(text: str | None) -> list[bytes]:
@@ -252,40 +277,57 @@ def alike_in_size(a, b):
     return np.minimum(a, b) * LIKENESS[1] >= np.maximum(a, b) * LIKENESS[0]
 
 
-def wide_cells(batches):
-    bits = grid_bits()
-    for batch in batches:
-        cols = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(WORDS_64 + 2)]
-        fps = [c.view(np.uint64) for c in cols[1 : 1 + WORDS_64]]
-        for g, own in enumerate(bits):
-            cell = np.full(len(cols[0]), g << WIDE_BITS, np.int32)
-            for place, bit in enumerate(own.tolist()):
-                cell |= ((fps[bit >> 6] >> np.uint64(bit & 63)) & np.uint64(1)).astype(np.int32) << place
-            yield pa.RecordBatch.from_arrays([pa.array(cell), *map(pa.array, cols)], names=["cell", "node", *PRINT, "n"])
+class WideCells:
+    """The cells of each text, one a grid."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    def __call__(self, batches):
+        for batch in batches:
+            cols = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(WORDS_64 + 2)]
+            fps = [c.view(np.uint64) for c in cols[1 : 1 + WORDS_64]]
+            for g, own in enumerate(self.bits):
+                cell = np.full(len(cols[0]), g << len(own), np.int64)
+                for place, bit in enumerate(own.tolist()):
+                    cell |= ((fps[bit >> 6] >> np.uint64(bit & 63)) & np.uint64(1)).astype(np.int64) << place
+                yield pa.RecordBatch.from_arrays([pa.array(cell), *map(pa.array, cols)], names=["cell", "node", *PRINT, "n"])
+
+
+def wide_near(fps, n, i, j) -> np.ndarray:
+    """Which of some pairs are candidates: sizes and the bound first, then all bits."""
+    out = alike_in_size(n[i], n[j]) & (sum(manhattan(f[i], f[j]) for f in fps) <= WIDE_DISTANCE)
+    at = np.flatnonzero(out)
+    if len(at):
+        a, b = (np.broadcast_to(x, out.shape)[at] for x in (i, j))
+        out[at] = sum(np.bitwise_count(f[a] ^ f[b]).astype(np.int16) for f in fps) <= WIDE_DISTANCE
+    return out
 
 
 def wide_links(batches):
     """Links inside each cell, rows sorted by cell; their components are those of all pairs in the
-    cell. In small cells every pair is linked. In others a row takes all rows near it from the
-    rest, and each of these then takes from what is left, until none is near: a crowd of copies
-    costs a few passes, and every row was compared with all that no other row had taken."""
-
-    def near(fps, n, i, j):
-        return (sum(np.bitwise_count(f[i] ^ f[j]).astype(np.int64) for f in fps) <= WIDE_DISTANCE) & alike_in_size(n[i], n[j])
+    cell. In cells of up to SMALL_CELL rows all pairs are compared, for all cells at once, but for
+    those that links connect already. In larger ones a row takes all rows near it from the rest,
+    and each of these then takes from what is left, until none is near: a crowd of copies costs a
+    few passes, and every row was compared with all that no other row had taken."""
 
     def links(cols):
         cell, node, fps, n = cols[0], cols[1], [c.view(np.uint64) for c in cols[2 : 2 + WORDS_64]], cols[-1]
         edges = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]])
         sizes = np.diff(edges)
         us, vs = [], []
-        small = np.repeat(sizes <= SMALL_CELL, sizes)
+        # rows after each row in its cell; large cells apart
+        after = np.where(np.repeat(sizes <= SMALL_CELL, sizes), np.repeat(edges[1:], sizes) - np.arange(len(cell)) - 1, 0)
+        group, at = np.arange(len(cell)), np.arange(len(cell))
         for shift in range(1, SMALL_CELL):
-            at = np.flatnonzero(small[:-shift] & (cell[:-shift] == cell[shift:])) if len(cell) > shift else np.empty(0, np.int64)
+            at = at[after[at] >= shift]
             if not len(at):
                 break
-            at = at[near(fps, n, at, at + shift)]
-            us.append(node[at])
-            vs.append(node[at + shift])
+            own = at[group[at] != group[at + shift]]
+            own = own[wide_near(fps, n, own, own + shift)]
+            us.append(node[own])
+            vs.append(node[own + shift])
+            np.minimum.at(group, own + shift, group[own])  # what links connect has one number, at least in part
         for k in np.flatnonzero(sizes > SMALL_CELL).tolist():
             a, b = int(edges[k]), int(edges[k + 1])
             rest = np.arange(a, b)
@@ -293,7 +335,7 @@ def wide_links(batches):
                 line, rest = [int(rest[0])], rest[1:]
                 while line and len(rest):
                     i = line.pop()
-                    taken = near(fps, n, i, rest)
+                    taken = wide_near(fps, n, i, rest)
                     if taken.any():
                         j, rest = rest[taken], rest[~taken]
                         us.append(np.full(len(j), node[i]))
@@ -329,8 +371,7 @@ def verified(fps: list[np.ndarray], sets: list[np.ndarray]) -> np.ndarray:
         line = [first]
         while line and len(rest):
             i = line.pop()
-            apart = sum(np.bitwise_count(f[i] ^ f[rest]).astype(np.int64) for f in fps)
-            at = np.flatnonzero((apart <= WIDE_DISTANCE) & alike_in_size(n[i], n[rest]))
+            at = np.flatnonzero(wide_near(fps, n, i, rest))
             if not len(at):
                 continue
             own, size = ids[begin[i] : begin[i + 1]], n[rest[at]]
@@ -373,13 +414,12 @@ def verify_groups(batches):
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, row, component for every row of ``docs`` (doc_id, text, row); ``row`` tells rows of
     different contents apart and a component is named by one of its texts' digests."""
-    from .common import cut
-
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     plain = columns(docs, doc_id="long", text="string", row="string")
     rows = cut(map_rows(plain, WidePrint(), "doc_id long, row string, " + WIDE))
     classes = rows.groupBy("node").agg(*[F.min(c).alias(c) for c in (*PRINT, "n", "row")])
-    cells = classes.where("n > 0").select("node", *PRINT, "n").mapInArrow(wide_cells, "cell int, " + WIDE)
+    texts = classes.where("n > 0").select("node", *PRINT, "n")
+    cells = texts.mapInArrow(WideCells(grid_bits(rows.select("node").distinct().count())), "cell long, " + WIDE)
     links = cells.repartition(parts, "cell").sortWithinPartitions("cell", "node").mapInArrow(wide_links, "u long, v long").distinct()
     candidates = classes.join(components(links).withColumnRenamed("component", "candidates"), "node").select("row", "candidates", "node", *PRINT)
     texts = plain.select("row", "text").join(candidates, "row").select("candidates", "node", *PRINT, "text")

@@ -40,7 +40,17 @@ def test_lower_bound_holds():
     rng = np.random.default_rng(2)
     a, b = rng.integers(0, 1 << 63, 500, dtype=np.uint64), rng.integers(0, 1 << 63, 500, dtype=np.uint64)
     distance = np.abs(neardup.embed(a).astype(int) - neardup.embed(b).astype(int)).sum(1)
-    assert (distance <= np.bitwise_count(a ^ b)).all()
+    assert (distance <= np.bitwise_count(a ^ b)).all() and (neardup.manhattan(a, b) == distance).all()
+
+
+def test_bound_comes_first(monkeypatch):
+    prints = np.array(sorted(set(clustered(700, 21, 5))), np.uint64)
+    whole = [(i, j) for i in range(len(prints)) for j in range(len(prints)) if int(prints[i] ^ prints[j]).bit_count() <= 3]
+    assert sorted(map(tuple, neardup.near_pairs(prints, prints, 3).tolist())) == whole
+    # what the bound rejects is never compared bit by bit, so a bound that rejects all loses all
+    assert (neardup.manhattan(prints[:, None], prints[None, :]) <= 3).sum() < 3 * len(whole)
+    monkeypatch.setattr(neardup, "manhattan", lambda a, b: np.full(np.broadcast_shapes(a.shape, b.shape), 9))
+    assert not len(neardup.near_pairs(prints, prints, 3)) and not neardup.forest(prints)
 
 
 def clustered(n, seed, flips):
@@ -129,9 +139,15 @@ def test_query_and_near_copies(spark):
 def test_crowds_of_near_copies_are_joined_alike_in_any_order(spark):
     rng = random.Random(11)
     base = [f"t{rng.randint(0, 900)}" for _ in range(300)]
-    docs = spark.createDataFrame([(i, " ".join(edited(base, rng, 0.01))) for i in range(150)], "doc_id long, text string")
+    rows = [(i, " ".join(edited(base, rng, 0.01))) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
     runs = [{r.doc_id: r.component_id for r in neardup.near_copies(d).collect()} for d in (docs, docs.repartition(9, "text"))]
-    assert runs[0] == runs[1] and len(set(runs[0].values())) <= 3
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for _, t in rows]
+    near = [[j for j in range(len(rows)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] for i in range(len(rows))]
+    low, was = list(range(len(rows))), None
+    while low != was:  # components of all pairs that share 0.8
+        was, low = low, [min(low[j] for j in own) for own in near]
+    assert runs[0] == runs[1] == dict(enumerate(low))
 
 
 def test_awkward_rows(spark):

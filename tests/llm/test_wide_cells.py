@@ -1,10 +1,13 @@
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from assaykit.llm import neardup
 
 
-def test_links_of_a_crowded_cell_keep_the_components_of_all_pairs():
+@pytest.mark.parametrize("small", [8, 4096])
+def test_links_of_a_cell_keep_the_components_of_all_pairs(monkeypatch, small):
+    monkeypatch.setattr(neardup, "SMALL_CELL", small)
     rng = np.random.default_rng(5)
     parts = len(neardup.PRINT)
     bits = []
@@ -34,4 +37,13 @@ def test_links_of_a_crowded_cell_keep_the_components_of_all_pairs():
 
     near = (bits[:, None] != bits[None]).sum(2) <= neardup.WIDE_DISTANCE
     got = [(u, v) for out in neardup.wide_links([batch]) for u, v in zip(out.column(0).to_pylist(), out.column(1).to_pylist())]
-    assert groups(got) == groups(np.argwhere(near).tolist()) and len(got) < len(bits)
+    assert groups(got) == groups(np.argwhere(near).tolist()) and len(got) < 2 * len(bits)
+
+
+def test_grids_grow_with_the_texts():
+    few, many = neardup.grid_bits(1000), neardup.grid_bits(10**7)
+    assert few.shape[1] == neardup.LEAST_BITS and many.shape[1] > few.shape[1] and len(many) > len(few)
+    for bits in (few, many):
+        assert 1 - (1 - (1 - neardup.WIDE_SHARE) ** bits.shape[1]) ** len(bits) >= 1 - neardup.WIDE_MISSED
+        assert all(len(set(b)) == len(b) for b in bits.tolist())
+    assert 10**7 / 2 ** many.shape[1] <= neardup.CELL_TEXTS
