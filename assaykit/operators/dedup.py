@@ -47,8 +47,9 @@ def observation_codes(df: DataFrame, source: str, paper: str, observation: str,
 
 
 def overview(df: DataFrame, key: list[str], order: str, occurrence: list[str]) -> DataFrame:
-    """One row a fact: its first place and all occurrences in order."""
-    return df.groupBy(*key).agg(F.min(order).alias("first_at"), F.count(F.lit(1)).alias("n_occurrences"), F.array_sort(F.collect_list(F.struct(order, *occurrence))).alias("occurrences"))
+    """One row a fact: its first place, how often it occurs, and its different occurrences in order
+    (rows that repeat a place say nothing new, and leave each task once)."""
+    return df.groupBy(*key).agg(F.min(order).alias("first_at"), F.count(F.lit(1)).alias("n_occurrences"), F.array_sort(F.collect_set(F.struct(order, *occurrence))).alias("occurrences"))
 
 
 BUCKET = 1200

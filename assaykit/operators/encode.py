@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SPLIT_SALT = "fixed-group-split-v1"
 FOLD_SALT = "model-fold-v1"
-#: Groups that the balanced folds may have: their sizes are dealt on the driver.
-MOST_FOLD_GROUPS = 1_000_000
 
 
 def group_order(group: Column, salt: str) -> Column:
@@ -33,27 +34,33 @@ def leaks(df: DataFrame, group: str, split: str = "split") -> DataFrame:
     return part("train").intersect(part("test"))
 
 
+class DealFolds:
+    """Sizes in order, each into the lightest fold so far; a pass that holds only the folds' weights."""
+
+    def __init__(self, names: list[str], most: int):
+        self.names, self.most = names, most
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = [0] * self.most
+        for batch in batches:
+            folds = []
+            for size in batch.column(1).to_pylist():
+                k = weights.index(min(weights))
+                weights[k] += size
+                folds.append(k + 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(folds, pa.int32())], names=self.names)
+
+
 def balanced_folds(df: DataFrame, group: str, most: int = 5, salt: str = FOLD_SALT) -> DataFrame:
     """(group, n_rows, fold): largest groups first into the lightest fold, hash order on ties.
 
-    Greedy by nature, so group sizes (not rows) are dealt on the driver, ``MOST_FOLD_GROUPS`` at
-    most; fewer than three groups give no folds.
+    Greedy by nature: one task sorts the sizes (a row a group, spilled if need be) and deals them in
+    a stream; fewer than three groups give no folds.
     """
-    spark = df.sparkSession
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows")).withColumn("__h", group_order(F.col(group), salt))
-    rows = sizes.orderBy(F.desc("n_rows"), "__h").limit(MOST_FOLD_GROUPS + 1).collect()
-    if len(rows) > MOST_FOLD_GROUPS:
-        raise ValueError("too many groups for balanced folds")
-    schema = f"{group} {df.schema[group].dataType.simpleString()}, n_rows long, fold int"
-    if len(rows) < 3:
-        return spark.createDataFrame([], schema)
-    weights = [0] * min(most, len(rows))
-    out = []
-    for r in rows:
-        k = weights.index(min(weights))
-        weights[k] += r["n_rows"]
-        out.append((r[group], r["n_rows"], k + 1))
-    return spark.createDataFrame(out, schema)
+    enough = sizes.limit(3).agg((F.count(F.lit(1)) >= 3).alias("__enough"))
+    line = sizes.crossJoin(F.broadcast(enough)).where("__enough").repartition(1).sortWithinPartitions(F.desc("n_rows"), "__h")  # one row
+    return line.select(group, "n_rows").mapInArrow(DealFolds([group, "n_rows", "fold"], most).__call__, f"{group} {df.schema[group].dataType.simpleString()}, n_rows long, fold int")
 
 
 def vocabulary(df: DataFrame, fields: list[str]) -> DataFrame:

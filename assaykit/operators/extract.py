@@ -21,6 +21,7 @@ from ..functions.numeric import NUMBER_WORDS
 
 # --- Normalised views that keep offsets -----------------------------------------------------------
 
+# Typographic ligatures and their letters.
 LIGATURES = {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl"}
 
 
@@ -210,12 +211,11 @@ def title_likeness(a: str, b: str) -> float:
 SPAN = "start int, end int, quote string"
 FACT_SCHEMA = f"{SPAN}, metric string, operator string, value double, value_high double, unit string, uncertainty double, scope string, issues array<string>"
 RELATION_SCHEMA = f"{SPAN}, kind string, value double, first double, unit string, direction string, reference string, scope string, previous_start int, previous_end int"
-MOST_TEXT = 2_000_000
 
 
 class Scan:
-    """Rows (key, fields of what the scanner finds) of a column of texts. A text beyond
-    ``MOST_TEXT`` characters gives no rows here; ``too_long`` lists such texts."""
+    """Rows (key, fields of what the scanner finds) of a column of texts, whatever their length: a
+    scanner reads a sentence at a time, and each text's rows leave before the next one is read."""
 
     def __init__(self, scanner: Callable[[str], list[dict]], key: str, schema: str):
         self.scanner, self.key = scanner, key
@@ -224,8 +224,7 @@ class Scan:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            rows = [(k, f) for k, t in zip(keys, texts) if t and len(t) <= MOST_TEXT for f in self.scanner(t)]
-            if rows:
+            for rows in self.chunks(keys, texts):
                 columns = [pa.array([k for k, _ in rows], batch.schema.field(0).type)]
                 for name in self.fields:
                     kind = {"start": pa.int32(), "end": pa.int32(), "previous_start": pa.int32(), "previous_end": pa.int32(), "value": pa.float64(), "value_high": pa.float64(), "first": pa.float64(), "uncertainty": pa.float64(), "issues": pa.list_(pa.string())}.get(name, pa.string())
@@ -233,6 +232,17 @@ class Scan:
                 yield pa.RecordBatch.from_arrays(columns, names=[self.key, *self.fields])
 
 
+    def chunks(self, keys: list, texts: list) -> Iterator[list[tuple]]:
+        rows: list[tuple] = []
+        for k, t in zip(keys, texts):
+            rows += [(k, f) for f in self.scanner(t)] if t else []
+            if len(rows) >= 4096:
+                yield rows
+                rows = []
+        if rows:
+            yield rows
+
+
 def scan(df: DataFrame, key: str, text: str, scanner: Callable[[str], list[dict]], schema: str) -> DataFrame:
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, text).mapInArrow(Scan(scanner, key, schema).__call__, f"{key} {kind}, {schema}")
@@ -246,10 +256,6 @@ def relation_rows(df: DataFrame, key: str, text: str) -> DataFrame:
     return scan(df, key, text, relations, RELATION_SCHEMA)
 
 
-def too_long(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.where(F.length(text) > MOST_TEXT).select(key, F.length(text).alias("n_chars"))
-
-
 def model_rows(df: DataFrame, key: str, text: str, model: Callable[[list[str]], list[list[dict]]]) -> DataFrame:
     """Rows of a pluggable extraction model (a list of texts to a list of finds with start, end,
     quote, label), kept only where the quote stands at its place; ``model`` runs on executors."""

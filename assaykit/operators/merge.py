@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -17,15 +19,21 @@ def merge_first(df: DataFrame, key: list[str], order: str, scalars: list[str], l
     """One row a key: the first non-empty scalar in order, the ordered distinct union of lists,
     and maps whose later entries win."""
     aggs = [F.min_by(F.col(c), F.when(filled(F.col(c)).isNotNull(), F.col(order))).alias(c) for c in scalars]
-    for c in lists:
-        held = F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(F.col(order).alias("o"), F.col(c).alias("v")))))
-        aggs.append(F.array_distinct(F.flatten(F.transform(held, lambda x: x["v"]))).alias(c))
     for c in maps:
         entries = F.array_sort(F.flatten(F.collect_list(f"__{c}")))
         last = F.filter(entries, lambda e, i: F.coalesce(F.get(entries, i + 1)["key"] != e["key"], F.lit(True)))
         aggs.append(F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], e["value"]))).alias(c))
     placed = df.withColumns({f"__{c}": F.transform(F.map_entries(c), lambda e: F.struct(e["key"].alias("key"), F.col(order).alias("o"), e["value"].alias("value"))) for c in maps})
-    return placed.groupBy(*key).agg(F.min(order).alias(order), F.count(F.lit(1)).alias("n_merged"), *aggs)
+    out = placed.groupBy(*key).agg(F.min(order).alias(order), F.count(F.lit(1)).alias("n_merged"), *aggs)
+    for c in lists:
+        # each element once a key, at its first place, before any list is gathered
+        items = df.select(*key, order, F.posexplode(c).alias("__k", "__v"))
+        first = items.groupBy(*key, "__v").agg(F.min(F.struct(order, "__k")).alias("__o"))
+        held = F.array_sort(F.collect_list(F.struct("__o", "__v")))
+        own = first.groupBy(*[F.col(k).alias(f"__{k}") for k in key]).agg(F.transform(held, lambda x: x["__v"]).alias(c))
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key])
+        out = out.join(own, same, "left").drop(*[f"__{k}" for k in key]).withColumn(c, F.coalesce(c, F.array().cast(df.schema[c].dataType)))
+    return out.select(*key, order, "n_merged", *scalars, *lists, *maps)
 
 
 def bridged_key(df: DataFrame, doi: str, title: str, year: str, order: str) -> DataFrame:
@@ -37,16 +45,17 @@ def bridged_key(df: DataFrame, doi: str, title: str, year: str, order: str) -> D
     DOI under another title follows too, where a strictly sequential merge would open a new row.)
     """
     ids = df.withColumns({"__doi": X.doi_harvest(F.col(doi)), "__title": X.title_key(F.col(title))})
-    same = Window.partitionBy("__title", year)
-    titled = (F.col("__doi") == "") & (F.col("__title") != "")
-    ids = ids.withColumn("__plain", F.min(F.when(titled, F.col(order))).over(same))
-    opens = (F.col("__doi") != "") & (F.col("__title") != "") & (F.col(order) > F.col("__plain"))
-    ids = ids.withColumn("__adopts", F.min(F.when(opens, F.col(order))).over(same) == F.col(order))
     plain = F.concat_ws(X.SEPARATOR, F.lit("title"), F.col("__title"), F.coalesce(F.col(year).cast("string"), F.lit("")))
-    ids = ids.withColumn("__to", F.when(F.col("__adopts"), plain))
-    bridge = F.min_by("__to", F.when(F.col("__adopts"), F.col(order))).over(Window.partitionBy("__doi"))
-    key = F.when(F.col("__doi") == "", plain).otherwise(F.coalesce(bridge, F.concat(F.lit("doi" + X.SEPARATOR), F.col("__doi"))))
-    return ids.withColumn("merge_key", key).drop("__doi", "__title", "__plain", "__adopts", "__to")
+    ids = ids.withColumn("__plain", plain)
+    # aggregates joined back, so that neither a common title nor the rows without DOI meet in a task
+    titled = ids.where(F.col("__title") != "").select("__plain", "__doi", F.col(order).alias("__o"))
+    first = titled.where(F.col("__doi") == "").groupBy("__plain").agg(F.min("__o").alias("__first"))
+    adopts = titled.where(F.col("__doi") != "").join(first, "__plain").where(F.col("__o") > F.col("__first"))
+    adopts = adopts.groupBy("__plain").agg(F.min(F.struct("__o", "__doi")).alias("__a"))  # of a title, the first that opens
+    bridge = adopts.groupBy(F.col("__a.__doi").alias("__doi")).agg(F.min_by("__plain", F.col("__a.__o")).alias("__to"))
+    ids = ids.join(bridge, "__doi", "left")  # no bridge has an empty DOI
+    key = F.when(F.col("__doi") == "", F.col("__plain")).otherwise(F.coalesce("__to", F.concat(F.lit("doi" + X.SEPARATOR), F.col("__doi"))))
+    return ids.withColumn("merge_key", key).drop("__doi", "__title", "__plain", "__to")
 
 
 def merge_longest(df: DataFrame, key: list[str], order: str, longest: str, scalars: list[str]) -> DataFrame:

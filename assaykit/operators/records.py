@@ -79,8 +79,8 @@ def caption_status(caption: Column, supplement: str = r"(?i)^\s*(?:Fig(?:ure)?\.
 def download_plan(records: DataFrame, key: str, decision: str, order: list, limit: int) -> DataFrame:
     """Adds eligibility: download for the first ``limit`` eligible rows in order, else why not."""
     eligible = F.col(decision) == "target"
-    first = records.where(eligible).orderBy(*order).limit(limit).withColumn("__yes", F.lit(True))
-    joined = records.join(first.select(key, "__yes"), key, "left")
+    first = records.where(eligible).orderBy(*order).limit(limit).groupBy(key).agg(F.lit(True).alias("__yes"))
+    joined = records.join(first, key, "left")
     return joined.withColumn("eligibility", F.when(F.col("__yes"), "download").when(F.col(decision) == "non_target", "screened_out").when(F.col(decision) != "target", "awaiting_review").otherwise("over_limit")).drop("__yes")
 
 

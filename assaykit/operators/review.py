@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,10 +20,12 @@ def override(automatic: Column, manual: Column) -> Column:
 
 def apply_decisions(records: DataFrame, decisions: DataFrame, keys: list[str], decision: str = "decision") -> DataFrame:
     """Joins decisions on the first key that has one: an OR of keys as equi joins, one after the
-    other, so no pair of rows is ever tried."""
+    other, so no pair of rows is ever tried. Decisions that repeat count once; different ones on
+    one key cancel each other (``duplicate_keys`` lists them), so no record comes out twice."""
     out = records
     for k in keys:
-        own = decisions.where(F.col(k).isNotNull()).select(F.col(k), F.col(decision).alias(f"__{k}"))
+        own = decisions.where(F.col(k).isNotNull() & F.col(decision).isNotNull()).groupBy(k).agg(F.min(decision).alias("__a"), F.max(decision).alias("__b"))
+        own = own.select(F.col(k), F.when(F.col("__a") == F.col("__b"), F.col("__a")).alias(f"__{k}"))
         out = out.join(own, k, "left")
     return out.withColumn("manual_decision", F.coalesce(*[F.col(f"__{k}") for k in keys])).drop(*[f"__{k}" for k in keys])
 
@@ -55,9 +59,14 @@ def latest(events: DataFrame, key: list[str], order: list[str], fields: list[str
 
 
 def breaker(df: DataFrame, key: list[str], order: list[str], blocked: Column) -> DataFrame:
-    """Adds ``deferred``: an earlier row of the key was blocked."""
-    before = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("deferred", F.coalesce(F.max(blocked).over(before), F.lit(False)))
+    """Adds ``deferred``: an earlier row of the key was blocked.
+
+    The first blocked place of each key is one small row, joined back; no key's rows meet."""
+    place = F.struct(*order)
+    first = df.where(blocked).groupBy(*[F.col(k).alias(f"__{k}") for k in key]).agg(F.min(place).alias("__first"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key])
+    out = df.join(first, same, "left").withColumn("deferred", F.coalesce(place > F.col("__first"), F.lit(False)))
+    return out.drop("__first", *[f"__{k}" for k in key])
 
 
 def partition_counts(df: DataFrame, state: Column, names: list[str]) -> DataFrame:

@@ -52,7 +52,7 @@ FROM (SELECT *, {_N_SQL} AS n_groups FROM (SELECT doc_id, text, lang, source, {_
 def screen_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     first = docs.withColumn("d", screening.decision_list(F.col("text"), STRONG, TERMS, EXPERIMENTAL, REVIEW, COMPUTATIONAL, NEGATIVE))
-    final = screening.quality_overrides(F.col("d.decision"), F.col("d.article_type"), F.when(F.col("n_chars") < 40, "failed"), F.lit(False), F.when(F.col("n_chars") < 80, F.lit(False)), F.col("text"), F.col("lang"), F.col("title").rlike("heer"))
+    final = screening.quality_overrides(F.col("d.decision"), F.col("d.article_type"), F.when(F.col("n_chars") < 40, "failed"), F.lit(False), F.when(F.col("n_chars") < 80, F.lit(False)), F.col("text"), F.col("lang"), F.col("title").rlike("heer"), "zh-review")
     return first.withColumn("f", final).select("doc_id", F.col("d.decision").alias("rule_decision"), F.col("d.article_type").alias("rule_type"), F.col("f.decision").alias("decision"), F.col("f.article_type").alias("article_type"))
 
 
@@ -86,9 +86,7 @@ _PRIORITY = "SELECT *, floor(s * 100 + 0.5) / 100 AS priority_score FROM (SELECT
 
 def screening_counts_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = screening.concept_groups(documents(spark, sf_dir), "text", GROUPS, F.col("text"), {"fr": "review"}, F.col("lang"))
-    both = scored(docs)
-    counts = screening.decision_counts(both, ["source"])
-    return counts.join(both.groupBy("source").agg(F.max("priority_score").alias("top_score")), "source")
+    return screening.decision_counts(scored(docs), ["source"], more={"top_score": F.max("priority_score")})
 
 
 def priority_score_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,14 +99,14 @@ def chart_role_multilabel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_type_from_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    blocks = docs.select("doc_id", "lang", "title", F.posexplode(F.split("text", "\n")).alias("block_no", "block"))
-    whole = blocks.groupBy("doc_id", "lang", "title").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "block"))), lambda b: b["block"]), " ").alias("text"), F.count(F.lit(1)).alias("n_blocks"))
-    kind = screening.document_type(F.col("lang"), F.col("title"), F.col("text"), F.col("n_blocks") > 40, ["haing", "ndea", "wher", "tionha", "oner"], "thstinnt", "license", "eriner")
+    # a text's blocks are its lines: counted and joined in place, no text is shuffled
+    whole = docs.where("text IS NOT NULL").select("doc_id", "lang", "title", F.translate("text", "\n", " ").alias("text"), F.regexp_count("text", F.lit("\n")).cast("long").alias("breaks")).withColumn("n_blocks", F.col("breaks") + 1)
+    kind = screening.document_type(F.col("lang"), F.col("title"), F.col("text"), F.col("n_blocks") > 40, ["haing", "ndea", "wher", "tionha", "oner"], "zh-review", "thstinnt", "license", "eriner")
     return whole.select("doc_id", "n_blocks", kind.alias("document_type"))
 
 
 _DOCTYPE = f"""
-WITH b AS (SELECT doc_id, split_part(text, chr(10), 1) AS title, string_split(text, chr(10)) AS parts FROM documents),
+WITH b AS (SELECT doc_id, split_part(text, chr(10), 1) AS title, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
 w AS (SELECT doc_id, title, CAST(len(parts) AS BIGINT) AS n_blocks, array_to_string(parts, ' ') AS text FROM b)
 SELECT doc_id, n_blocks, CASE WHEN n_blocks > 40 THEN 'structured_data' WHEN {_has('thstinnt', 'title')} THEN 'review' WHEN {_has('license')} THEN 'review'
   WHEN {_has('eriner', 'title')} THEN 'supplementary_information'
@@ -130,19 +128,28 @@ FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, {
 """
 
 
+#: A made-up vocabulary, as the texts are made up.
+CLAIMS = screening.ClaimProfile(
+    report="mentre|thion|ablety|eshand",
+    amounts=(("share", r"([0-9]+) of them"),),
+    kinds=(("prospective_claim", "ouour|haea"), ("negated_statement", "nicht |ndwh"), ("mechanistic_interpretation", "tionre"), ("reported_comparison", r"(?i)\bthan\b|reshen")),
+    against=r"than\s+([a-z]+)",
+)
+
+
 def semantic_change_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = screening.claims(docs, "text", change="mentre|thion|ablety|eshand", prospective="ouour|haea", negated="nicht |ndwh", comparator=r"than\s+([a-z]+)")
+    found = screening.claims(docs, "text", CLAIMS)
     return found.groupBy("doc_id", "statement_type").agg(F.count(F.lit(1)).alias("n_claims"), F.count("comparator").alias("n_comparators"), F.min("sentence_no").alias("first_sentence"))
 
 
 _CLAIMS = rf"""
 WITH s AS (SELECT doc_id, i - 1 AS sentence_no, s[i] AS q FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, {_SENT.format(c='text')} AS s FROM documents))),
 c AS (SELECT *, CASE WHEN regexp_matches(q, 'ouour|haea') THEN 'prospective_claim' WHEN regexp_matches(q, 'nicht |ndwh') THEN 'negated_statement'
-    WHEN regexp_matches(q, '(?i)\b(?:attributed\s+to|ascribed\s+to|we\s+propose|we\s+suggest|hypothes\w*)\b') THEN 'mechanistic_interpretation'
-    WHEN regexp_matches(q, '(?i)\bthan\b|compared') THEN 'reported_comparison' ELSE 'qualitative_observation' END AS statement_type,
+    WHEN regexp_matches(q, 'tionre') THEN 'mechanistic_interpretation'
+    WHEN regexp_matches(q, '(?i)\bthan\b|reshen') OR regexp_matches(q, '[0-9]+ of them') THEN 'reported_comparison' ELSE 'qualitative_observation' END AS statement_type,
     nullif(trim(regexp_extract(q, 'than\s+([a-z]+)', 1)), '') AS comparator
-  FROM s WHERE regexp_matches(q, 'mentre|thion|ablety|eshand'))
+  FROM s WHERE regexp_matches(q, 'mentre|thion|ablety|eshand') OR regexp_matches(q, '[0-9]+ of them'))
 SELECT doc_id, statement_type, count(*) AS n_claims, count(comparator) AS n_comparators, CAST(min(sentence_no) AS INTEGER) AS first_sentence FROM c GROUP BY ALL
 """
 
@@ -227,6 +234,16 @@ def bib_bridged_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.merge_first(keyed, ["merge_key"], "doc_id", ["doi", "title"]).select("doc_id", "n_merged", X.doi_harvest(F.col("doi")).alias("doi"))
 
 
+_BRIDGED = f"""
+WITH b AS (SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN '10.1000/' || (doc_id % 40) ELSE '' END AS doi, trim(regexp_replace(lower(split_part(text, chr(10), 1)), '{SQUASH}', ' ', 'g')) AS t, length(lang) AS y FROM documents),
+plain AS (SELECT t, y, min(doc_id) AS o FROM b WHERE doi = '' AND t <> '' GROUP BY t, y),
+adopts AS (SELECT b.t, b.y, min(doc_id) AS o FROM b JOIN plain p ON b.t = p.t AND b.y IS NOT DISTINCT FROM p.y WHERE doi <> '' AND doc_id > p.o GROUP BY b.t, b.y),
+bridge AS (SELECT b.doi, arg_min('title|' || b.t || '|' || coalesce(CAST(b.y AS VARCHAR), ''), b.doc_id) AS k FROM b JOIN adopts a ON b.doc_id = a.o GROUP BY b.doi),
+keyed AS (SELECT b.doc_id, b.doi, CASE WHEN b.doi = '' THEN 'title|' || b.t || '|' || coalesce(CAST(b.y AS VARCHAR), '') ELSE coalesce(r.k, 'doi|' || b.doi) END AS k FROM b LEFT JOIN bridge r ON b.doi = r.doi)
+SELECT min(doc_id) AS doc_id, count(*) AS n_merged, coalesce(min_by(doi, doc_id) FILTER (doi <> ''), '') AS doi FROM keyed GROUP BY k
+"""
+
+
 def import_conflict_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = merge.alternatives(bib(spark, sf_dir), ["title_key"], "source")
     return out.select(F.md5("title_key").alias("key_md5"), "n_rows", "conflict", F.array_join("alternatives", ",").alias("alternatives"))
@@ -357,11 +374,11 @@ FROM (SELECT *, doc_id % 30 AS s FROM documents)
 
 def table_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = F.filter(F.split("text", "\n"), lambda line: line.contains("|"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(bars).alias("n_rows"), F.md5(F.coalesce(F.get(bars, 0), F.lit(""))).alias("first_md5"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(bars).alias("n_rows"), F.md5(F.coalesce(F.array_join(bars, "\n"), F.lit(""))).alias("rows_md5"))
 
 
 _TABLE = r"""
-SELECT doc_id, CAST(len(b) AS INTEGER) AS n_rows, md5(coalesce(b[1], '')) AS first_md5 FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: contains(x, '|')) AS b FROM documents)
+SELECT doc_id, CAST(len(b) AS INTEGER) AS n_rows, md5(coalesce(array_to_string(b, chr(10)), '')) AS rows_md5 FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: contains(x, '|')) AS b FROM documents)
 """
 
 QUERIES = {f.__name__: f for f in (
@@ -388,6 +405,7 @@ ORACLES = {
     "url_validity": rf"SELECT page_id, regexp_matches(url, '(?i)^https?://[^/?#@\s]+(?:[/?#]|$)') AND {_HOST} LIKE '%.%' AS valid, regexp_replace(url, '((?:utm_source|ref)=)[^&#\s]+', '\1[redacted]', 'gi') AS redacted FROM pages",
     "bib_merge_first_nonempty": _BIB,
     "bib_merge_longest_text": _LONGEST,
+    "bib_bridged_merge": _BRIDGED,
     "import_conflict_alternatives": _ALT,
     "inverted_index_roundtrip": "SELECT conv_id, turn, CAST(len(string_split(text, ' ')) AS INTEGER) AS n_words, CAST(len(list_distinct(string_split(text, ' '))) AS INTEGER) AS n_distinct, true AS same FROM conversations",
     "title_normalize_record_id": f"SELECT p_partkey, t AS title_key, substr(sha256(t || '|' || p_size), 1, 20) AS record_id FROM (SELECT *, trim(regexp_replace(lower(p_name), '{SQUASH}', ' ', 'g')) AS t FROM part)",

@@ -191,6 +191,18 @@ def balanced_group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.balanced_folds(orders, "c_nationkey")
 
 
+_FOLDS = f"""
+WITH RECURSIVE g AS (SELECT c_nationkey, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1),
+r AS (SELECT *, row_number() OVER (ORDER BY n DESC, sha256('{encode.FOLD_SALT}|' || c_nationkey)) AS k FROM g),
+deal AS (
+  SELECT CAST(0 AS BIGINT) AS k, CAST([0, 0, 0, 0, 0] AS BIGINT[]) AS w, CAST(0 AS BIGINT) AS fold
+  UNION ALL
+  SELECT r.k, list_transform(w, lambda x, i: CASE WHEN i = list_position(w, list_min(w)) THEN x + r.n ELSE x END), CAST(list_position(w, list_min(w)) AS BIGINT) FROM deal JOIN r ON r.k = deal.k + 1
+)
+SELECT c_nationkey, n AS n_rows, CAST(fold AS INTEGER) AS fold FROM deal JOIN r USING (k)
+"""
+
+
 def field_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").withColumns({"k": F.get_json_object("props", "$.k").try_cast("int"), "value": F.when(F.col("event_id") % 4 != 0, F.col("value"))})
     return encode.field_coverage(events, ["event_type", "value", "k"], {"value": F.col("event_type") != "error"})
@@ -462,6 +474,7 @@ ORACLES = {
     "observation_dedup": _DEDUP,
     "numeric_overview": "SELECT l_partkey, l_quantity, l_discount, min(l_orderkey * 10 + l_linenumber) AS first_at, count(*) AS n_occurrences, string_agg(CAST(l_suppkey AS VARCHAR), ',' ORDER BY l_orderkey * 10 + l_linenumber) AS suppliers FROM lineitem GROUP BY ALL HAVING count(*) > 1",
     "group_hash_split": _SPLIT,
+    "balanced_group_folds": _FOLDS,
     "group_leakage": f"SELECT split, count(*) AS n_orders, count(DISTINCT o_custkey) AS n_groups, CAST(0 AS BIGINT) AS n_leaks FROM orders JOIN ({_SPLIT}) USING (o_custkey) GROUP BY split",
     "field_coverage": _COVERAGE,
     "one_hot_encode": _ONEHOT,

@@ -26,15 +26,17 @@ def relation_candidates_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_current_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Current state of each user from the events as a stream (all available input, then stop)."""
-    import tempfile
     import uuid
 
     events = table(spark, sf_dir, "events")
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="assaykit-stream-")
+    # the shared folder, or the warehouse, which driver and executors share as well
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    base = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     # a stream reads a folder; the glob names the table's own file or folder
     raw = spark.readStream.schema(events.schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
     now = state.current_state(raw, ["user_id"], ["ts", "event_id"], ["event_type", "value", "event_id"])
-    return state.run_to_memory(now, f"state_{uuid.uuid4().hex[:12]}", "complete", f"{base}/stream-{uuid.uuid4().hex}")
+    state.to_versions(now, f"{base}/versions", f"{base}/log").awaitTermination()
+    return state.latest_version(spark, f"{base}/versions", ["user_id"], ["n_events"], now.schema)
 
 
 QUERIES = {f.__name__: f for f in (html_page_blocks, numeric_facts_udf, relation_candidates_udf, stream_current_state)}

@@ -48,8 +48,17 @@ def to_versions(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery
     return stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
 
 
+def latest_version(spark: SparkSession, path: str, key: list[str], order: list[str], schema: StructType) -> DataFrame:
+    """The state that versions say: of each key the row of its last version. Nothing is gathered on
+    the driver; the versions are a table like any other."""
+    rows = spark.read.schema(schema).option("basePath", path).parquet(f"{path}/version=*")
+    names = [c for c in schema.fieldNames() if c not in key]
+    last = rows.groupBy(*key).agg(F.max_by(F.struct(*names), F.struct(*order)).alias("s"))
+    return last.select(*key, *[F.col(f"s.{c}").alias(c) for c in names]).select(*schema.fieldNames())
+
+
 def run_to_memory(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """All available input into a memory table; for tests and small results."""
+    """All available input into a memory table of the driver; for tests of small results only."""
     query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)

@@ -43,9 +43,11 @@ def test_priority_does_not_change_decisions(spark):
 
 def test_claims(spark):
     text = "Conversion increased by 12 % compared with Cu. It may improve. It did not improve. The rate was three times higher than before."
+    none = screening.ClaimProfile(report="zzz", amounts=(), kinds=(), against="zzz()")
+    assert screening.claims(spark.createDataFrame([(text,)], "t string"), "t", none).count() == 0
     got = {r.sentence_no: r for r in screening.claims(spark.createDataFrame([(text,)], "t string"), "t").collect()}
     assert [got[k].statement_type for k in range(4)] == ["reported_comparison", "prospective_claim", "negated_statement", "reported_comparison"]
-    assert (got[0].amount, got[0].amount_unit, got[0].comparator) == (12.0, "%", "Cu.") and (got[3].amount, got[3].amount_unit) == (3.0, "fold")
+    assert (got[0].amount, got[0].amount_unit, got[0].comparator) == (12.0, "%", "Cu") and (got[3].amount, got[3].amount_unit) == (3.0, "fold")
 
 
 def test_feature_pivot_ignores_rejected_values(spark):
@@ -191,3 +193,31 @@ def test_nearest_points(spark):
     targets = spark.createDataFrame([("k", 20), ("k", 30), ("k", 99), ("m", 7), ("z", 1)], "k string, target int")
     got = {(r.k, r.target): r.near_id for r in dedup.nearest(points, targets, ["k"], "x", "target", "id", []).collect()}
     assert got == {("k", 20): 1, ("k", 30): 2, ("k", 99): 4, ("m", 7): 5}
+
+
+def test_null_keys_are_groups(spark):
+    rows = spark.createDataFrame([("a", "target", 1.0), (None, "review", 5.0), (None, "target", 2.0)], "source string, decision string, v double")
+    got = {r.source: (r.n_target, r.n_review, r.top) for r in screening.decision_counts(rows, ["source"], more={"top": F.max("v")}).collect()}
+    assert got == {"a": (1, 0, 1.0), None: (1, 1, 5.0)}
+
+
+def test_decisions_on_one_key_do_not_multiply_records(spark):
+    records = spark.createDataFrame([("r1",), ("r2",), ("r3",)], "id string")
+    made = spark.createDataFrame([("r1", "target"), ("r1", "target"), ("r2", "target"), ("r2", "review"), (None, "target")], "id string, decision string")
+    assert {r.id: r.manual_decision for r in review.apply_decisions(records, made, ["id"]).collect()} == {"r1": "target", "r2": None, "r3": None}
+    assert review.apply_decisions(records, made, ["id"]).count() == 3
+
+
+def test_folds_of_many_groups_are_dealt_in_a_stream(spark):
+    rows = spark.range(20_000).selectExpr("id % 7001 as g")
+    got = encode.balanced_folds(rows, "g").groupBy("fold").agg(F.sum("n_rows").alias("n")).collect()
+    assert len(got) == 5 and max(r.n for r in got) - min(r.n for r in got) <= 3
+    assert encode.balanced_folds(spark.range(9).selectExpr("id % 2 as g"), "g").count() == 0
+
+
+def test_long_texts_are_scanned_whole(spark):
+    from assaykit.operators import extract
+
+    text = "Nothing is said here. " * 110_000 + "The conversion reached 93 % at 250 °C."
+    found = extract.fact_rows(spark.createDataFrame([(1, text)], "id long, t string"), "id", "t").collect()
+    assert {(r.value, r.unit) for r in found} == {(93.0, "%"), (250.0, "°C")} and all(text[r.start : r.end] == r.quote for r in found)

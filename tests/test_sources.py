@@ -119,3 +119,5 @@ def test_streams(spark, tmp_path):
     query = state.to_versions(state.current_state(stream, ["user"], ["ts", "event_id"], ["value"]), str(tmp_path / "v"), str(tmp_path / "c3"))
     query.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "v")).count() == 3
+    seen = state.latest_version(spark, str(tmp_path / "v"), ["user"], ["n_events"], state.current_state(events, ["user"], ["ts", "event_id"], ["value"]).schema)
+    assert {r.user: r.value for r in seen.collect()} == {"u0": 3.0, "u1": 4.0, "u2": 5.0}
