@@ -22,6 +22,7 @@ other than those named are ignored.
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -208,9 +209,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 # segments have one bit each, drawn by a fixed seed; two texts that differ in a share d of their
 # bits meet in a grid of b segments with probability (1 - d)^b. The segments grow with the number
 # of texts, so that cells stay small, and the grids with the segments, so that texts which differ in
-# WIDE_SHARE of their bits meet in one of them but for a share of WIDE_MISSED. Components of
-# candidates then come together with the shingle sets of their texts, and only pairs whose sets
-# reach LIKENESS are linked.
+# WIDE_SHARE of their bits meet in one of them but for a share of WIDE_MISSED. Within components of
+# candidates the shingle sets of the texts are compared, and only pairs whose sets reach LIKENESS
+# are linked; no component is held by one task (see verified_groups).
 
 WIDE_SHARE, WIDE_MISSED, WIDE_DISTANCE = 0.18, 0.01, 64
 LEAST_BITS, CELL_TEXTS = 13, 256
@@ -357,58 +358,142 @@ def wide_links(batches):
         yield links(left)
 
 
-def verified(fps: list[np.ndarray], sets: list[np.ndarray]) -> np.ndarray:
-    """For each text of a group the smallest position it reaches by pairs within WIDE_DISTANCE
-    whose shingle sets have LIKENESS. Reached texts are taken from the rest and then each compared
-    with what is left, so no link is lost and a crowd is not compared pair by pair."""
-    n = np.array([len(s) for s in sets], np.int64)
-    begin = np.concatenate([[0], np.cumsum(n)])
-    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    mark = np.zeros(int(ids.max()) + 1, bool)
-    group, rest = np.arange(len(sets)), np.arange(len(sets))
-    while len(rest):
-        first, rest = int(rest[0]), rest[1:]
-        line = [first]
-        while line and len(rest):
-            i = line.pop()
-            at = np.flatnonzero(wide_near(fps, n, i, rest))
-            if not len(at):
-                continue
-            own, size = ids[begin[i] : begin[i + 1]], n[rest[at]]
-            mark[own] = True
-            stops = np.cumsum(size)
-            every = np.arange(stops[-1]) + np.repeat(begin[rest[at]] - (stops - size), size)
-            common = np.add.reduceat(mark[ids[every]].astype(np.int64), stops - size)
-            mark[own] = False
-            at = at[common * LIKENESS[1] >= (n[i] + size - common) * LIKENESS[0]]
-            group[rest[at]] = first
-            line += rest[at].tolist()
-            rest = np.delete(rest, at)
-    return group
-
-
-def verify_groups(batches):
-    """node, component by verified links; rows (candidates, node, fingerprints, set) come sorted
-    by candidate group and node."""
-
-    def one(rows):
-        nodes = np.array([r[0] for r in rows], np.int64)
-        fps = [np.array([r[1][i] for r in rows], np.int64).view(np.uint64) for i in range(WORDS_64)]
-        found = verified(fps, [np.frombuffer(r[2], np.uint64) for r in rows])
-        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[found])], names=["node", "component"])
-
-    now, rows = None, []
+def alike(own: np.ndarray, other: np.ndarray) -> bool:
+    """Whether two sets of distinct sorted numbers share LIKENESS of their union."""
+    common = len(np.intersect1d(own, other, assume_unique=True))
+    return common * LIKENESS[1] >= (len(own) + len(other) - common) * LIKENESS[0]
+
+
+def linked(fp: tuple, own: np.ndarray, fps: list[np.ndarray], n: np.ndarray, sets: list[np.ndarray]) -> list[int]:
+    """Positions of the held texts that a text is linked with: candidates by fingerprint, then sets."""
+    mine = [np.array([x], np.int64).view(np.uint64) for x in fp]
+    near = wide_near([np.concatenate([f, m]) for f, m in zip(fps, mine)], np.append(n, len(own)), np.full(len(n), len(n)), np.arange(len(n)))
+    return [k for k in np.flatnonzero(near).tolist() if alike(own, sets[k])]
+
+
+def bit_sums(batches):
+    """(candidates, texts, sums): how many texts of a group have each bit set, summed by task."""
+    held: dict[int, np.ndarray] = {}
+
+    def out():
+        keys = list(held)
+        arrays = [pa.array(keys, pa.int64()), pa.array([held[k].tobytes() for k in keys], pa.binary())]
+        held.clear()
+        return pa.RecordBatch.from_arrays(arrays, names=["candidates", "sums"])
+
+    for batch in batches:
+        group = batch.column(0).to_numpy(zero_copy_only=False)
+        if not len(group):
+            continue
+        words = np.stack([batch.column(1 + i).to_numpy(zero_copy_only=False) for i in range(WORDS_64)], axis=1)
+        bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1, bitorder="little")
+        order = np.argsort(group, kind="stable")
+        edges = np.flatnonzero(np.diff(group[order], prepend=group[order][0] - 1))
+        sums = np.add.reduceat(bits[order].astype(np.int64), edges, axis=0)
+        sums = np.concatenate([sums, np.diff(np.append(edges, len(order)))[:, None]], axis=1)
+        for k, own in zip(group[order][edges].tolist(), sums):
+            held[k] = held[k] + own if k in held else own
+        if len(held) > 20_000:
+            yield out()
+    if held:
+        yield out()
+
+
+def centre_prints(batches):
+    """(candidates, c0 ... c3): the majority of each bit; sums come sorted by group."""
+    names = ["candidates", *[f"c{i}" for i in range(WORDS_64)]]
+
+    def out(groups, sums):
+        bits = (np.array([s[:-1] * 2 > s[-1] for s in sums])).astype(np.uint8)
+        words = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), *[pa.array(words[:, i].copy()) for i in range(WORDS_64)]], names=names)
+
+    groups, sums = [], []
+    for batch in batches:
+        for group, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if not groups or groups[-1] != group:
+                if len(groups) >= 4096:
+                    yield out(groups, sums)
+                    groups, sums = [], []
+                groups.append(group)
+                sums.append(np.frombuffer(own, np.int64))
+            else:
+                sums[-1] = sums[-1] + np.frombuffer(own, np.int64)
+    if groups:
+        yield out(groups, sums)
+
+
+def against_centre(batches):
+    """Whether each text is linked with its group's centre: (candidates, node, centre, ok)."""
     for batch in batches:
         cols = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-        for group, node, *fps, own in zip(*cols):
-            if rows and group != now:
-                yield one(rows)
-                rows = []
-            now = group
-            if not rows or rows[-1][0] != node:
-                rows.append((node, fps, own))
-    if rows:
-        yield one(rows)
+        ok = []
+        for row in zip(*cols):
+            fp, own, centre, other = row[2 : 2 + WORDS_64], np.frombuffer(row[2 + WORDS_64], np.uint64), row[4 + WORDS_64 : 4 + 2 * WORDS_64], np.frombuffer(row[-1], np.uint64)
+            held = [np.array([x], np.int64).view(np.uint64) for x in centre]
+            ok.append(row[1] == row[3 + WORDS_64] or bool(linked(fp, own, held, np.array([len(other)]), [other])))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3 + WORDS_64), pa.array(ok)], names=["candidates", "node", "centre", "ok"])
+
+
+def across(batches):
+    """Links (u, v) of the texts that no centre took, with all texts of their group: rows
+    (candidates, salt, kind, node, name, fingerprints, own) come sorted; those of kind 0 are held,
+    those of kind 1 pass by one after the other, each under the ``name`` it already has."""
+    now, held, table = None, [], None
+    found: set[tuple[int, int]] = set()
+    for batch in batches:
+        cols = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+        for group, salt, kind, node, name, *fp, own in zip(*cols):
+            if (group, salt) != now:
+                now, held, table = (group, salt), [], None
+            own = np.frombuffer(own, np.uint64)
+            if kind == 0:
+                held.append((node, fp, own))
+                continue
+            if table is None:
+                table = ([np.array([h[1][i] for h in held], np.int64).view(np.uint64) for i in range(WORDS_64)], np.array([len(h[2]) for h in held], np.int64), [h[2] for h in held])
+            found |= {(name, held[k][0]) for k in linked(fp, own, *table) if held[k][0] != name}
+        if found:
+            pairs = np.array(sorted(found), np.int64)
+            found.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+
+
+#: Texts of a group that pass by the held ones in one task.
+PASSING = 128
+
+
+def verified_groups(sets: DataFrame) -> DataFrame:
+    """(node, component) of candidates (candidates, node, fingerprints, own) by all pairs of a group
+    that are linked, for nodes that aren't alone.
+
+    1. A group's centre is the text nearest to the majority of its texts' bits. Every text is held
+       against it, which splits over tasks however large the group is.
+    2. What no centre took, few texts in a group of near copies, is dealt to each of the group's
+       shares of PASSING texts, which pass by it. So every pair of texts is tried but those of
+       which a centre links both already.
+    """
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sums = sets.select("candidates", *PRINT).mapInArrow(bit_sums, "candidates long, sums binary")
+    centres = sums.repartition(parts, "candidates").sortWithinPartitions("candidates").mapInArrow(centre_prints, "candidates long, " + ", ".join(f"c{i} long" for i in range(WORDS_64)))
+    away = reduce(lambda a, b: a + b, [F.bit_count(F.col(f).bitwiseXOR(F.col(f"c{i}"))) for i, f in enumerate(PRINT)])
+    # tables of their own, so that both sides of a join are dealt anew and a large group can be split
+    nearest = sets.select("candidates", "node", *PRINT).join(written(centres), "candidates").groupBy("candidates").agg(F.min(F.struct(away.alias("away"), "node")).alias("best"))
+    chosen = nearest.select("candidates", F.col("best.node").alias("node"))
+    centre = written(sets.join(chosen, ["candidates", "node"]).select("candidates", F.col("node").alias("centre"), *[F.col(f).alias(f"m{i}") for i, f in enumerate(PRINT)], F.col("own").alias("other")))
+    stars = cut(sets.join(centre, "candidates").select("candidates", "node", *PRINT, "own", "centre", *[f"m{i}" for i in range(WORDS_64)], "other").mapInArrow(against_centre, "candidates long, node long, centre long, ok boolean"))
+
+    groups = stars.groupBy("candidates").agg(F.count(F.lit(1)).alias("texts"), F.count_if(~F.col("ok")).alias("rest")).where("rest > 0")
+    shares = groups.select("candidates", F.ceil(F.col("texts") / PASSING).cast("int").alias("shares"))
+    open_ = written(stars.join(shares, "candidates").select("candidates", "node", "ok", "shares", F.when(F.col("ok"), F.col("centre")).otherwise(F.col("node")).alias("name")))
+    rows = sets.join(open_, ["candidates", "node"])
+    last = ["node", "name", *PRINT, "own"]
+    passing = rows.select("candidates", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int").alias("salt"), F.lit(1).alias("kind"), *last)
+    held = rows.where("NOT ok").select("candidates", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("salt"), F.lit(0).alias("kind"), *last)
+    links = passing.unionByName(held).repartition(parts, "candidates", "salt").sortWithinPartitions("candidates", "salt", "kind").mapInArrow(across, "u long, v long").distinct()
+    joined = components(links).withColumnRenamed("node", "name").withColumnRenamed("component", "root")
+    named = stars.select("node", F.when(F.col("ok"), F.col("centre")).otherwise(F.col("node")).alias("name")).join(joined, "name", "left")
+    return named.select("node", F.coalesce("root", "name").alias("component"))
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -422,9 +507,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
     cells = texts.mapInArrow(WideCells(grid_bits(rows.select("node").distinct().count())), "cell long, " + WIDE)
     links = cells.repartition(parts, "cell").sortWithinPartitions("cell", "node").mapInArrow(wide_links, "u long, v long").distinct()
     candidates = classes.join(components(links).withColumnRenamed("component", "candidates"), "node").select("row", "candidates", "node", *PRINT)
-    texts = plain.select("row", "text").join(candidates, "row").select("candidates", "node", *PRINT, "text")
-    sets = map_rows(texts, with_set, "candidates long, " + ", ".join(f"{c} long" for c in ("node", *PRINT)) + ", own binary")
-    named = sets.repartition(parts, "candidates").sortWithinPartitions("candidates", "node").mapInArrow(verify_groups, "node long, component long")
+    # rows that are alike in all columns share a digest, so a text may come more than once
+    texts = plain.select("row", "text").join(candidates, "row").select("candidates", "node", *PRINT, "text").dropDuplicates(["node"])
+    sets = written(map_rows(texts, with_set, "candidates long, " + ", ".join(f"{c} long" for c in ("node", *PRINT)) + ", own binary"))
+    named = verified_groups(sets)
     return rows.select("doc_id", "row", "node").join(cut(named.where("node != component")), "node", "left").select("doc_id", "row", F.coalesce("component", "node").alias("component"))
 
 

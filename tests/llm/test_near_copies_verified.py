@@ -53,7 +53,9 @@ def test_pairs_are_linked_at_the_threshold_and_not_below(spark, lengths):
         assert len(of) > 5 and sum(of) >= 0.97 * len(of), kind
 
 
-def test_a_crowd_has_the_components_of_all_its_pairs(spark):
+@pytest.mark.parametrize("passing", [7, 128])
+def test_a_crowd_has_the_components_of_all_its_pairs(spark, monkeypatch, passing):
+    monkeypatch.setattr(neardup, "PASSING", passing)
     rng = random.Random(11)
     base = [f"t{rng.randint(0, 900)}" for _ in range(300)]
     rows = []
@@ -68,5 +70,8 @@ def test_a_crowd_has_the_components_of_all_its_pairs(spark):
             for j in range(150):
                 if want[i] < want[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                     want[j], changed = want[i], True
-    got = {r.doc_id: r.component_id for r in neardup.near_copies(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()}
+    docs = [(i, " ".join(w)) for i, w in rows]
+    found = neardup.near_copies(spark.createDataFrame(docs + docs[:9], "doc_id long, text string"))  # some rows twice
+    assert found.count() == 159
+    got = {r.doc_id: r.component_id for r in found.collect()}
     assert [got[i] for i in range(150)] == want
