@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import screening, tables, texts, workspace
+from . import handoff, screening, tables, texts, workspace
 
-QUERIES = screening.QUERIES | tables.QUERIES | texts.QUERIES | workspace.QUERIES
-ORACLES = screening.ORACLES | tables.ORACLES | texts.ORACLES | workspace.ORACLES
+QUERIES = screening.QUERIES | tables.QUERIES | texts.QUERIES | workspace.QUERIES | handoff.QUERIES
+ORACLES = screening.ORACLES | tables.ORACLES | texts.ORACLES | workspace.ORACLES | handoff.ORACLES
