@@ -188,14 +188,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     links = link_table(classes)
     named = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     # fingerprints stand for nodes; the smallest document id of a component names it
-    joined = classes.join(named.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    smallest = joined.where(F.col("component") != F.col("fp")).select("component").distinct()
-    linked = joined.join(smallest, "component", "left_semi")
-    low = linked.groupBy("component").agg(F.min("low").alias("component_id"))
-    of_class = linked.join(low, "component").select("fp", "component_id")
-    # a table of its own: both sides of the join are dealt anew, and a fingerprint that a third of
-    # all rows have can be split
-    every = written(classes.join(of_class, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")))
+    # tables of their own: both sides of each join are dealt anew, so a component or a fingerprint
+    # that a third of all rows have can be split
+    placed = written(classes.join(named.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("component")))
+    low = written(placed.groupBy("component").agg(F.min("low").alias("component_id")))
+    every = written(placed.join(low, "component").select("fp", "component_id"))
     out = rows.join(every, "fp")
     null = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
     return out.select(null("doc_id"), "fp", null("component_id"))
