@@ -9,14 +9,16 @@ org", "192 . 168 . 0 . 7", "(017) 555-7713"). Sentences with neither a digit nor
 address hold no token that a label could start at, so only the others are decoded: by Viterbi, in
 numpy batches padded to a common length. Added spans never touch a base span.
 
-Defined cases: a null text counts as empty and has no spans; repeated rows each give a row; other
-columns are ignored.
+Defined cases: a null text counts as empty and has no spans; texts, lines and words of any length are
+read whole; of base spans of different kinds that overlap all stay, and ties in start are ordered by
+kind; repeated rows each give a row; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -68,28 +70,28 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-# Labelled table: tokens between [kind ...] are a span of that kind.
+# Labelled table: tokens between <kind ...> are a span of that kind.
 LABELLED = """
-write to [email jo dot li at mail dot example dot com] for details
-contact [email anna at example dot org] or call later
-send it to [email m.weber ( at ) firma ( dot ) de] please
-reach me : [email sales [at] shop [dot] example [dot] net] today
-mail [email pierre dot dupont at poste dot example dot fr] demain
-correo [email luis at correo dot example dot es] gracias
-my address is [email kim at uni dot example dot edu] and I am at home
-the host [ip 192 . 168 . 0 . 7] is down
-server at [ip 10 . 0 . 12 . 250] replied
-ping [ip 172 [.] 16 [.] 4 [.] 1] again
-from [ip 8 (.) 8 (.) 4 (.) 4] to the router
-card [card 4539 / 5787 / 6362 / 1486] expires soon
-pay with [card 5500 . 0000 . 0000 . 0004] at the desk
-visa [card 4111_1111_1111_1111] was charged
-call [phone (017) 555-7713] after five
-phone [phone 030 / 901820 / 44] in Berlin
-tel [phone 0171 - 5550 - 1234] bitte
-ring [phone (974) 555-3436] tonight
-telephone : [phone 01.44.55.66.77] merci
-llame al [phone 912 345 678] ahora
+write to <email jo dot li at mail dot example dot com> for details
+contact <email anna at example dot org> or call later
+send it to <email m.weber ( at ) firma ( dot ) de> please
+reach me : <email sales [at] shop [dot] example [dot] net> today
+mail <email pierre dot dupont at poste dot example dot fr> demain
+correo <email luis at correo dot example dot es> gracias
+my address is <email kim at uni dot example dot edu> and I am at home
+the host <ip 192 . 168 . 0 . 7> is down
+server at <ip 10 . 0 . 12 . 250> replied
+ping <ip 172 [.] 16 [.] 4 [.] 1> again
+from <ip 8 (.) 8 (.) 4 (.) 4> to the router
+card <card 4539 / 5787 / 6362 / 1486> expires soon
+pay with <card 5500 . 0000 . 0000 . 0004> at the desk
+visa <card 4111_1111_1111_1111> was charged
+call <phone (017) 555-7713> after five
+phone <phone 030 / 901820 / 44> in Berlin
+tel <phone 0171 - 5550 - 1234> bitte
+ring <phone (974) 555-3436> tonight
+telephone : <phone 01.44.55.66.77> merci
+llame al <phone 912 345 678> ahora
 the room (017) has 555 seats at 7
 version 3.0 of the license , version 2.0
 it was 12 . 5 percent in 1998 and 13 . 1 in 1999
@@ -108,6 +110,40 @@ at noon a dot appears at the top
 CC BY-NC 4.0 applies here
 see table 12 and figure 3.4 at page 88
 the ratio is 3 : 2 at 25 degrees
+contact <email jo [at] firma [dot] com> for more
+write to <email maria ( at ) haus ( dot ) de> soon
+reach me at <email tom at farm dot net>
+my mail is <email sara at lake dot fr>
+email <email dr.kurz ( at ) klinik ( dot ) de> please
+send word to <email pat dot lee at hill dot org> tonight
+you can reach <email uwe [at] nord [dot] de> anytime
+ask <email billing [at] stone [dot] com> about it
+mail to <email eva at office dot example dot com> or wait
+it is <email rob ( at ) coast ( dot ) net>
+try <email ann dot may at ridge dot com> first
+our address : <email info [at] mill [dot] org>
+the server <ip 172 [.] 31 [.] 4 [.] 90> is slow
+host <ip 91 [.] 120 [.] 33 [.] 7>
+ping <ip 203 (.) 14 (.) 251 (.) 66> again
+the server <ip 45 . 133 . 20 . 178> is up
+from <ip 118 . 9 . 77 . 201> to us
+login from <ip 66 [.] 249 [.] 64 [.] 15> failed
+card <card 4539_5787_6362_1486> was used
+charged to <card 5500 / 0000 / 0000 / 0004> again
+ring <phone 02.11.23.34.45> tonight
+phone <phone 030 / 442211 / 17>
+call <phone (212) 555-0147> after lunch
+tel <phone 0221 - 4471 - 3390> bitte
+meet me at the gate at noon
+we looked at it and the dot was gone
+the dot com boom ended at last
+he stood at the window at nine
+turn left at the red dot on the map
+a dot is put at the end
+[1] see the notes [2] and the index
+the list ( a ) and the list ( b ) differ
+between 10 and 20 . 5 of 40 . 25 remain
+rooms 101 / 102 / 103 are free
 """.strip().split("\n")
 
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_", re.UNICODE)
@@ -117,13 +153,19 @@ SENTENCE = re.compile(r"[^\n]+")
 #: What every added span holds a token of: a digit, or a written-out "at" or "dot".
 SIGN = re.compile(r"[0-9]|(?<![^\W_])(?:at|dot)(?![^\W_])", re.IGNORECASE)
 DIMENSIONS = 4096
+#: Digits that no span's number has.
+MOST_DIGITS = 20
 #: Tokens whose features are held at once.
 PART = 4096
 
 
 def shape(word: str) -> str:
-    kinds = ["d" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c for c in word[:24]]
-    return "".join(kinds) if word[:1].isdigit() else "".join(k for i, k in enumerate(kinds) if i == 0 or kinds[i - 1] != k)
+    """Classes of a word's characters; runs of one class are one, but digits of a number count up to
+    ``MOST_DIGITS`` (a longer run is the shape of all long ones)."""
+    kinds = ["d" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c for c in word]
+    if word[:1].isdigit():
+        return re.sub(f"d{{{MOST_DIGITS},}}", "d+", "".join(kinds)) if len(kinds) > MOST_DIGITS else "".join(kinds)
+    return "".join(k for i, k in enumerate(kinds) if i == 0 or kinds[i - 1] != k)
 
 
 def slot(name: str) -> int:
@@ -140,7 +182,7 @@ class Slots(dict):
 
 def observe(words: list[str], slots: Slots) -> list[list[int]]:
     """Hashed features of each token: shapes around it, and the few words that matter."""
-    low = [w.lower() if len(w) < 12 else "" for w in words]
+    low = [w.lower() for w in words]
     shapes = ["^^", "^", *map(shape, words), "$", "$$"]
     near = ["", "", *(w if w in ("at", "dot", "tel", "phone", "call", "card", "visa", "host", "ip", "server", "mail", "to") else "" for w in low), "", ""]
     out = []
@@ -155,8 +197,8 @@ def read_labelled(lines: list[str]) -> list[tuple[list[str], list[int]]]:
     out = []
     for line in lines:
         words, states = [], []
-        for part in re.split(r"(\[(?:email|ip|card|phone) .*?(?<![\[(] )\](?=\s|$))", line):
-            m = re.match(r"\[(email|ip|card|phone) (.*)\]$", part)
+        for part in re.split(r"(<(?:email|ip|card|phone) [^<>]*>)", line):
+            m = re.match(r"<(email|ip|card|phone) (.*)>$", part)
             tokens = TOKEN.findall(m[2] if m else part)
             words += tokens
             states += [INDEX[f"{'B' if k == 0 else 'I'}-{m[1]}"] if m else 0 for k in range(len(tokens))]
@@ -230,6 +272,12 @@ class Crf:
         return out
 
 
+@cache
+def trained() -> Crf:
+    """The model, trained once in a driver."""
+    return Crf().train(read_labelled(LABELLED))
+
+
 BATCH_TOKENS = 40_000
 
 
@@ -322,8 +370,7 @@ class Find:
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """Per document: counts and digest of base spans, and all spans."""
-    crf = Crf().train(read_labelled(LABELLED))
-    shared = share(docs.sparkSession, crf)
+    shared = share(docs.sparkSession, trained())
     return map_rows(columns(docs, doc_id="long", text="string"), Find(shared), RESULT)
 
 
@@ -356,6 +403,5 @@ class Redact:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The same rows and columns, with every span of ``text`` replaced by ``[kind]``."""
-    crf = Crf().train(read_labelled(LABELLED))
-    shared = share(docs.sparkSession, crf)
+    shared = share(docs.sparkSession, trained())
     return map_rows(docs, Redact(shared, docs.columns), docs.schema)
