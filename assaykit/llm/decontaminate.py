@@ -2,31 +2,35 @@
 
 Words: A-Z lower-cased, then ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. A window is ``width``
 consecutive words of an item; an item of fewer words (but not none) is one window. The windows'
-numbers go to every executor as a bit table and a sorted array; each document is scanned once,
-and every hit is verified word by word before it counts.
-
-The broadcast is bounded: at most ``max_windows`` windows travel at a time. A larger benchmark is
-split into blocks of items, and the documents pass through one scan after the other, carrying
-their marks along, so the result is the same.
-
-Defined cases: null or empty text has no words and is never contaminated; an empty benchmark
-hits nothing; a null item id counts as the empty text; items with equal ids count once; repeated
-document rows each give a row; columns other than those named are ignored.
+numbers go to every executor as a bit table and a sorted array, beside the items' words as one
+string; each document is scanned once, and every hit is verified byte by byte before it counts.
+
+The broadcast is bounded in bytes: items are cut into segments of ``SEGMENT_WORDS`` words (which
+overlap by a window less a word, so no window is lost), equal segments count once, and blocks of
+segments of about ``max_bytes`` bytes travel at a time, some six times that as arrays. The documents
+pass through one scan after the other, carrying their marks along, so the result is the same.
+
+Defined cases: null or empty text has no words and is never contaminated; documents and items of any
+length are read whole; an empty benchmark hits nothing; a null item id counts as the empty text;
+items with equal ids count once; repeated document rows each give a row; an empty table of documents
+gives no rows; columns other than those named are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, map_rows, share, shared_value
+from .common import columns, map_rows, share, shared_value, written
 from .words import WordNumbers, rolling
 
 WIDTH = 10
-MAX_WINDOWS = 1_000_000
+MAX_BYTES = 8_000_000
+SEGMENT_WORDS = 50_000
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 CARRIED = "doc_id long, text string, marks binary, items array<string>"
@@ -36,25 +40,64 @@ def normal_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(NORMAL).split() if text else []
 
 
+class Segments:
+    """Items cut into segments that hold all their windows, words joined by one space."""
+
+    def __init__(self, width: int):
+        self.width = width
+
+    def __call__(self, item_id, text):
+        rows = []
+        for own, t in zip(item_id, text):
+            words = normal_words(t)
+            for at in range(0, max(1, len(words) - self.width + 1) if words else 0, SEGMENT_WORDS):
+                rows.append((own or "", b" ".join(words[at : at + SEGMENT_WORDS + self.width - 1]).decode("utf-8", "surrogatepass")))
+        return {"item_id": [r[0] for r in rows], "text": [r[1] for r in rows]}
+
+
 class Windows:
-    """The windows of a block of benchmark items, by length."""
+    """The windows of a block of segments, by length: arrays and one string."""
 
     def __init__(self, items: list[tuple[str, str | None]], width: int = WIDTH):
+        words, owner, self.ids = [], [], []
+        for k, (item_id, text) in enumerate(sorted(items, key=lambda x: (x[0], x[1] or ""))):
+            own = normal_words(text)
+            self.ids.append(item_id)
+            words += own
+            owner.append(len(own))
+        self.raw = b" ".join(words)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        self.begin = np.concatenate([[0], np.cumsum(lengths + 1)])
+        self.owner = np.repeat(np.arange(len(owner)), owner).astype(np.int32)
+        counts = np.array(owner, np.int64)[self.owner] if len(words) else np.empty(0, np.int64)
+        numbers = WordNumbers().of(words)
         self.by_length: dict[int, tuple] = {}
-        numbers, found = WordNumbers(), {}
-        for item_id, text in items:
-            words = normal_words(text)
-            size = min(width, len(words))
-            if size:
-                for at, number in enumerate(rolling(numbers.of(words), size).tolist()):
-                    entry = found.setdefault(size, {}).setdefault(number, {})
-                    entry.setdefault(tuple(words[at : at + size]), set()).add(item_id)
-        for size, entries in found.items():
-            bits = max(16, int(np.ceil(np.log2(len(entries) * 32))))
-            known = np.fromiter(entries, np.uint64, len(entries))
+        for size in sorted({min(width, n) for n in owner if n}):
+            runs = rolling(numbers, size)
+            n = len(runs)
+            fits = (self.owner[:n] == self.owner[size - 1 : size - 1 + n]) & (np.minimum(counts[:n], width) == size)
+            at = np.flatnonzero(fits)
+            at = at[np.argsort(runs[at], kind="stable")]
+            known = runs[at]
+            bits = max(16, int(np.ceil(np.log2(len(known) * 32))))
             table = np.zeros(1 << bits, bool)
             table[(known >> np.uint64(64 - bits)).astype(np.int64)] = True
-            self.by_length[size] = (bits, table, entries)
+            self.by_length[size] = (bits, np.packbits(table), known, at)
+        self.known: dict[tuple[int, int], dict[bytes, set]] = {}
+
+    def named(self, size: int, number: int) -> dict[bytes, set]:
+        """The windows of a number, as bytes, with the items that have each."""
+        found = self.known.get((size, number))
+        if found is None:
+            if len(self.known) > 100_000:
+                self.known.clear()
+            _, _, known, places = self.by_length[size]
+            found = {}
+            low, high = (int(np.searchsorted(known, np.uint64(number), side)) for side in ("left", "right"))
+            for at in places[low:high].tolist():
+                found.setdefault(self.raw[self.begin[at] : self.begin[at + size] - 1], set()).add(self.ids[self.owner[at]])
+            self.known[size, number] = found
+        return found
 
     def scan(self, words: list[list[bytes]], numbers: WordNumbers):
         """For each document: a bool array of hit words, and the ids of the items that occur."""
@@ -64,14 +107,18 @@ class Windows:
         doc_of = np.repeat(np.arange(len(words)), lengths)
         edges = np.zeros(len(flat) + 1, np.int64)
         items: list[set] = [set() for _ in words]
-        for size, (bits, table, entries) in self.by_length.items():
+        for size, (bits, packed, _, _) in self.by_length.items():
             runs = rolling(flat, size)
-            for at in np.flatnonzero(table[(runs >> np.uint64(64 - bits)).astype(np.int64)]).tolist():
-                entry = entries.get(int(runs[at]))
+            slot = runs >> np.uint64(64 - bits)
+            hits = (packed[(slot >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (slot & np.uint64(7))).astype(np.uint8)) & 1
+            for at in np.flatnonzero(hits).tolist():
                 doc = int(doc_of[at])
-                if entry and doc_of[at + size - 1] == doc:
+                if doc_of[at + size - 1] != doc:
+                    continue
+                found = self.named(size, int(runs[at]))
+                if found:
                     local = at - int(starts[doc])
-                    ids = entry.get(tuple(words[doc][local : local + size]))
+                    ids = found.get(b" ".join(words[doc][local : local + size]))
                     if ids:
                         items[doc] |= ids
                         edges[at] += 1
@@ -110,23 +157,23 @@ class Scan:
         return work
 
 
-def benchmark_blocks(benchmark: DataFrame, max_windows: int) -> int:
-    """Blocks so that each holds about ``max_windows`` windows at most (one number comes back)."""
-    chars = benchmark.agg(F.sum(F.length(F.col("text").cast("string")))).first()[0] or 0
-    return max(1, -(-chars // (2 * max_windows)))  # a word and its gap take two characters at least
+def blocks_of(benchmark: DataFrame, width: int, max_bytes: int) -> Iterator[tuple[Windows, bool]]:
+    """Windows of one block of segments after the other, and whether it is the last."""
+    rows = columns(benchmark, item_id="string", text="string").distinct()
+    segments = written(map_rows(rows, Segments(width), "item_id string, text string").distinct())
+    size = segments.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // max_bytes))
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    for k in range(blocks):
+        own = segments.where(part == k).collect()  # about max_bytes bytes
+        yield Windows([(r.item_id, r.text) for r in own], width), k == blocks - 1
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_windows: int = MAX_WINDOWS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Per document: words, hit words, items that occur, and whether it is contaminated."""
     df = columns(docs, doc_id="long", text="string")
-    bench = columns(benchmark, item_id="string", text="string")
-    blocks = benchmark_blocks(bench, max_windows)
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    for k in range(blocks):
-        rows = bench.where(part == k).select(F.coalesce("item_id", F.lit("")).alias("item_id"), "text").collect()
-        shared = share(docs.sparkSession, Windows([(r.item_id, r.text) for r in rows], width))
-        last = k == blocks - 1
-        df = map_rows(df, Scan(shared, last), RESULT if last else CARRIED)
+    for windows, last in blocks_of(benchmark, width, max_bytes):
+        df = map_rows(df, Scan(share(docs.sparkSession, windows), last), RESULT if last else CARRIED)
     return df
 
 
@@ -147,12 +194,8 @@ class Keep:
         return work
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_windows: int = MAX_WINDOWS) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_bytes: int = MAX_BYTES) -> DataFrame:
     """The documents without any benchmark window, columns unchanged."""
-    bench = columns(benchmark, item_id="string", text="string")
-    blocks = benchmark_blocks(bench, max_windows)
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    for k in range(blocks):
-        rows = bench.where(part == k).select(F.coalesce("item_id", F.lit("")).alias("item_id"), "text").collect()
-        docs = map_rows(docs, Keep(share(docs.sparkSession, Windows([(r.item_id, r.text) for r in rows], width))), docs.schema)
+    for windows, _ in blocks_of(benchmark, width, max_bytes):
+        docs = map_rows(docs, Keep(share(docs.sparkSession, windows)), docs.schema)
     return docs

@@ -48,13 +48,24 @@ def planted(seed=2):
     return docs, items
 
 
+def test_long_items_are_cut_without_loss(spark, monkeypatch):
+    rng = random.Random(9)
+    item = [f"w{rng.randint(0, 400)}" for _ in range(900)]
+    docs = [(k, " ".join(["x"] * 3 + item[k * 17 : k * 17 + 9 + k % 4] + ["y"])) for k in range(40)] + [(99, " ".join(item))]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([("long", " ".join(item)), ("long", " ".join(item)), ("copy", " ".join(item)), ("short", "x y")], "item_id string, text string")
+    whole = sorted(decontaminate.decontaminate(frame, bench).collect())
+    monkeypatch.setattr(decontaminate, "SEGMENT_WORDS", 23)
+    assert sorted(decontaminate.decontaminate(frame, bench, max_bytes=2000).collect()) == whole
+    assert {r.doc_id for r in whole if r.n_items == 2} == {k for k in range(40) if k % 4} | {99}
+
+
 def test_decontamination_matches_brute_force(spark):
     docs, items = planted()
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = brute(docs, items)
-    for blocks in (decontaminate.MAX_WINDOWS, 20):  # one broadcast, and several
-        got = decontaminate.decontaminate(frame, bench, max_windows=blocks).collect()
+    for blocks in (decontaminate.MAX_BYTES, 300):  # one broadcast, and several
+        got = decontaminate.decontaminate(frame, bench, max_bytes=blocks).collect()
         assert {r.doc_id: tuple(r)[1:] for r in got} == want
     clean = {r.doc_id for r in decontaminate.keep_clean(frame, bench).collect()}
     assert clean == {d for d, w in want.items() if not w[4]}
