@@ -4,19 +4,23 @@
    a target: its weighted share of all words, stopped at ``most`` times its size, with the excess
    reshared by weight. The capped sources are a prefix of the order by cap/weight, so running
    sums give the level at once instead of repeated resharing.
-2. Documents are dealt to shards (seeded hash), which bounds every running sum below; within a
-   (source, shard) they stand in seeded order and their words are cut into blocks of equal
-   length.
-3. The blocks of the whole mix are allocated by highest quotients v/(2s+1), first to sources, then
-   inside a source to its shards. Seats that surely belong to a party are given at once; only the
-   seats near the common divisor are ranked, so the rows stay in proportion to the parties.
+2. Documents are dealt to shards (seeded hash of id and text, so an id that repeats with other texts
+   spreads), which bounds every running sum below; within a (source, shard) they stand in seeded
+   order and their words are cut into blocks of equal length.
+3. The blocks of the whole mix are allocated by highest quotients v/(2s+1): first to sources, then,
+   where a table has more than ``GROUP_SHARDS`` shards, inside a source to groups of so many shards,
+   then inside these to shards, so no window has more than ``GROUP_SHARDS`` shards of a source.
+   Seats that surely belong to a party are given at once; only the seats near the common divisor
+   are ranked, so the rows stay in proportion to the parties. Sources themselves (a row each) meet
+   in one window.
 4. A shard takes its quota by seeded systematic choice: block j is taken floor((j+1+o)q/n) -
    floor((j+o)q/n) times. The sums telescope, so a document of any length needs four terms and
    no block is ever written out as a row.
 
 Defined cases: null and blank texts have size 0 and take 0; a null source is a source of its own
-(last); repeated rows count separately and may take different amounts; an empty table gives an
-empty result; other columns are ignored.
+(last); texts of any length are counted whole; repeated rows count separately and may take
+different amounts; ties in order are broken by id, text and size, ties of quotients by party and
+seat; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,8 +28,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 BLOCK_WORDS = 16
 SHARD_DOCS = 1000
+#: Shards of a source that one window deals blocks to.
+GROUP_SHARDS = 1000
 SEED = 17
 MOST = 3
 
@@ -89,14 +97,21 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_docs: int = SHARD
     ids = docs.select(*carry, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("body"))
     count = docs.count()
     shards = max(1, -(-count // shard_docs))
-    ids = ids.withColumn("shard", number(seeded(seed, F.col("doc_id"))) % shards)
+    ids = ids.withColumn("shard", number(seeded(seed, F.col("doc_id"), F.col("body"))) % shards)
     by_shard = ids.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"))
     by_source = targets(by_shard.groupBy("source").agg(F.sum("shard_size").alias("source_size")), most)
     seats = by_source.withColumns({"__all": F.lit(1), "blocks": F.round(F.sum("target").over(Window.partitionBy(F.lit(1))) / block_words).cast("long"), "most": F.ceil(F.lit(most) * F.col("source_size") / block_words).cast("long")})
     seats = apportion(seats, ["__all"], [F.col("source").asc_nulls_last()], "target", "blocks", "most").withColumnRenamed("quota", "source_quota")
     shard = by_shard.join(seats.select(F.col("source").alias("s2"), "source_size", "target", "source_quota"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
     shard = shard.withColumns({"votes": F.col("shard_size").cast("double"), "most": F.ceil(F.col("shard_size") / block_words) * most})
-    dealt = apportion(shard, ["source"], [F.col("shard")], "votes", "source_quota", "most")
+    groups = -(-shards // GROUP_SHARDS)
+    shard = shard.withColumn("group", F.pmod(F.col("shard"), F.lit(groups)))
+    if groups > 1:
+        # a table of their own, so that a source with most shards can be split in the join
+        of_group = shard.groupBy("source", "group").agg(F.sum("votes").alias("votes"), F.sum("most").alias("most"), F.first("source_quota").alias("source_quota"))
+        won = written(apportion(of_group, ["source"], [F.col("group")], "votes", "source_quota", "most").select(F.col("source").alias("s2"), F.col("group").alias("g2"), F.col("quota").alias("group_quota")))
+        shard = shard.join(won, F.col("source").eqNullSafe(F.col("s2")) & (F.col("group") == F.col("g2"))).drop("s2", "g2", "source_quota").withColumnRenamed("group_quota", "source_quota")
+    dealt = apportion(shard, ["source", "group"], [F.col("shard")], "votes", "source_quota", "most")
     dealt = dealt.select(F.col("source").alias("s2"), F.col("shard").alias("h2"), "source_size", "target", "shard_size", "quota")
 
     line = Window.partitionBy("source", "shard").orderBy(seeded(seed + 1, F.col("doc_id")), "doc_id", "body", "size").rowsBetween(Window.unboundedPreceding, 0)

@@ -70,7 +70,7 @@ WITH doc AS (
   SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) END AS size,
          md5(coalesce(text, '')) AS body FROM documents
 ), shards AS (SELECT greatest(1, CAST(ceil(count(*) / {SHARD_DOCS}.0) AS BIGINT)) AS k FROM documents),
-dealt AS (SELECT d.*, {_number(f"'{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '-')")} % k AS shard FROM doc d CROSS JOIN shards),
+dealt AS (SELECT d.*, {_number(f"'{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || body")} % k AS shard FROM doc d CROSS JOIN shards),
 src AS (
   SELECT source, CAST(sum(size) AS DOUBLE) AS source_size FROM dealt GROUP BY source
 ), weighed AS (

@@ -160,3 +160,29 @@ def test_mix_awkward_rows(spark):
     got = mixing.mix(docs).collect()
     assert len(got) == docs.count() and mixing.mix(none).count() == 0
     assert all(r.taken == 0 for r in got if r.size == 0)
+
+
+def test_many_shards_are_dealt_in_groups(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 90)), rng.choice(["a", "a", "a", "b", None])) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    monkeypatch.setattr(mixing, "GROUP_SHARDS", 7)
+    got = mixing.mix(docs, shard_docs=50).collect()
+    assert len(got) == 3000 and all(0 <= r.taken <= 3 * r.size for r in got)
+    for name in ("a", "b", None):
+        own = [r for r in got if r.source == name]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 0.02 * own[0].target
+    again = mixing.mix(docs.repartition(5), shard_docs=50).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, again))
+
+
+def test_an_id_that_repeats_spreads_over_shards(spark):
+    docs = spark.createDataFrame([(7, f"text {i} " * 9, "a") for i in range(4000)], "doc_id long, text string, source string")
+    got = mixing.mix(docs, shard_docs=100).collect()
+    assert len(got) == 4000 and abs(sum(r.taken for r in got) - got[0].target) <= 0.02 * got[0].target
+
+
+def test_the_mix_has_no_python(spark):
+    rows = spark.createDataFrame([(1, "a b", "s")], "doc_id long, text string, source string")
+    plan = mixing.mix(rows)._jdf.queryExecution().toString()
+    assert not any(name in plan for name in ("Python", "Arrow", "Pandas"))
