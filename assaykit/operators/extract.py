@@ -25,27 +25,41 @@ from ..functions.numeric import NUMBER_WORDS
 LIGATURES = {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl"}
 
 
+# Signs that stand for one another.
+SIGNS = {"◦": "°", "º": "°", "‐": "-", "‑": "-"}
+# Breaks that a reader doesn't see, as (pattern, group that goes): a hyphen at a line's end inside a
+# word; the line break alone after a hyphen before a number (a wrapped name keeps its hyphen); a gap
+# between the parts of a formula.
+BREAKS = (
+    (re.compile(r"(?<=[A-Za-z])([-\u00ad‐‑]\s*\n\s*)(?=[a-zß-ÿ])"), 1),
+    (re.compile(r"(?<=[A-Za-z0-9][-‐‑])(\s*\n\s*)(?=\d)"), 1),
+    (re.compile(r"\b(?:[A-Z][a-z]?\d*)+(\s+)(?=[xyz\d]+/)"), 1),
+)
+
+
 class View:
-    """A text without line hyphens, ligatures and runs of white space, and the place of each of its
-    characters in the original."""
+    """A text without breaks inside words, names and formulas, ligatures and runs of white space, and
+    the place of each of its characters in the original."""
 
     def __init__(self, text: str, start: int = 0, end: int | None = None):
         self.source, chars, places = text, [], []
-        at, end = start, len(text) if end is None else end
-        while at < end:
+        end = len(text) if end is None else end
+        gone: set[int] = set()
+        for pattern, group in BREAKS:
+            for m in pattern.finditer(text, start, end):
+                gone.update(range(m.start(group), m.end(group)))
+        for at in range(start, end):
             c = text[at]
-            if c in "-­" and (m := re.compile(r"[-­]\s*\n\s*(?=[a-zß-ÿ])").match(text, at, end)):
-                at = m.end()
+            if at in gone or c == "\u00ad":
                 continue
             if c.isspace():
                 if chars and chars[-1] != " ":
                     chars.append(" ")
                     places.append(at)
             else:
-                for x in LIGATURES.get(c, c):
+                for x in LIGATURES.get(c, SIGNS.get(c, c)):
                     chars.append(x)
                     places.append(at)
-            at += 1
         self.text, self.places = "".join(chars), places
 
     def span(self, a: int, b: int) -> tuple[int, int]:
@@ -94,7 +108,8 @@ MODAL = re.compile(r"\b(?:may|might|could|would|expected|assum\w+|predict\w+|sim
 PRIOR = re.compile(r"\b(?:previous (?:work|study|studies)|reported by|according to|et al)\b", re.IGNORECASE)
 CURRENT = re.compile(r"\b(?:in (?:this|our) (?:study|work|experiment)|we (?:measured|found|observed|prepared))\b", re.IGNORECASE)
 REQUIRED = re.compile(r"\b(?:must|required|target(?:ed)?|should)\b", re.IGNORECASE)
-NEGATED = re.compile(r"\b(?:not|never|no|without)\b", re.IGNORECASE)
+#: In capitals "NO" is a substance.
+NEGATED = re.compile(r"\b(?:[Nn]ot|[Nn]ever|[Nn]o|[Ww]ithout)\b")
 METRICS = {"conversion": r"conversion", "selectivity": r"selectivity", "yield": r"yield", "temperature": r"temperature|°\s?C|℃", "space_velocity": r"GHSV|WHSV|space velocity", "surface_area": r"surface area|BET", "concentration": r"concentration|ppm", "loading": r"loading|wt", "activity": r"activity|rate|TOF", "energy": r"energy|kJ/mol"}
 
 
@@ -122,6 +137,28 @@ def metric(sentence: str, at: int) -> str:
     return best[1]
 
 
+def invalid(text: str, m: re.Match) -> list[str]:
+    """Why a matched quantity says no number: a power of ten or a second unit goes on after it, a
+    power of ten or another unit's range stands before it, or it is the end of a list."""
+    before, after = text[: m.start("value")], text[m.end() :]
+    out = []
+    if re.match(r"\s*(?:[×x·*]\s*10\b|[eE][-+]?\d)", after) or re.search(r"(?:[×x·*]\s*|\bE[-+]?)$", before):
+        out.append("power_of_ten")
+    if re.match(r"\s*(?:/|per\b)\s*\w", after):
+        out.append("compound_unit")
+    if not m["high"] and re.search(rf"\d\s*(?:{UNIT})\s*(?:-|–|to)\s*$", before, re.IGNORECASE):
+        out.append("mixed_units")
+    if not m["high"] and re.search(r"\d\s*(?:,|and|or)\s*$", before) and lower_bound(text, m) is None:
+        out.append("part_of_a_list")
+    return out
+
+
+def lower_bound(text: str, m: re.Match) -> str | None:
+    """The first number of "between 10 and 20 %", of which a match is the second."""
+    found = None if m["high"] else re.search(rf"\bbetween\s+({NUMBER})\s*(?:{UNIT})?\s*and\s*$", text[: m.start("value")], re.IGNORECASE)
+    return found[1] if found else None
+
+
 def numeric_facts(text: str) -> list[dict]:
     """Quantities with bounds, ranges and uncertainties, each with its sentence's scope."""
     out = []
@@ -133,7 +170,13 @@ def numeric_facts(text: str) -> list[dict]:
             a, b = view.span(m.start("bound") if m["bound"] else m.start("value"), m.end())
             high = as_number(m["high"]) if m["high"] else None
             value = as_number(m["value"])
-            out.append({"start": a, "end": b, "quote": text[a:b], "metric": metric(view.text, m.start("value")), "operator": operator, "value": value, "value_high": high, "unit": unit_name(m["unit"]), "uncertainty": float(m["error"]) if m["error"] else None, "scope": scope(view.text), "issues": ["range_reversed"] if high is not None and high < value else []})
+            first = lower_bound(view.text, m)
+            if first is not None:
+                operator, value, high = "range", as_number(first), value
+            wrong = invalid(view.text, m)
+            if wrong:
+                operator, value, high = "unknown", None, None
+            out.append({"start": a, "end": b, "quote": text[a:b], "metric": metric(view.text, m.start("value")), "operator": operator, "value": value, "value_high": high, "unit": unit_name(m["unit"]), "uncertainty": float(m["error"]) if m["error"] else None, "scope": scope(view.text), "issues": wrong + (["range_reversed"] if high is not None and high < value else [])})
     return out
 
 
@@ -227,7 +270,7 @@ class Scan:
             for rows in self.chunks(keys, texts):
                 columns = [pa.array([k for k, _ in rows], batch.schema.field(0).type)]
                 for name in self.fields:
-                    kind = {"start": pa.int32(), "end": pa.int32(), "previous_start": pa.int32(), "previous_end": pa.int32(), "value": pa.float64(), "value_high": pa.float64(), "first": pa.float64(), "uncertainty": pa.float64(), "issues": pa.list_(pa.string())}.get(name, pa.string())
+                    kind = {"start": pa.int32(), "end": pa.int32(), "previous_start": pa.int32(), "previous_end": pa.int32(), "value": pa.float64(), "value_high": pa.float64(), "first": pa.float64(), "uncertainty": pa.float64(), "issues": pa.list_(pa.string()), "facets": pa.list_(pa.string())}.get(name, pa.string())
                     columns.append(pa.array([f[name] for _, f in rows], kind))
                 yield pa.RecordBatch.from_arrays(columns, names=[self.key, *self.fields])
 

@@ -221,3 +221,35 @@ def test_long_texts_are_scanned_whole(spark):
     text = "Nothing is said here. " * 110_000 + "The conversion reached 93 % at 250 °C."
     found = extract.fact_rows(spark.createDataFrame([(1, text)], "id long, t string"), "id", "t").collect()
     assert {(r.value, r.unit) for r in found} == {(93.0, "%"), (250.0, "°C")} and all(text[r.start : r.end] == r.quote for r in found)
+
+
+def test_views_join_what_a_line_break_parts():
+    from assaykit.operators.extract import View
+
+    text = "over SAPO-\n34 and a conver-\nsion of 5 ◦C, ﬁne"
+    view = View(text)
+    assert view.text == "over SAPO-34 and a conversion of 5 °C, fine"
+    a = view.text.index("conversion")
+    assert text[slice(*view.span(a, a + 10))] == "conver-\nsion"
+
+
+def test_clauses_part_only_between_two_metrics():
+    from assaykit.operators import semantics as S
+
+    cut = lambda t: [t[a:b] for a, b in S.clauses(t, S.PLAIN)]
+    assert cut("conversion was 80 %, and the selectivity fell") == ["conversion was 80 %", "the selectivity fell"]
+    assert cut("conversion and selectivity were high") == ["conversion and selectivity were high"]
+    assert cut("not only the conversion but the yield rose") == ["not only the conversion but the yield rose"]
+    assert cut("the conversion rose whereas the yield fell") == ["the conversion rose", "the yield fell"]
+    assert cut("cooled, dried and the yield was 5 %") == ["cooled, dried and the yield was 5 %"]
+
+
+def test_numbers_that_say_none():
+    from assaykit.operators.extract import numeric_facts
+
+    found = lambda t: [(f["value"], f["value_high"], f["issues"]) for f in numeric_facts(t)]
+    assert found("it was 5 × 10 % then") == [(None, None, ["power_of_ten"])]
+    assert found("it was 3 h / min then") == [(None, None, ["compound_unit"])]
+    assert found("from 10 °C to 20 % then")[1:] == [(None, None, ["mixed_units"])]
+    assert found("10, 20 and 30 % then") == [(None, None, ["part_of_a_list"])]
+    assert found("between 10 and 30 % then") == [(10.0, 30.0, [])]
