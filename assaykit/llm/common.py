@@ -91,13 +91,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Tables that ``written`` has made in this driver.
+WRITTEN: list[str] = []
+
+
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder: later plans read it as often as they like."""
+    """``df`` as a table in the shared folder: later plans read it as often as they like. It belongs
+    to a lazy result, so it stays until ``drop_written`` is called."""
     path = f"{ensure_checkpoints(df.sparkSession).rstrip('/')}/assaykit-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_written(spark: SparkSession) -> None:
+    """Deletes the tables of results that have been read."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def held_out(doc_id: Column, mod: int, rest: int) -> Column:
     """The split of a contract: crc32 of the id as text; a null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(mod)) == rest

@@ -157,3 +157,16 @@ def test_slices_are_bounded_by_bytes():
     assert [v for p in parts for v in p.column(1).to_pylist()] == texts
     assert all(p.num_rows == 1 or sum(len(v or "") for v in p.column(1).to_pylist()) <= common.SLICE_BYTES for p in parts)
     assert max(p.num_rows for p in parts) <= common.SLICE_ROWS
+
+
+def test_written_tables_can_be_dropped(spark):
+    import os
+
+    from assaykit.llm import common
+
+    common.drop_written(spark)
+    table = common.written(spark.range(5))
+    (path,) = common.WRITTEN
+    assert table.count() == 5 and os.path.isdir(path.removeprefix("file:"))
+    common.drop_written(spark)
+    assert not common.WRITTEN and not os.path.isdir(path.removeprefix("file:"))
