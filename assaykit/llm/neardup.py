@@ -215,6 +215,10 @@ LEAST_BITS, CELL_TEXTS = 13, 256
 WIDE_SHINGLE, LIKENESS = 5, (8, 10)
 WORDS_64 = 4
 SMALL_CELL = 512
+#: Tasks whose forests one task joins.
+FEWER = 16
+#: Shares of a group that meet its centre's fingerprint apart.
+SHARES = 16
 PRINT = [f"fp{i}" for i in range(WORDS_64)]
 WIDE = "node long, " + ", ".join(f"{c} long" for c in PRINT) + ", n long"
 
@@ -292,6 +296,33 @@ class WideCells:
                 yield pa.RecordBatch.from_arrays([pa.array(cell), *map(pa.array, cols)], names=["cell", "node", *PRINT, "n"])
 
 
+def spanning(batches):
+    """Of a task's links (u, v) those that join what the links before didn't: at most a link for each
+    node but one, however many ways a crowd is linked in. Components stay the same."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        return x
+
+    for batch in batches:
+        kept = []
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = root(u), root(v)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                kept.append((u, v))
+        if kept:
+            pairs = np.array(kept, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+
+
+def wide_links_spanned(batches):
+    return spanning(wide_links(batches))
+
+
 def wide_near(fps, n, i, j) -> np.ndarray:
     """Which of some pairs are candidates: sizes and the bound first, then all bits."""
     out = alike_in_size(n[i], n[j]) & (sum(manhattan(f[i], f[j]) for f in fps) <= WIDE_DISTANCE)
@@ -475,7 +506,9 @@ def verified_groups(sets: DataFrame) -> DataFrame:
     centres = sums.repartition(parts, "candidates").sortWithinPartitions("candidates").mapInArrow(centre_prints, "candidates long, " + ", ".join(f"c{i} long" for i in range(WORDS_64)))
     away = reduce(lambda a, b: a + b, [F.bit_count(F.col(f).bitwiseXOR(F.col(f"c{i}"))) for i, f in enumerate(PRINT)])
     # tables of their own, so that both sides of a join are dealt anew and a large group can be split
-    nearest = sets.select("candidates", "node", *PRINT).join(written(centres), "candidates").groupBy("candidates").agg(F.min(F.struct(away.alias("away"), "node")).alias("best"))
+    share = F.pmod(F.xxhash64("node"), F.lit(SHARES)).cast("int")
+    spread = written(centres.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))))
+    nearest = sets.select("candidates", "node", *PRINT, share.alias("share")).join(spread, ["candidates", "share"]).groupBy("candidates").agg(F.min(F.struct(away.alias("away"), "node")).alias("best"))
     chosen = nearest.select("candidates", F.col("best.node").alias("node"))
     centre = written(sets.join(chosen, ["candidates", "node"]).select("candidates", F.col("node").alias("centre"), *[F.col(f).alias(f"m{i}") for i, f in enumerate(PRINT)], F.col("own").alias("other")))
     stars = cut(sets.join(centre, "candidates").select("candidates", "node", *PRINT, "own", "centre", *[f"m{i}" for i in range(WORDS_64)], "other").mapInArrow(against_centre, "candidates long, node long, centre long, ok boolean"))
@@ -502,7 +535,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
     classes = rows.groupBy("node").agg(*[F.min(c).alias(c) for c in (*PRINT, "n", "row")])
     texts = classes.where("n > 0").select("node", *PRINT, "n")
     cells = texts.mapInArrow(WideCells(grid_bits(rows.select("node").distinct().count())), "cell long, " + WIDE)
-    links = cells.repartition(parts, "cell").sortWithinPartitions("cell", "node").mapInArrow(wide_links, "u long, v long").distinct()
+    # links shrink to spanning forests twice, in each task and in each of fewer ones, so that a crowd
+    # which meets in many cells comes to the components as little more than its texts
+    links = cells.repartition(parts, "cell").sortWithinPartitions("cell", "node").mapInArrow(wide_links_spanned, "u long, v long")
+    links = links.repartition(max(1, parts // FEWER)).mapInArrow(spanning, "u long, v long")
     candidates = classes.join(components(links).withColumnRenamed("component", "candidates"), "node").select("row", "candidates", "node", *PRINT)
     # rows that are alike in all columns share a digest, so a text may come more than once
     texts = plain.select("row", "text").join(candidates, "row").select("candidates", "node", *PRINT, "text").dropDuplicates(["node"])
