@@ -66,10 +66,12 @@ def tick_order(ticks: DataFrame, axis: list[str], pixel: str, value: str, length
 
 
 def bands(places: DataFrame, key: list[str], place: str, gap: float, least: int = 3) -> DataFrame:
-    """Clusters along a line: neighbours at most ``gap`` apart, ``least`` of them or more."""
-    line = Window.partitionBy(*key).orderBy(place)
+    """Clusters along a line: neighbours at most ``gap`` apart, ``least`` of them or more. Equal
+    places are in one cluster; a place that has no distance (null, NaN, infinite) is near nothing."""
+    line = Window.partitionBy(*key).orderBy(F.col(place).asc_nulls_last())
     first = F.when(F.col(place) - F.lag(place).over(line) <= gap, 0).otherwise(1)
-    numbered = places.withColumn("__new", first).withColumn("band", F.sum("__new").over(line))
+    so_far = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = places.withColumn("__new", first).withColumn("band", F.sum("__new").over(so_far))
     return numbered.groupBy(*key, "band").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count(F.lit(1)).alias("n_places")).where(F.col("n_places") >= least)
 
 
