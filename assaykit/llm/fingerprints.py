@@ -5,14 +5,15 @@ paragraph's start, so an edit changes the pieces after it in its own paragraph o
 goes into one cell of each of three subtables; a cell holds a count and the XOR of its digests.
 The cells of two versions subtract, and what is left is peeled: a cell of count 1 or -1 whose
 digest passes its own check gives a digest of one side, which is taken out of its other cells, and
-so on until nothing is left, or until peeling is stuck: then a sketch that is larger for what it
-holds is tried.
+so on until nothing is left, or until peeling is stuck: then more cells for what they hold are tried.
 
-``recover`` does so exactly: rows whose peeling is stuck are tried again with twice the cells. A
-``fingerprint`` has a fixed size instead: it holds ``LEVELS`` sketches, each of half the digests of
-the one before (chosen by the digest), so every next one is twice as large for what it holds;
-the first that peels gives the number of differing digests, and with the set sizes the likeness
-(Jaccard).
+``recover`` does so with two texts: rows whose peeling is stuck are tried again with twice the cells.
+A ``fingerprint`` holds every digest of its text, so its size grows with the text: digests are dealt
+by the first bits of their check to parts of ``LOAD`` or fewer on average, and each part has a sketch
+that peels by itself; the digests it would be stuck at stand beside it (``stash``). Two fingerprints
+of as many parts are subtracted part by part, and a part whose difference is stuck is peeled on
+either side; of unequal numbers of parts, all are. So the number of differing digests is exact, and
+with the set sizes it gives the likeness (Jaccard).
 
 The next document is found without sorting the table into one task: rows fall into ranges of
 (id, hash of the text) by the quantiles of a seeded sample, each range gets a copy of the first row
@@ -38,9 +39,10 @@ from .common import HASHES
 
 PIECE = 8
 SUBTABLES, CELLS = 3, 16
-LEVELS = 3
-#: Digests that a sketch of SUBTABLES x CELLS cells surely peels, about.
-HELD = 24
+#: Cells a subtable of a fingerprint's part, and digests that a part holds on average at most.
+PART_CELLS, LOAD = 8, 12
+#: Bits of a digest's check, by which it is dealt to a part.
+CHECK_BITS = 24
 ROUNDS = 10
 RANGE_ROWS, MOST_RANGES, SAMPLED = 500, 100_000, 20
 NO_ID = -(2**63)
@@ -76,17 +78,23 @@ def part(key: Column, table: int, cells: int) -> Column:
     return F.pmod(F.shiftright(key, 13 * table).bitwiseAND(F.lit(0x1FFF)), F.lit(cells).cast("bigint")).cast("int")
 
 
-def sketch(keys: Column, cells: int = CELLS) -> Column:
-    """Cells (count, key) of a set of digests."""
-    cell = lambda own: F.struct(F.size(own).alias("n"), F.aggregate(own, F.lit(0).cast("bigint"), lambda a, k: a.bitwiseXOR(k)).alias("key"))
+def with_places(pairs: Column, cells: int) -> Column:
+    """(key, sign) pairs with their cell in each subtable."""
+    return F.transform(pairs, lambda p: F.struct(p["key"].alias("key"), p["sign"].alias("sign"), *[part(p["key"], t, cells).alias(f"at{t}") for t in range(SUBTABLES)]))
+
 
-    def table(t: int, ks: Column) -> Column:
-        # the places of a subtable once for all digests, then a plain comparison for each cell
-        placed = F.transform(ks, lambda k: F.struct(part(k, t, cells).alias("at"), k.alias("key")))
-        of = lambda pairs, c: F.transform(F.filter(pairs, lambda p: p["at"] == c), lambda p: p["key"])
-        return let(placed, lambda pairs: F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda c: let(of(pairs, c), cell)))
+def taken_out(cell: Column, placed: Column, t: int, c: Column) -> Column:
+    """A cell, number c of subtable t, without the placed pairs that belong to it."""
+    less = lambda a, p: F.struct((a["n"] - p["sign"]).alias("n"), a["key"].bitwiseXOR(p["key"]).alias("key"))
+    return F.aggregate(placed, cell, lambda a, p: F.when(p[f"at{t}"] == c, less(a, p)).otherwise(a))
 
-    return let(keys, lambda ks: F.concat(*[table(t, ks) for t in range(SUBTABLES)]))
+
+def sketch(keys: Column, cells: int = CELLS) -> Column:
+    """Cells (count, key) of a set of digests."""
+    none = F.struct(F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("key"))
+    pairs = F.transform(keys, lambda k: F.struct(k.alias("key"), F.lit(-1).alias("sign")))
+    table = lambda t, placed: F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda c: taken_out(none, placed, t, c))
+    return let(with_places(pairs, cells), lambda placed: F.concat(*[table(t, placed) for t in range(SUBTABLES)]))
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -111,10 +119,8 @@ def peel(cells_left: Column, cells: int = CELLS, rounds: int = ROUNDS) -> Column
         return F.array_distinct(F.filter(own, lambda p: p.isNotNull()))
 
     def without(state: Column, found: Column) -> Column:
-        return F.transform(
-            state["cells"],
-            lambda c, i: F.aggregate(F.filter(found, lambda p: in_place(p["key"], i)), F.struct(c["n"].alias("n"), c["key"].alias("key")), lambda a, p: F.struct((a["n"] - p["sign"]).alias("n"), a["key"].bitwiseXOR(p["key"]).alias("key"))),
-        )
+        table = lambda t, placed: F.transform(F.slice(state["cells"], t * cells + 1, cells), lambda cell, c: taken_out(cell, placed, t, c))
+        return let(with_places(found, cells), lambda placed: F.concat(*[table(t, placed) for t in range(SUBTABLES)]))
 
     def step(state: Column, _: Column) -> Column:
         on = let(pure(state), lambda found: F.when(F.size(found) > 0, F.struct(without(state, found).alias("cells"), F.concat(state["found"], found).alias("found"), F.lit(True).alias("live"))).otherwise(F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(False).alias("live"))))
@@ -128,40 +134,71 @@ def empty(cells_left: Column) -> Column:
     return F.forall(cells_left, lambda c: (c["n"] == 0) & (c["key"] == 0))
 
 
-def fingerprint(text: Column) -> Column:
-    """(n, low, levels) of a text: set size, the first level, and sketches of ``LEVELS`` levels."""
+def keys_of(pairs: Column) -> Column:
+    return F.transform(pairs, lambda p: p["key"])
 
-    def of_set(keys: Column) -> Column:
-        low = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.size(keys), F.lit(1)) / HELD)) - 1).cast("int")
 
-        def at_level(level: Column) -> Column:
-            mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), level) - 1
-            return let(mask, lambda m: F.filter(keys, lambda k: F.shiftrightunsigned(k, 40).bitwiseAND(m) == 0))
+def dealt(keys: Column, bits: Column) -> Column:
+    """Digests by the first ``bits`` bits of their check: 2^bits arrays, empty ones included."""
+    shift = lambda name, k, by: F.call_function(name, k, by)
+    number = lambda k: shift("shiftrightunsigned", F.shiftrightunsigned(k, 40), F.lit(CHECK_BITS) - bits)
+    pair = lambda p, k: F.struct(p.alias("part"), k.alias("key"))
+    heads = F.transform(F.sequence(F.lit(0).cast("bigint"), shift("shiftleft", F.lit(1).cast("bigint"), bits) - 1), lambda p: pair(p, F.lit(None).cast("bigint")))
+
+    def cut(line: Column) -> Column:  # the null key of a part stands before its digests
+        starts = F.filter(F.sequence(F.lit(1), F.size(line)), lambda i: F.element_at(line, i)["key"].isNull())
+        return let(starts, lambda at: F.transform(at, lambda i, j: keys_of(F.slice(line, i + 1, F.coalesce(F.get(at, j + 1), F.size(line) + 1) - i - 1))))
+
+    return let(F.sort_array(F.concat(F.transform(keys, lambda k: pair(number(k), k)), heads)), cut)
 
-        return let(low, lambda first: F.struct(F.size(keys).alias("n"), first.alias("low"), F.transform(F.sequence(first, first + LEVELS - 1), lambda v: sketch(at_level(v))).alias("levels")))
+
+def fingerprint(text: Column) -> Column:
+    """(n, bits, parts) of a text: set size, and 2^bits parts (cells, stash) of its digests."""
+
+    def of_part(keys: Column) -> Column:
+        # what peeling leaves in the cells is what the stuck digests put there
+        own = lambda all_in, left: F.struct(subtract(all_in, left["cells"]).alias("cells"), F.array_except(keys, keys_of(left["found"])).alias("stash"))
+        return let(sketch(keys, PART_CELLS), lambda all_in: let(peel(all_in, PART_CELLS), lambda left: own(all_in, left)))
+
+    def of_set(keys: Column) -> Column:
+        bits = F.least(F.lit(CHECK_BITS), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.size(keys), F.lit(1)) / LOAD)))).cast("int")
+        return let(bits, lambda b: F.struct(F.size(keys).alias("n"), b.alias("bits"), F.transform(dealt(keys, b), of_part).alias("parts")))
 
     return let(digests(text), of_set)
 
 
 def as_text(fp: Column) -> Column:
-    """A fingerprint as base64 text: size, first level, then 9 bytes a cell."""
-    cell = lambda c: F.concat(F.lpad(F.hex(c["n"].bitwiseAND(F.lit(255))), 2, "0"), F.lpad(F.hex(c["key"]), 16, "0"))
-    body = F.array_join(F.transform(F.flatten(fp["levels"]), cell), "")
-    return F.base64(F.unhex(F.concat(F.lpad(F.hex(fp["n"]), 8, "0"), F.lpad(F.hex(fp["low"]), 2, "0"), body)))
+    """A fingerprint as base64 text: size and bits, then for each part the number of stashed digests,
+    these, and 9 bytes a cell."""
+    digits = lambda value, n: F.lpad(F.hex(value), n, "0")
+    cell = lambda c: F.concat(digits(c["n"].bitwiseAND(F.lit(255)), 2), digits(c["key"], 16))
+    of_part = lambda p: F.concat(digits(F.size(p["stash"]), 8), F.array_join(F.transform(p["stash"], lambda k: digits(k, 16)), ""), F.array_join(F.transform(p["cells"], cell), ""))
+    return F.base64(F.unhex(F.concat(digits(fp["n"], 8), digits(fp["bits"], 2), F.array_join(F.transform(fp["parts"], of_part), ""))))
+
+
+def listed(p: Column) -> Column:
+    """All digests of a fingerprint's part, by peeling."""
+    return F.concat(keys_of(peel(p["cells"], PART_CELLS)["found"]), p["stash"])
+
+
+def apart(a: Column, b: Column) -> Column:
+    """How many elements only one of two sets has."""
+    return let(a, lambda x: let(b, lambda y: F.size(x) + F.size(y) - 2 * F.size(F.array_intersect(x, y))))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard likeness of two fingerprints, by the first common level that peels."""
-    low, high = F.greatest(a["low"], b["low"]), F.least(a["low"], b["low"]) + LEVELS - 1
+    """Jaccard likeness of two fingerprints."""
     whole = (a["n"] + b["n"]).cast("double")
 
-    def attempt(level: Column) -> Column:
-        left = subtract(F.element_at(a["levels"], level - a["low"] + 1), F.element_at(b["levels"], level - b["low"] + 1))
-        return let(peel(left), lambda s: F.when(empty(s["cells"]), F.size(s["found"]) * F.pow(F.lit(2.0), level)))
+    def differing(x: Column, y: Column) -> Column:
+        # a digest may be stashed on one side and in the cells of the other
+        stashed = F.concat(F.array_except(x["stash"], y["stash"]), F.array_except(y["stash"], x["stash"]))
+        return let(peel(subtract(x["cells"], y["cells"]), PART_CELLS), lambda s: F.when(empty(s["cells"]), apart(keys_of(s["found"]), stashed)).otherwise(apart(listed(x), listed(y))))
 
-    tried = F.aggregate(F.sequence(low, F.greatest(low, high)), F.lit(None).cast("double"), lambda got, level: F.when(got.isNotNull(), got).when(level > high, F.lit(None).cast("double")).otherwise(attempt(level)))
-    differing = lambda d: F.least(F.greatest(F.coalesce(d, whole), F.abs(a["n"] - b["n"]).cast("double")), whole)
-    return F.when(whole == 0, F.lit(1.0)).otherwise(let(tried, lambda d: (whole - differing(d)) / (whole + differing(d))))
+    by_part = F.aggregate(F.zip_with(a["parts"], b["parts"], differing), F.lit(0), lambda total, n: total + n)
+    every = lambda fp: F.flatten(F.transform(fp["parts"], listed))
+    d = F.when(a["bits"] == b["bits"], by_part).otherwise(apart(every(a), every(b)))
+    return F.when(whole == 0, F.lit(1.0)).otherwise(let(d, lambda n: (whole - n) / (whole + n)))
 
 
 def split_points(rows: DataFrame, count: int, ranges: int) -> list[tuple[int, int]]:
