@@ -12,7 +12,8 @@ A ``fingerprint`` holds every digest of its text, so its size grows with the tex
 by the first bits of their check to parts of ``LOAD`` or fewer on average, and each part has a sketch
 that peels by itself; the digests it would be stuck at stand beside it (``stash``). Two fingerprints
 of as many parts are subtracted part by part, and a part whose difference is stuck is peeled on
-either side; of unequal numbers of parts, all are. So the number of differing digests is exact, and
+either side; of unequal numbers of parts, all are (what peeling gives is kept, so that no fingerprint
+is peeled twice). So the number of differing digests is exact, and
 with the set sizes it gives the likeness (Jaccard).
 
 The next document is found without sorting the table into one task: rows fall into ranges of
@@ -49,8 +50,8 @@ NO_ID = -(2**63)
 
 
 def let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    """``body(value)`` with the value computed once (and not copied, as ``transform`` would)."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda same, _: same, body)
 
 
 def digests(text: Column) -> Column:
@@ -75,7 +76,10 @@ def passes(key: Column) -> Column:
 
 def part(key: Column, table: int, cells: int) -> Column:
     """The cell of a digest within a subtable."""
-    return F.pmod(F.shiftright(key, 13 * table).bitwiseAND(F.lit(0x1FFF)), F.lit(cells).cast("bigint")).cast("int")
+    number = lambda most: F.shiftright(key, 13 * table).bitwiseAND(F.lit(most).cast("bigint"))
+    if cells & (cells - 1) == 0:
+        return number(min(0x1FFF, cells - 1)).cast("int")
+    return F.pmod(number(0x1FFF), F.lit(cells).cast("bigint")).cast("int")
 
 
 def with_places(pairs: Column, cells: int) -> Column:
@@ -101,33 +105,48 @@ def subtract(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["key"].bitwiseXOR(y["key"]).alias("key")))
 
 
-SIGNED = "array<struct<key:bigint,sign:int>>"
+FOUND = "array<struct<n:int,key:bigint>>"
 
 
 def peel(cells_left: Column, cells: int = CELLS, rounds: int = ROUNDS) -> Column:
-    """(cells, found, live): digests recovered with their side, and whether peeling went on."""
+    """(cells, found): what is left, and the digests recovered with their side (n is 1 or -1).
 
-    def in_place(key: Column, i: Column) -> Column:
-        """Whether a digest belongs to cell i, counted through all subtables."""
-        out = part(key, 0, cells) == i
-        for t in range(1, SUBTABLES):
-            out = out | (part(key, t, cells) + F.lit(t * cells) == i)
-        return out
+    A round takes one subtable after the other: its pure cells hold different digests, so nothing
+    is found twice, and only the other subtables have cells to take them out of."""
+    none = F.struct(F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("key"))
+
+    def alone(c: Column, t: int, i: Column) -> Column:
+        return (F.abs(c["n"]) == 1) & (part(c["key"], t, cells) == i)
+
+    def cleared(table: Column, t: int, keys: Column) -> Column:
+        return F.transform(table, lambda c, i: F.when(alone(c, t, i) & F.array_contains(keys, c["key"]), none).otherwise(c))
+
+    def without(table: Column, t: int, found: Column) -> Column:
+        less = lambda a, p: F.struct((a["n"] - p["n"]).alias("n"), a["key"].bitwiseXOR(p["key"]).alias("key"))
+        taken = lambda cell, i: F.aggregate(found, cell, lambda a, p: F.when(part(p["key"], t, cells) == i, less(a, p)).otherwise(a))
+        touched = F.transform(found, lambda p: part(p["key"], t, cells))
+        return let(touched, lambda at: F.transform(table, lambda cell, i: F.when(F.array_contains(at, i), taken(cell, i)).otherwise(cell)))
 
-    def pure(state: Column) -> Column:
-        own = F.transform(state["cells"], lambda c, i: F.when((F.abs(c["n"]) == 1) & passes(c["key"]) & in_place(c["key"], i), F.struct(c["key"].alias("key"), c["n"].alias("sign"))))
-        return F.array_distinct(F.filter(own, lambda p: p.isNotNull()))
+    def of_table(state: Column, t: int) -> Column:
+        def on(found: Column) -> Column:
+            tables = [cleared(state[f"t{u}"], u, keys_of(found)) if u == t else without(state[f"t{u}"], u, found) for u in range(SUBTABLES)]
+            return F.struct(*[x.alias(f"t{u}") for u, x in enumerate(tables)], F.concat(state["found"], found).alias("found"))
 
-    def without(state: Column, found: Column) -> Column:
-        table = lambda t, placed: F.transform(F.slice(state["cells"], t * cells + 1, cells), lambda cell, c: taken_out(cell, placed, t, c))
-        return let(with_places(found, cells), lambda placed: F.concat(*[table(t, placed) for t in range(SUBTABLES)]))
+        pure = F.filter(state[f"t{t}"], lambda c, i: alone(c, t, i) & passes(c["key"]))
+        return let(pure, lambda found: F.when(F.size(found) > 0, on(found)).otherwise(state))
 
     def step(state: Column, _: Column) -> Column:
-        on = let(pure(state), lambda found: F.when(F.size(found) > 0, F.struct(without(state, found).alias("cells"), F.concat(state["found"], found).alias("found"), F.lit(True).alias("live"))).otherwise(F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(False).alias("live"))))
+        turn = lambda t: lambda now: of_table(now, t)
+        after = state["now"]
+        for t in range(SUBTABLES):
+            after = let(after, turn(t))
+        on = let(after, lambda now: F.struct(now.alias("now"), (F.size(now["found"]) > F.size(state["now"]["found"])).alias("live")))
         return F.when(state["live"], on).otherwise(state)
 
-    start = F.struct(cells_left.alias("cells"), F.array().cast(SIGNED).alias("found"), F.lit(True).alias("live"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step)
+    tables = [F.slice(cells_left, t * cells + 1, cells).alias(f"t{t}") for t in range(SUBTABLES)]
+    start = F.struct(F.struct(*tables, F.array().cast(FOUND).alias("found")).alias("now"), F.lit(True).alias("live"))
+    ended = lambda state: F.struct(F.concat(*[state["now"][f"t{t}"] for t in range(SUBTABLES)]).alias("cells"), state["now"]["found"].alias("found"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, ended)
 
 
 def empty(cells_left: Column) -> Column:
@@ -153,12 +172,14 @@ def dealt(keys: Column, bits: Column) -> Column:
 
 
 def fingerprint(text: Column) -> Column:
-    """(n, bits, parts) of a text: set size, and 2^bits parts (cells, stash) of its digests."""
+    """(n, bits, parts) of a text: set size, and 2^bits parts (cells, stash, found) of its digests.
+    ``found`` is what peeling the cells gives, kept so that no fingerprint is peeled twice."""
 
     def of_part(keys: Column) -> Column:
         # what peeling leaves in the cells is what the stuck digests put there
-        own = lambda all_in, left: F.struct(subtract(all_in, left["cells"]).alias("cells"), F.array_except(keys, keys_of(left["found"])).alias("stash"))
-        return let(sketch(keys, PART_CELLS), lambda all_in: let(peel(all_in, PART_CELLS), lambda left: own(all_in, left)))
+        own = lambda all_in, left, found: F.struct(subtract(all_in, left).alias("cells"), F.array_except(keys, found).alias("stash"), found.alias("found"))
+        peeled = lambda all_in: let(peel(all_in, PART_CELLS), lambda s: let(keys_of(s["found"]), lambda found: own(all_in, s["cells"], found)))
+        return let(sketch(keys, PART_CELLS), peeled)
 
     def of_set(keys: Column) -> Column:
         bits = F.least(F.lit(CHECK_BITS), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.size(keys), F.lit(1)) / LOAD)))).cast("int")
@@ -171,14 +192,14 @@ def as_text(fp: Column) -> Column:
     """A fingerprint as base64 text: size and bits, then for each part the number of stashed digests,
     these, and 9 bytes a cell."""
     digits = lambda value, n: F.lpad(F.hex(value), n, "0")
-    cell = lambda c: F.concat(digits(c["n"].bitwiseAND(F.lit(255)), 2), digits(c["key"], 16))
+    cell = lambda c: F.when((c["n"] == 0) & (c["key"] == 0), F.lit("0" * 18)).otherwise(F.concat(digits(c["n"].bitwiseAND(F.lit(255)), 2), digits(c["key"], 16)))
     of_part = lambda p: F.concat(digits(F.size(p["stash"]), 8), F.array_join(F.transform(p["stash"], lambda k: digits(k, 16)), ""), F.array_join(F.transform(p["cells"], cell), ""))
     return F.base64(F.unhex(F.concat(digits(fp["n"], 8), digits(fp["bits"], 2), F.array_join(F.transform(fp["parts"], of_part), ""))))
 
 
 def listed(p: Column) -> Column:
-    """All digests of a fingerprint's part, by peeling."""
-    return F.concat(keys_of(peel(p["cells"], PART_CELLS)["found"]), p["stash"])
+    """All digests of a fingerprint's part, as peeling gave them."""
+    return F.concat(p["found"], p["stash"])
 
 
 def apart(a: Column, b: Column) -> Column:
@@ -266,7 +287,7 @@ def recover(versions: DataFrame, cells: int = CELLS, most: int = 8) -> DataFrame
         size = cells << k
         tried = left.withColumn("state", peel(subtract(sketch(F.col("a"), size), sketch(F.col("b"), size)), size, 2 * ROUNDS))
         tried = tried.withColumn("done", empty(F.col("state.cells")))
-        side = lambda sign: F.transform(F.filter(F.col("state.found"), lambda p: p["sign"] == sign), lambda p: p["key"])
+        side = lambda sign: F.transform(F.filter(F.col("state.found"), lambda p: p["n"] == sign), lambda p: p["key"])
         last = k == most
         done = tried if last else tried.where("done")
         found = lambda sign, a, b: F.when(F.col("done"), side(sign)).otherwise(F.array_except(a, b))
